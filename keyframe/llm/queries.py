@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfiles, language, media, mixing, neardup, neighbours, packing, toxicity
+from . import arrowfiles, language, lines, media, mixing, neardup, neighbours, packing, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,6 +52,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
         "op8_near_duplicates": op8_near_duplicates,
+        "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
     }
 
