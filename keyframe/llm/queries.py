@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfiles, language, lines, media, mixing, neardup, neighbours, packing, toxicity
+from . import arrowfiles, language, lines, media, mixing, neardup, neighbours, packing, substrings, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +48,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfiles.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_line_dedup": op9_line_dedup,
         "op10_mixing": op10_mixing,
