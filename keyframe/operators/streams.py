@@ -51,7 +51,7 @@ def idempotent(entries: DataFrame, producer: str = "producer", token: str = "tok
 
 def deliver(entries: DataFrame, consumers: int, as_of_ms: Column) -> DataFrame:
     """XREADGROUP: each entry to one consumer of the group, by its id: the pending entries."""
-    consumer = F.pmod(F.xxhash64("ms", "seq"), F.lit(consumers))
+    consumer = F.concat(F.lit("consumer"), F.pmod(F.xxhash64("ms", "seq"), F.lit(consumers)))
     return entries.select("key", "ms", "seq", consumer.alias("consumer"), as_of_ms.alias("delivery_ms"), F.lit(1).alias("delivery_count"))
 
 
