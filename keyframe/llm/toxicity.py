@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, materialize
 
 FEATURE_BITS = 20
 FIT_ROWS = 20_000
@@ -212,8 +212,13 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, learned from the labelled rows that aren't held out."""
-    known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "_id")
-    model = fit_toxicity_model(rows.select("text", "label"), **fit)
+    fit_rows = fit.get("fit_rows", FIT_ROWS)
+    known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
+    share = min(1.0, fit_rows / max(1, known.count()))
+    picked = known.where(F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # about fit_rows ids and labels: the texts stay where they are
+    sample, _ = materialize(texts.join(F.broadcast(picked), "_id").select("text", "label"), "toxicity-sample")
+    model = fit_toxicity_model(sample, **fit)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), toxicity_score(model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
