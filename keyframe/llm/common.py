@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel expands at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of text that Spark hands to Python at a time.
+TEXT_ROWS = 1000
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = np.zeros(256, dtype=bool)
@@ -40,11 +44,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/keyframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Spark hands at most so many rows to Python at a time in the jobs run within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, free: bool = True) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of earlier steps aren't needed any more; Spark deletes them once the
+    driver's JVM has collected their plans, which takes two rounds, so those are asked for
+    first (free). rows: see batch_rows.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2 * free):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    with batch_rows(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -160,7 +186,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.
     place = np.arange(len(h)) - lead[row]
     with np.errstate(over="ignore"):
         total = np.zeros(len(h), np.uint64)
-        for j in range(words):
+        for j in range(min(words, len(h))):
             shifted = np.zeros(len(h), np.uint64)
             shifted[: len(h) - j] = h[j:] if j else h
             live = place + j < count[row]

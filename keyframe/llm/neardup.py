@@ -10,15 +10,16 @@ plain Jaccard similarity for sets. Bands of slots propose pairs; a pair is a lin
 exact J_P reaches the threshold.
 
 Equal texts are one node. Pairs are proposed in rounds, so that a bucket of n texts
-doesn't make n squared: first each text with the smallest id of its buckets, then the
-other (smallest id, text) pairs whose ends are still in different classes, then, exactly
-and without a cap, all pairs of a bucket whose ends are in different classes even then.
-Pairs within a class can't change it. Classes are the connected components; tables
+doesn't make n squared: first each text with the most central text of its buckets (that
+which shares most slots with others), then with its buckets' other leads while the ends
+are in different classes, then, without a cap, all pairs of a bucket whose ends are in
+different classes even then and whose estimate comes near the threshold. Pairs within a
+class can't change it. Classes are the connected components; tables
 between the steps are written to the shared folder.
 
-Defined results: a null text is empty; a text without a word is a class of its own row;
-a text of fewer than five words is one shingle of all of them; equal texts (with words)
-are always of one class; a class is named by its smallest id; rows of one id count as
+Defined results: a null text is empty; equal texts, empty ones too, are always of one
+class; a text without a word is linked to no other text; one of fewer than five words is
+one shingle of all of them; a class is named by its smallest id; rows of one id count as
 one document; a null id has a null class; other columns are ignored.
 """
 
@@ -32,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, remove, shingles, slices, text_column
+from .common import TEXT_ROWS, materialize, mix64, remove, shingles, slices, text_column
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-#: A pair whose slots agree on less than this is five deviations below 0.8 and isn't verified.
-LEAST_AGREEMENT = 0.65
+#: Slots of a signature; the first BANDS * ROWS make the bands, 4 bits of each are kept for estimates.
+SLOTS = 512
+#: An estimate's deviation at 0.8 is 0.0185; a pair four deviations below isn't verified.
+LEAST_ESTIMATE = THRESHOLD - 4 * 0.0185
+MOST_UNEQUAL = int(SLOTS * (1 - (1 / 16 + LEAST_ESTIMATE * 15 / 16)))
 
 
 def weighted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: in
     with np.errstate(over="ignore"):
         while len(live):
             step += 1
-            draw = mix64(h[live] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            draw = mix64(h[live] ^ mix64(np.array([step], np.uint64)))
             time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / weight[live]
             stay = time <= latest[row[live]]
             live, time, draw = live[stay], time[stay], draw[stay]
@@ -72,8 +76,7 @@ def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: in
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest, n_words > 0, bands and signature bytes of every row."""
-    slots = BANDS * ROWS
+    """id, digest, whether there is a word, bands and packed signature of every row."""
     salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,25 +84,30 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for first, data, offsets in slices(text_column(batch.column(2))):
                 n = len(offsets) - 1
                 h, row, count = weighted(*shingles(data, offsets, WORDS))
-                kept = prob_min_hash(h, row, count, n, slots)
+                kept = prob_min_hash(h, row, count, n, SLOTS)
                 some = np.bincount(row, minlength=n) > 0
                 with np.errstate(over="ignore"):
                     bands = np.zeros((n, BANDS), np.uint64) + salt
                     for r in range(ROWS):
-                        bands = mix64(bands * np.uint64(0x100000001B3) + kept[:, r::ROWS])
-                small = (kept & np.uint64(255)).astype(np.uint8)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, n) for k in (0, 1)), pa.array(some), lists, pa.array([x.tobytes() for x in small], pa.binary())], names=["id", "digest", "worded", "bands", "signature"])
+                        bands = mix64(bands * np.uint64(0x100000001B3) + kept[:, r : BANDS * ROWS : ROWS])
+                low = (kept & np.uint64(15)).astype(np.uint8)
+                packed = (low[:, ::2] | low[:, 1::2] << 4).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.astype(np.int64).ravel())) for x in (bands, packed)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, n) for k in (0, 1)), pa.array(some), *lists], names=["id", "digest", "worded", "bands", "signature"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    return rows.mapInArrow(sign, "id long, digest binary, worded boolean, bands array<long>, signature binary")
+    return rows.mapInArrow(sign, "id long, digest binary, worded boolean, bands array<long>, signature array<long>")
 
 
-@F.arrow_udf(T.DoubleType())
-def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Share of equal slots of two signatures."""
-    return pa.array([float((np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)).mean()) for x, y in zip(a, b, strict=True)], pa.float64())
+def likely(a: str, b: str):
+    """Whether the signatures in columns a and b differ in few enough of their 4-bit slots."""
+    unequal = []
+    for i in range(SLOTS // 16):
+        differ = f"({a}[{i}] ^ {b}[{i}])"
+        pairs = f"({differ} | shiftrightunsigned({differ}, 1))"
+        unequal.append(f"bit_count(({pairs} | shiftrightunsigned({pairs}, 2)) & 1229782938247303441L)")
+    return F.expr(f"{' + '.join(unequal)} <= {MOST_UNEQUAL}")
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -150,13 +158,13 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node it is joined to) of all nodes of edges (a, b)."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both, path = materialize(both, "edges")
-    labels, kept = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both, path = materialize(both, "edges", free=False)
+    labels, kept = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", free=False)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "there"), "b").groupBy("a").agg(F.min("there").alias("there"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("there", "label")).alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        moved, new = materialize(step.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels")
+        moved, new = materialize(step.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels", free=False)
         if moved.where("was <> label").isEmpty():
             remove(edges.sparkSession, kept, path)
             return moved.select("node", "label")
@@ -174,22 +182,28 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of every row of docs."""
     spark = docs.sparkSession
-    signs, signs_path = materialize(signed(docs, id_col, text_col), "signatures")
-    nodes = signs.where("worded").groupBy("digest").agg(F.min("id").alias("uid"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("uid IS NOT NULL")
+    signs, signs_path = materialize(signed(docs, id_col, text_col), "signatures", TEXT_ROWS)
+    nodes = signs.groupBy("digest").agg(F.min("id").alias("uid"), F.first("worded").alias("worded"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("uid IS NOT NULL")
     nodes, nodes_path = materialize(nodes, "nodes")
 
-    slots = nodes.select("uid", F.explode("bands").alias("bucket"))
-    full = slots.groupBy("bucket").agg(F.min("uid").alias("lead"), F.max("uid").alias("last")).where("lead <> last")
-    members, members_path = materialize(full.join(slots, "bucket").select("bucket", "lead", "uid"), "buckets")
+    slots = nodes.where("worded").select("uid", F.explode("bands").alias("bucket"))
+    full = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared, shared_path = materialize(full.join(slots, "bucket").select("bucket", "uid", "n"), "buckets")
+    # a text that shares many slots is in the middle of its group: each bucket is led by the most central one
+    central = shared.groupBy("uid").agg(F.sum("n").alias("central"))
+    leads = shared.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("uid")).alias("less"))).alias("top"))
+    leads = leads.select("bucket", F.col("top.central").alias("central"), (-F.col("top.less")).alias("lead"))
+    members, members_path = materialize(shared.join(leads, "bucket").select("bucket", "uid", "lead", "central"), "members")
 
     involved = members.select("uid").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(involved, "uid", "left_semi")
-    sets, sets_path = materialize(shingle_sets(texts).groupBy("uid").agg(F.max(F.struct("hashes", "counts")).alias("s")).select("uid", "s.*"), "shingles") if has_repeats(docs, id_col) else materialize(shingle_sets(texts), "shingles")
+    texts = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).alias("text")).where("text IS NOT NULL").hint("merge").join(involved, "uid", "left_semi")
+    sets, sets_path = materialize(shingle_sets(texts).groupBy("uid").agg(F.max(F.struct("hashes", "counts")).alias("s")).select("uid", "s.*"), "shingles", TEXT_ROWS) if has_repeats(docs, id_col) else materialize(shingle_sets(texts), "shingles", TEXT_ROWS)
     signature = nodes.select("uid", "signature")
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose estimate is near the threshold or above."""
         named = pairs.join(signature.toDF("a", "sa"), "a").join(signature.toDF("b", "sb"), "b")
-        return named.where(agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b")
+        return named.where(likely("sa", "sb")).select("a", "b")
 
     def apart(classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different classes."""
@@ -197,31 +211,34 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         ends = pairs.join(names.toDF("a", "la"), "a", "left").join(names.toDF("b", "lb"), "b", "left")
         return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    # round 1: each text with the smallest id of all its buckets
-    first = members.groupBy("uid").agg(F.min("lead").alias("a")).where("a <> uid").select("a", F.col("uid").alias("b"))
-    links, _ = materialize(linked(likely(first), sets, threshold), "links")
+    ordered = [F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")]
+    # round 1: each text with the most central lead of its buckets
+    best = F.max(F.struct("central", (-F.col("lead")).alias("less"))).alias("top")
+    first = members.where("lead <> uid").groupBy("uid").agg(best).select("uid", (-F.col("top.less")).alias("lead")).select(*ordered).distinct()
+    links, _ = materialize(linked(near(first), sets, threshold), "links")
     classes = components(links)
-    # round 2: the other smallest ids
-    others = members.where("lead <> uid").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more, _ = materialize(linked(likely(apart(classes, others)), sets, threshold), "links")
+    # round 2: with the other leads
+    others = members.where("lead <> uid").select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
+    more, _ = materialize(linked(near(apart(classes, others)), sets, threshold), "links")
     links = links.union(more)
     classes = components(links)
     # round 3: whatever still stands apart in a bucket
     named = members.join(classes.toDF("uid", "label"), "uid", "left").select("bucket", "uid", "lead", F.coalesce("label", "uid").alias("label"))
     torn = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    mixed, _ = materialize(named.join(torn, "bucket", "left_semi"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.uid") != F.col("x.lead")))
-    rest = rest.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    last, _ = materialize(linked(likely(rest), sets, threshold), "links")
+    mixed = named.join(torn, "bucket", "left_semi").join(nodes.select("uid", "bands", "signature"), "uid")
+    mixed, _ = materialize(mixed.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")), "mixed")
+    x, y = (mixed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("uid", "label", "lead", "band", "bands", "signature"))) for s in ("x", "y"))
+    other = (F.col("uid_x") < F.col("uid_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("uid_x") != F.col("lead_x")) & (F.col("uid_y") != F.col("lead_x"))
+    once = ~F.arrays_overlap(F.slice("bands_x", F.lit(1), F.col("band_x") - 1), F.slice("bands_y", F.lit(1), F.col("band_x") - 1))  # in their first bucket
+    rest = x.join(y, (x["bucket"] == y["bucket"]) & other & likely("signature_x", "signature_y") & once).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"))
+    last, _ = materialize(linked(rest, sets, threshold), "links")
     if not last.isEmpty():
         classes = components(links.union(last))
 
     label = nodes.select("digest", "uid").join(classes.toDF("uid", "label"), "uid", "left").select("digest", F.coalesce("label", "uid").alias("label"))
-    rows = signs.select("id", "digest", "worded").join(label, "digest", "left")
-    out = rows.select(F.col("id").alias("doc_id"), F.when(F.col("worded"), F.col("label")).otherwise(F.col("id")).alias("class_id"))
+    out = signs.select("id", "digest").join(label, "digest", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("label")).alias("class_id"))
     result, _ = materialize(out, "classes")
-    remove(spark, sets_path, members_path, nodes_path, signs_path)
+    remove(spark, sets_path, members_path, shared_path, nodes_path, signs_path)
     return result
 
 
