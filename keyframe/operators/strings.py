@@ -19,9 +19,8 @@ def set_if_absent(log: DataFrame, key: str = "key", seq: str = "seq", value: str
 
 
 def set_all_if_absent(new: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
-    """MSETNX: all rows of new if none of their keys exists, else none."""
-    clash = new.join(store.select(key), key, "left_semi").agg((F.count("*") == 0).alias("_free"))
-    return new.crossJoin(F.broadcast(clash)).where("_free").drop("_free")  # clash is one row
+    """MSETNX: all rows of new if none of their keys exists, else none (asked before the rows are used)."""
+    return new if new.join(store.select(key), key, "left_semi").isEmpty() else new.limit(0)
 
 
 def get_many(store: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
