@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import TEXT_ROWS, batch_rows, scratch
 from .tokens import encoder
 
 SEQUENCE = 1024
@@ -151,7 +151,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     files = dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
     listed = scratch(spark, "token-files-list")
-    files.write.parquet(listed)
+    with batch_rows(spark, TEXT_ROWS):
+        files.write.parquet(listed)
     return spark.read.schema(files.schema).parquet(listed)
 
 

@@ -5,12 +5,16 @@ lines match if the Jaccard similarity of their sets is at least `threshold`. A l
 removed if a line that stands earlier in the input - in a document of smaller id, or
 above it - matches it, whether or not that one stays.
 
-Join: words are ordered by rarity (their counts over all texts, in a hashed table of
-fixed size; ties by hash). Matching sets share one of their rarest words, so each set
+Join: words are ordered by rarity (in how many different lines they stand, counted in a
+hashed table of fixed size; ties by hash). Matching sets share one of their rarest words, so each set
 is listed under its prefix of n - ceil(t n) + 1 words only. Under a word, pairs pass a
 length filter, a positional filter (what can still overlap from here) and a parity
 filter (each word flips one of 64 bits; sets that differ in d words differ in at most d
-bits); what is left is verified on the full sets. No filter loses a match.
+bits). No filter loses a match. The pairs that pass aren't written out, as thousands of
+variants of a line would make millions: a task only passes on the listings that have a
+pair. Those get their full sets; under each word their pairs are verified exactly, each
+pair where its first common word is, and a set's number of matches and the earliest line
+among them are returned.
 
 Equal sets are one; in-task repeats are dropped before the shuffle, so a line that a
 third of all documents hold is listed once per task. Lines of one to three different
@@ -29,57 +33,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD_GAP, materialize, mix64, slices, span_hashes, text_column, word_spans
+from .common import TEXT_ROWS, WORD_GAP, materialize, mix64, slices, span_hashes, text_column, word_spans
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 20
 BLOCK = 1 << 12
 LEAST_LISTED = 4
+#: Pairs that are verified at a time.
+PAIRS = 4096
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Words that sets of n and m must share to match."""
-    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype(np.int64)
-
-
-def word_classes(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Rarity class (0 rarest .. 63) of each bucket of word hashes, from counts over all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, data, offsets in slices(text_column(batch.column(0))):
-                starts, ends, _ = word_spans(data, offsets)
-                total += np.bincount((span_hashes(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        parts = total.astype(np.uint32).reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(63, np.log2(1 + v) * 2).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], names=["block", "classes"])
-
-    parts = docs.select(text_col).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, classes binary")
-    classes = np.zeros(BUCKETS, np.uint8)
-    for r in parts.toLocalIterator():  # BUCKETS bytes in all
-        classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["classes"], np.uint8)
-    return classes
-
-
-def line_sets(docs: DataFrame, id_col: str, text_col: str, classes: np.ndarray) -> DataFrame:
+def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line with words, and one for a document without: doc_id, n_lines, line, set_key, n, tokens.
 
-    tokens (in order of rarity, 32 bits each) stand at a set's first line in a slice only.
+    tokens (32 bits each) stand at a set's first line in a slice only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
     feed = np.uint8(10)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
         for batch in batches:
             for first, data, offsets in slices(text_column(batch.column(1))):
                 n_rows = len(offsets) - 1
@@ -90,7 +62,7 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str, classes: np.ndarray)
                 above = np.searchsorted(feeds, starts)
                 line = above + row  # rises by one at each line feed and each row
                 number, row_of, line_no = _lines(line, row, above - before[row])
-                keys, sizes, tokens = _sets(h, number, len(row_of), classes)
+                keys, sizes, tokens = _sets(h, number, len(row_of))
                 _, lead = np.unique(keys, return_index=True)
                 leads = np.zeros(len(keys), bool)
                 leads[lead] = True
@@ -116,6 +88,41 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str, classes: np.ndarray)
     return rows.mapInArrow(sets, "doc_id long, n_lines int, line int, set_key long, n int, tokens binary")
 
 
+def word_classes(sets: DataFrame) -> np.ndarray:
+    """Rarity class (0 rarest .. 63) of each bucket of tokens, from their counts over all stored sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(0)])
+                total += np.bincount(flat & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        parts = total.astype(np.uint32).reshape(-1, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(63, np.log2(1 + v) * 2).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], names=["block", "classes"])
+
+    parts = sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, classes binary")
+    classes = np.zeros(BUCKETS, np.uint8)
+    for r in parts.toLocalIterator():  # BUCKETS bytes in all
+        classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["classes"], np.uint8)
+    return classes
+
+
+def by_rarity(flat: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The tokens of sets (one after the other), each set's in order of class and value."""
+    key = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(38), sizes)
+    key |= classes[flat & np.uint32(BUCKETS - 1)].astype(np.uint64) << np.uint64(32)
+    key |= flat
+    key.sort()
+    return key.astype(np.uint32)
+
+
 def _lines(line: np.ndarray, row: np.ndarray, line_no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words to consecutive line numbers; each line's row and number in its text."""
     if not len(line):
@@ -124,14 +131,12 @@ def _lines(line: np.ndarray, row: np.ndarray, line_no: np.ndarray) -> tuple[np.n
     return np.cumsum(new) - 1, row[new], line_no[new]
 
 
-def _sets(h: np.ndarray, number: np.ndarray, n_lines: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key and size of each line's set, and all sets' tokens one after the other, each in order of rarity."""
+def _sets(h: np.ndarray, number: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key and size of each line's set, and all sets' tokens one after the other."""
     keys, sizes, tokens = np.zeros(n_lines, np.uint64), np.zeros(n_lines, np.int64), [np.zeros(0, np.uint32)]
-    rare = classes[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-    place = (rare << np.uint64(46)) | (h >> np.uint64(18))
     for base in range(0, n_lines, 1 << 12):  # 12 bits of a sort key are the line
         a, b = np.searchsorted(number, [base, base + (1 << 12)])
-        key = ((number[a:b] - base).astype(np.uint64) << np.uint64(52)) | place[a:b]
+        key = ((number[a:b] - base).astype(np.uint64) << np.uint64(52)) | (h[a:b] >> np.uint64(12))
         key.sort()
         key = key[np.r_[True, key[1:] != key[:-1]]]
         of = (key >> np.uint64(52)).astype(np.int64) + base
@@ -143,98 +148,154 @@ def _sets(h: np.ndarray, number: np.ndarray, n_lines: int, classes: np.ndarray)
     return keys, sizes, np.concatenate(tokens)
 
 
-def prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """token, n, place, set_key, parity: a row for each prefix word of each listed set."""
+def parities(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits of each set, one of which each token flips."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(flat.astype(np.uint64)) & np.uint64(63)), starts)
+
+
+def prefix_entries(sets: DataFrame, classes, threshold: float) -> DataFrame:
+    """token, size (n, and the word's place below it), set_key, parity: a row for each prefix word of each listed set. classes: broadcast."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy().astype(np.int64)
             if not len(n):
                 continue
-            flat = np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)])
+            flat = by_rarity(np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)]), n, classes.value)
             starts = np.cumsum(n) - n
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(flat.astype(np.uint64)) & np.uint64(63)), starts)
+            parity = parities(flat, starts)
             length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             row = np.repeat(np.arange(len(n)), length)
             place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[starts[row] + place].view(np.int32)), pa.array(n[row], pa.int32()), pa.array(place, pa.int32()), pa.array(batch.column(0).to_numpy()[row]), pa.array(parity[row].view(np.int64))],
-                names=["token", "n", "place", "set_key", "parity"],
+                [pa.array(flat[starts[row] + place].view(np.int32)), pa.array(n[row] << 32 | place), pa.array(batch.column(0).to_numpy()[row]), pa.array(parity[row].view(np.int64))],
+                names=["token", "size", "set_key", "parity"],
             )
 
-    return sets.where(F.col("tokens").isNotNull() & (F.col("n") >= LEAST_LISTED)).select("set_key", "n", "tokens").mapInArrow(entries, "token int, n int, place int, set_key long, parity long")
-
-
-def candidates(entries: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of sets that pass the filters under a word."""
-
-    def pairs(token, n, place, key, parity) -> Iterator[pa.RecordBatch]:
-        k, step = np.arange(len(token) - 1), 1
-        found: list[np.ndarray] = []
-        held = 0
-        while len(k):
-            k = k[k + step < len(token)]
-            j = k + step
-            near = (token[k] == token[j]) & (n[k] >= threshold * n[j] - 1e-9)  # n rises within a word: what fails now fails from here on
-            k, j = k[near], j[near]
-            least = least_overlap(n[k], n[j], threshold)
-            ok = 1 + np.minimum(n[k] - place[k], n[j] - place[j]) - 1 >= least
-            ok &= np.bitwise_count(parity[k] ^ parity[j]) <= n[k] + n[j] - 2 * least
-            ok &= key[k] != key[j]
-            if ok.any():
-                x, y = key[k[ok]], key[j[ok]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                held += len(x)
-                if held > 200_000:
-                    yield _pair_batch(found)
-                    found, held = [], 0
-            step += 1
-        if found:
-            yield _pair_batch(found)
+    return sets.where(F.col("tokens").isNotNull() & (F.col("n") >= LEAST_LISTED)).select("set_key", "n", "tokens").mapInArrow(entries, "token int, size long, set_key long, parity long")
+
+
+def passing_pairs(token: np.ndarray, size: np.ndarray, parity: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (k, j) of pairs under one word that pass the filters; entries come in the order of (token, size)."""
+    share, apart = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
+    n, rest = (size >> 32).astype(np.int32), ((size >> 32) - (size & 0xFFFFFFFF)).astype(np.int32)
+    # the smaller set (n rises within a word) must be able to reach the overlap with one of its own size
+    k = np.flatnonzero((token[:-1] == token[1:]) & (rest[:-1] >= 2 * share * n[:-1] - 1e-6))
+    step = 1
+    while len(k):
+        j = k + step
+        k, j = (k, j) if j[-1] < len(token) else (k[j < len(token)], j[j < len(token)])
+        near = (token[k] == token[j]) & (n[k] >= threshold * n[j] - 1e-6)  # what fails now fails from here on
+        k, j = k[near], j[near]
+        both = n[k] + n[j]
+        ok = np.flatnonzero(np.minimum(rest[k], rest[j]) >= share * both - 1e-6)
+        ok = ok[np.bitwise_count(parity[k[ok]] ^ parity[j[ok]]) <= apart * both[ok] + 1e-6]
+        if len(ok):
+            yield k[ok], j[ok]
+        step += 1
+
+
+def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
+    """rows (token first, then size) dealt by token; work gets batches of whole tokens in the order of (token, size)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last word may go on in the next batch
-            if cut:
-                yield from pairs(*(c[:cut] for c in cols))
-            held = [c[cut:] for c in cols]
-        if held is not None and len(held[0]):
-            yield from pairs(*held)
-
-    dealt = entries.repartition("token").sortWithinPartitions("token", "n")
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
-
-
-def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-@F.arrow_udf(T.DoubleType())
-def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Jaccard similarity of two stored sets."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-        both = np.concatenate([p, q])
+            token = batch.column(0).to_numpy()
+            if not len(token):
+                continue
+            cut = int(np.searchsorted(token, token[-1]))  # the last word may go on in the next batch
+            if cut or held and held[-1].column(0)[-1].as_py() != token[0]:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("token").sortWithinPartitions("token", "size").mapInArrow(scan, schema)
+
+
+def listings_with_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """The entries that pass the filters with another set under their word."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, size, key = (table.column(c).to_numpy() for c in ("token", "size", "set_key"))
+        parity = table.column("parity").to_numpy().view(np.uint64)
+        held = np.zeros(len(token), bool)
+        for k, j in passing_pairs(token, size, parity, threshold):
+            differ = key[k] != key[j]
+            held[k[differ]] = held[j[differ]] = True
+        if held.any():
+            yield from table.filter(pa.array(held)).to_batches()
+
+    return by_word(entries, work, "token int, size long, set_key long, parity long").distinct()
+
+
+def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (k, j) of sets match and have no word in common before k's `place`."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    flat = np.concatenate(tokens).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+
+    def keys(side: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """pair and token, of the first n tokens of each set."""
+        pair = np.repeat(np.arange(len(side)), n)
+        within = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        return (pair.astype(np.uint64) << np.uint64(32)) | flat[starts[side][pair] + within]
+
+    def shared(k: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Tokens in common of each pair, of the first n and m."""
+        both = np.concatenate([keys(k, n), keys(j, m)])
         both.sort()
-        n = int((both[1:] == both[:-1]).sum())
-        out.append(n / (len(both) - n))
-    return pa.array(out, pa.float64())
-
-
-def matching_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b (set keys, a < b) of all matching pairs of different sets."""
-    pairs, _ = materialize(candidates(prefix_entries(sets, threshold), threshold), "line-pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    full = sets.where("tokens IS NOT NULL").select("set_key", "tokens").join(involved, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
-    full, _ = materialize(full, "line-tokens")
-    named = pairs.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b")
-    return named.where(jaccard("ta", "tb") >= threshold - 1e-12).select("a", "b")
+        return np.bincount((both[:-1][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(k))
+
+    # a common word before this one stands before it in both, as the order is one for all
+    ok = shared(k, j, place[k], place[j]) == 0
+    k, j = k[ok], j[ok]
+    common = shared(k, j, sizes[k], sizes[j])
+    ok[ok] = common >= threshold * (sizes[k] + sizes[j] - common) - 1e-9
+    return ok
+
+
+def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """set_key, n_links, there: how many other sets match each set, and the earliest line (doc_id, line) of those; sets without any aren't listed."""
+    classes = sets.sparkSession.sparkContext.broadcast(word_classes(sets))
+    listed, _ = materialize(listings_with_pairs(prefix_entries(sets, classes, threshold), threshold), "line-listings")
+    involved = listed.select("set_key").distinct()
+    full = sets.where("tokens IS NOT NULL").select("set_key", "tokens").hint("merge").join(involved, "set_key").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    least = -(1 << 63)  # stands for a null id
+    full, _ = materialize(full.join(firsts, "set_key").select("set_key", "tokens", F.coalesce("first.doc_id", F.lit(least)).alias("doc_id"), "first.line"), "line-tokens")
+    rows = listed.join(full.hint("merge"), "set_key").select("token", "size", "set_key", "tokens", "doc_id", "line")
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, size, key, doc, line = (table.column(c).to_numpy() for c in ("token", "size", "set_key", "doc_id", "line"))
+        stored = [np.frombuffer(t.as_buffer(), np.uint32) for chunk in table.column("tokens").chunks for t in chunk]
+        sizes = np.array([len(t) for t in stored], np.int64)
+        flat = by_rarity(np.concatenate(stored), sizes, classes.value)
+        tokens, parity = np.split(flat, np.cumsum(sizes)[:-1]), parities(flat, np.cumsum(sizes) - sizes)
+        place = (size & 0xFFFFFFFF).astype(np.int64)
+        order = np.lexsort((line, doc))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        n_links, best = np.zeros(len(key), np.int64), np.full(len(key), len(key), np.int64)
+        for ks, js in passing_pairs(token, size, parity, threshold):
+            for i in range(0, len(ks), PAIRS):
+                k, j = ks[i : i + PAIRS], js[i : i + PAIRS]
+                used, local = np.unique(np.concatenate([k, j]), return_inverse=True)
+                ok = verified([tokens[u] for u in used], place[used], local[: len(k)], local[len(k) :], threshold)
+                k, j = k[ok], j[ok]
+                np.add.at(n_links, k, 1)
+                np.add.at(n_links, j, 1)
+                np.minimum.at(best, k, rank[j])
+                np.minimum.at(best, j, rank[k])
+        at = np.flatnonzero(n_links)
+        if len(at):
+            there = order[best[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(n_links[at]), pa.array(doc[there]), pa.array(line[there])], names=["set_key", "n_links", "doc_id", "line"])
+
+    found = by_word(rows, work, "set_key long, n_links long, doc_id long, line int")
+    there = F.struct(F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"), "line")
+    return found.groupBy("set_key").agg(F.sum("n_links").alias("n_links"), F.min(there).alias("there"))
 
 
 def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -242,12 +303,10 @@ def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first_*: the earliest line that matches (itself if none does).
     """
-    sets, _ = materialize(line_sets(docs, id_col, text_col, word_classes(docs, text_col)), "line-sets")
-    links, _ = materialize(matching_sets(sets, threshold), "line-links")
+    sets, _ = materialize(line_sets(docs, id_col, text_col), "line-sets", TEXT_ROWS)
     firsts = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     firsts, _ = materialize(firsts, "line-firsts")
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("set_key", "other")
-    linked = both.join(firsts.toDF("other", "there"), "other").groupBy("set_key").agg(F.count("*").alias("n_links"), F.min("there").alias("there"))
+    linked, _ = materialize(matching_sets(sets, firsts, threshold), "line-links", 4 * TEXT_ROWS)
     # least() skips nulls, and a null id is smaller than any other within the struct
     earliest = firsts.join(linked, "set_key", "left").select("set_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "there").alias("earliest"))
     rows = sets.select("doc_id", "n_lines", "line", "set_key").join(earliest, "set_key", "left")

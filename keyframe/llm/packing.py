@@ -5,9 +5,10 @@ of that point on a Hilbert curve is its key. Documents are range-sorted by the k
 laid end to end along the curve, cut every `length` tokens, so neighbours share
 sequences and only the last sequence of all has padding.
 
-Plan: texts are dealt out by ranges of (key, a digest of the text's id), which also
-splits a large group of equal texts; each task sorts its range, encodes it and writes
-ids with their place in the range. A row per range gives the ranges' starts. A second
+Plan: texts are dealt out by ranges of (key, a digest of the id), which also splits a
+large group of equal texts. The ranges' bounds come from a sample of about `SAMPLE` rows,
+so that keys are computed once; they only even out the tasks. Each task sorts its range,
+encodes it and writes ids with their place in the range. A row per range gives the ranges' starts. A second
 pass over the written ids cuts the pieces. Nothing grows with the data on the driver
 but that one row per range.
 
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, span_hashes, text_column, word_spans
+from .common import TEXT_ROWS, materialize, slices, span_hashes, text_column, word_spans
 from .tokens import encoder
 
 LENGTH = 1024
 DIMENSIONS = 4
 ORDER = 8  # bits of a key for each dimension
+SAMPLE = 10_000
 
 
 def hilbert(points: np.ndarray, order: int) -> np.ndarray:
@@ -87,6 +89,26 @@ def curve_key(texts: pa.Array) -> pa.Array:
     return pa.array(hilbert(text_points(texts), ORDER))
 
 
+def along_curve(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    """doc_id, text, curve_key, tie: dealt to `parts` partitions, in ranges of (curve_key, tie), each range sorted."""
+    tie = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 44)  # 20 bits
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
+    place = lambda key: F.shiftleft(key, 20).bitwiseOR(F.col("tie"))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select(place(curve_key("text")).alias("place"))
+    cuts = sample.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+    bounds = np.array(sorted(cuts)[: parts - 1], np.int64)
+
+    @F.arrow_udf(T.StructType().add("key", "long").add("part", "integer"))
+    def dealt(texts: pa.Array, ties: pa.Array) -> pa.Array:
+        key = hilbert(text_points(texts), ORDER)
+        part = np.searchsorted(bounds, (key << 20) | ties.to_numpy(), "right")
+        return pa.StructArray.from_arrays([pa.array(key), pa.array(part, pa.int32())], ["key", "part"])
+
+    rows = rows.withColumn("at", dealt("text", "tie")).select("doc_id", "text", F.col("at.key").alias("curve_key"), "tie", F.col("at.part").alias("part"))
+    return rows.repartitionById(parts, "part").sortWithinPartitions("curve_key", "tie", "doc_id").drop("part")
+
+
 def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """part, at (tokens before it in its part), doc_id, curve_key, n_tokens, ids: written to the shared folder."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -106,11 +128,8 @@ def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
                     names=["part", "at", "doc_id", "curve_key", "n_tokens", "width", "ids"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), curve_key(F.col(text_col)).alias("curve_key"))
-    order = [F.col("curve_key"), F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    coded = dealt.mapInArrow(encode, "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
-    return materialize(coded, "packed-ids")[0]
+    coded = along_curve(docs, id_col, text_col, n).mapInArrow(encode, "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
+    return materialize(coded, "packed-ids", TEXT_ROWS)[0]
 
 
 def cut_pieces(coded: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFrame:

@@ -13,16 +13,19 @@ at a greater length, and positions drop out once their rank is unique:
    make one run; its rank pair is (anchor name, name of the run's whole text). Spark
    sorts these pairs with their positions: a run that repeats an earlier one whole is
    removed whole, an anchor that stands once drops out.
-3. Runs that share an anchor but not their whole text are ranked window by window at the
-   full length: (name of 64 bytes, name of 64 bytes ending the window), 128 bits. Spark
-   sorts them; each but the first of a name is a repeat.
+3. Runs that share an anchor but not their whole text are cut into blocks of 8 windows,
+   counted from the anchor. A block's rank pair is (name of what all its windows share,
+   name of its whole text), ranked in the same way.
+4. What is left, the blocks in which a repeat begins or ends, is ranked window by window
+   at the full length; each window but the first of a name is a repeat.
 
 Equal texts are one node: all but the first copy are removed whole (if `length` long),
 and only the first goes through the steps. In a task, repeats of a rank that the task
 has met are settled before the exchange, so a passage that a third of all documents
 hold reaches a sorting task once per map task. Sorting tasks hold one rank at a time.
 
-Texts go through two exchanges: to rank windows, and to cut the bytes.
+Texts go through three exchanges: to leave out equal ones, to name blocks, and to cut the
+bytes. Names are 64-bit hashes; a rank pair has two of them.
 
 Defined results: a null text is empty; texts shorter than `length` stay whole; rows that
 repeat an id are documents in the order of their texts' digests; a null id stands before
@@ -39,20 +42,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, materialize, mix64, slices, text_column
+from .common import BYTE_CODE, TEXT_ROWS, materialize, mix64, slices, text_column
 
 LENGTH = 100
 ANCHOR = 32
-#: Kinds of rows: a run to rank, bytes known to be repeated, a run to rank window by window.
-RUN, REPEAT, WINDOWS = 0, 1, 2
+BLOCK = 8
+#: Kinds of rows: windows to rank, bytes known to be repeated, windows to rank more finely.
+RUN, REPEAT, FINER = 0, 1, 2
 
 
-def names(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit name of the `length` (a power of two) bytes from each position on, by doubling."""
-    name, have = BYTE_CODE[data], 1
+#: Multiplier of the names; a name of 2n bytes is name(first n) * FACTOR ** n + name(last n).
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def names(data: np.ndarray, length: int, start: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """A 64-bit name of the `length` (a power of two) bytes from each position on, by doubling; start: (names, length) to go on from."""
+    name, have = start or (BYTE_CODE[data], 1)
     with np.errstate(over="ignore"):
         while have < length:
-            name = mix64(name[:-have] * np.uint64(0x9E3779B97F4A7C15) + mix64(name[have:] + np.uint64(have))) if len(name) > have else name[:0]
+            name = name[:-have] * np.uint64(pow(FACTOR, have, 1 << 64)) + name[have:] if len(name) > have else name[:0]
             have *= 2
     return name
 
@@ -68,36 +76,31 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor name, name of the run's text, its second half) of all runs of windows that share an anchor."""
+    """(row, first window, last window, anchor name, anchor place, name of the whole text) of all runs of windows that share an anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    name = names(data, ANCHOR)
+        return none, none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+    raw = names(data, ANCHOR)
+    name = mix64(raw)
     width = length - ANCHOR + 1
     least = sliding(name, width, np.minimum)  # of each window
     n = len(least)
-    # the leftmost least name's place: carried from right to left over equal minima
-    at = np.where(name[:n] == least, np.arange(n), -1)
-    place = np.full(n, -1)
-    last = np.zeros(n, np.int64)
-    hits = np.flatnonzero(name == np.r_[least, np.zeros(len(name) - n, np.uint64)])
-    del at, last
-    # candidates are positions that are the least of some window; the first such at or after the window's start holds its least
-    chosen = np.flatnonzero(name == _covering_max(least, width, len(name)))
-    del hits
-    nxt = np.searchsorted(chosen, np.arange(n))
-    place = chosen[np.minimum(nxt, len(chosen) - 1)]
-    wrong = name[place] != least
-    while wrong.any():  # a candidate between that is the least of other windows only
-        nxt = nxt + wrong
-        place = chosen[np.minimum(nxt, len(chosen) - 1)]
-        wrong = name[place] != least
+    # candidates are the positions that are the least of some window; a window's anchor is the first of them that has its least
+    is_chosen = name == _covering_max(least, width, len(name))
+    chosen = np.flatnonzero(is_chosen)
+    nxt = np.cumsum(is_chosen)[:n] - is_chosen[:n]
+    place = chosen[nxt]
+    wrong = np.flatnonzero(name[place] != least)
+    while len(wrong):  # a candidate between that is the least of other windows only
+        nxt[wrong] += 1
+        place[wrong] = chosen[nxt[wrong]]
+        wrong = wrong[name[place[wrong]] != least[wrong]]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[:n] == row[length - 1 : length - 1 + n]
     first = inside & np.r_[True, (place[1:] != place[:-1]) | ~inside[:-1] | (row[1:n] != row[: n - 1])]
     stop = inside & np.r_[(place[1:] != place[:-1]) | ~inside[1:] | (row[1:n] != row[: n - 1]), True]
     starts, ends = np.flatnonzero(first), np.flatnonzero(stop)
-    return row[starts], starts, ends, name[place[starts]], place[starts]
+    return row[starts], starts, ends, name[place[starts]], place[starts], text_names(names(data, 64, (raw, ANCHOR)), starts, ends + length)
 
 
 def _covering_max(least: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -106,36 +109,34 @@ def _covering_max(least: np.ndarray, width: int, n: int) -> np.ndarray:
     return sliding(padded, width, np.maximum)[:n]
 
 
-def text_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of the byte ranges, of 64 bytes or more, from two overlapping or touching pieces and the length."""
-    name, have = BYTE_CODE[data], 1
+def text_names(name: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of byte ranges of 64 .. 192 bytes, from the 64-byte names: of the first, the next and the last 64 bytes, and the length."""
     with np.errstate(over="ignore"):
-        while have < 64:
-            name = mix64(name[:-have] * np.uint64(0x9E3779B97F4A7C15) + mix64(name[have:] + np.uint64(have)))
-            have *= 2
         size = ends - starts
         out = mix64(name[starts] + size.astype(np.uint64)) * np.uint64(0xD1342543DE82EF95)
         out = mix64(out + name[np.maximum(starts, np.minimum(starts + 64, ends - 64))])
         return mix64(out * np.uint64(0xA0761D6478BD642F) + name[ends - 64])
 
 
-def window_names(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of the windows of `length` (64 .. 128) bytes."""
-    name = names(data, 64)
-    return name[starts], name[starts + length - 64]
-
+RANKED = "kind int, x long, y long, doc long, start int, size int, inner binary"
 
-RANKED = "kind int, x long, y long, doc long, start int, stop int"
 
-
-def _batch(kind: int, x, y, doc, start, stop) -> pa.RecordBatch:
+def _batch(kind: int, x, y, doc, start, size, inner: list | None = None) -> pa.RecordBatch:
+    """size: windows less one, and the anchor's place from the first one in the bits above 8; for REPEAT the bytes."""
     n = len(doc)
+    ints = [pa.array(np.asarray(v).astype(np.int64)) for v in (x, y, doc)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(x).astype(np.int64)), pa.array(np.asarray(y).astype(np.int64)), pa.array(doc), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))],
-        names=["kind", "x", "y", "doc", "start", "stop"],
+        [pa.array(np.full(n, kind, np.int32)), *ints, pa.array(np.asarray(start).astype(np.int32)), pa.array(np.asarray(size).astype(np.int32)), pa.array(inner if inner is not None else [None] * n, pa.binary())],
+        names=["kind", "x", "y", "doc", "start", "size", "inner"],
     )
 
 
+def _repeats(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Known repeats (in order of doc and start); they are dealt by document."""
+    d, a, b = merged(doc, start, stop)
+    return _batch(REPEAT, mix64(d.astype(np.uint64)), np.zeros(len(d)), d, a, b - a)
+
+
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping or touching ranges of a document as one; ranges come in order of (doc, start)."""
     if not len(doc):
@@ -159,144 +160,132 @@ def find_runs(texts: DataFrame, length: int) -> DataFrame:
             column = text_column(batch.column(1)).take(pa.array(order))
             docs = docs[order]
             for first, data, offsets in slices(column):
-                row, start, last, anchor, _ = runs(data, offsets, length)
+                row, start, last, anchor, place, whole = runs(data, offsets, length)
                 if not len(row):
                     continue
                 stop = last + length
-                whole = text_names(data, start, stop)
                 doc, base = docs[first + row], offsets[row]
                 pair = mix64(anchor) ^ whole
                 _, lead = np.unique(pair, return_index=True)
                 is_lead = np.zeros(len(pair), bool)
                 is_lead[lead] = True
                 again = ~is_lead
-                yield _batch(RUN, anchor[is_lead], whole[is_lead], doc[is_lead], (start - base)[is_lead], (last - base)[is_lead])
+                size = (last - start) | (place - start) << 8
+                yield _batch(RUN, anchor[is_lead], whole[is_lead], doc[is_lead], (start - base)[is_lead], size[is_lead])
                 if again.any():
-                    d, a, b = merged(doc[again], (start - base)[again], (stop - base)[again])
-                    yield _batch(REPEAT, mix64(d.astype(np.uint64)), np.zeros(len(d)), d, a, b)
+                    yield _repeats(doc[again], (start - base)[again], (stop - base)[again])
 
     return texts.mapInArrow(find, RANKED)
 
 
-def rank(rows: DataFrame, step, order: list[str]) -> DataFrame:
-    """Sort ranked rows by rank and position and pass each task's through `step`, which sees whole ranks."""
+def rank(rows: DataFrame, length: int, finer: bool = True) -> DataFrame:
+    """Sort ranked rows by rank pair and position: in the order of (x, y, doc, start) all but the first of a pair are
+    repeats; if `finer`, the firsts of an x with several y go on."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(6)]
-            kept = cols[0] == REPEAT
-            if kept.any():
-                yield batch.filter(pa.array(kept))
-            rest = ~kept
-            if rest.any():
-                yield from step(state, *(c[rest] for c in cols[1:]))
-        yield from step(state, *(np.zeros(0, np.int64) for _ in range(5)), final=True)
-
-    return rows.repartition("x").sortWithinPartitions(*order).mapInArrow(scan, RANKED)
-
-
-def rank_runs(length: int):
-    """Runs in the order of (anchor, text, doc, start): all but the first of a text are repeats; the firsts of an anchor with several texts go on."""
-
-    def step(state: dict, x, y, doc, start, stop, final: bool = False) -> Iterator[pa.RecordBatch]:
-        if not len(x):
-            return
-        prev_x, prev_y = state.get("x"), state.get("y")
-        same_x = np.r_[prev_x is not None and x[0] == prev_x, x[1:] == x[:-1]]
-        same = same_x & np.r_[prev_y is not None and y[0] == prev_y, y[1:] == y[:-1]]
+            known = batch.column(0).to_numpy() == REPEAT
+            if known.any():
+                yield batch.filter(pa.array(known))
+                batch = batch.filter(pa.array(~known))
+            if batch.num_rows:
+                yield from step(state, batch)
+
+    def step(state: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x, y, doc, start, size = (batch.column(k).to_numpy() for k in range(1, 6))
+        same_x = np.r_[bool(state) and x[0] == state["x"], x[1:] == x[:-1]]
+        same = same_x & np.r_[bool(state) and y[0] == state["y"], y[1:] == y[:-1]]
         if same.any():
-            yield _batch(REPEAT, mix64(doc[same].astype(np.uint64)), np.zeros(int(same.sum())), doc[same], start[same], stop[same].astype(np.int64) + length)
-        # firsts of their text; an anchor's first text waits until a second one comes
-        lead = np.flatnonzero(~same)
-        further = same_x[lead]
-        out = list(lead[further])
-        opener = np.flatnonzero(~further)
-        follows = np.r_[further[1:], False] if len(further) else further
-        out += list(lead[opener][follows[opener]])
-        emit = [(x[i], doc[i], start[i], stop[i]) for i in out]
+            bytes_ = (size[same] & 255) + length
+            yield _batch(REPEAT, mix64(doc[same].astype(np.uint64)), np.zeros(int(same.sum())), doc[same], start[same], bytes_)
         waiting = state.get("waiting")
-        if waiting is not None and len(lead) and further[0]:
-            emit.append(waiting)
-            waiting = None
-        if len(opener):
-            i = lead[opener[-1]]
-            waiting = None if follows[opener[-1]] else (x[i], doc[i], start[i], stop[i])
+        if finer:
+            lead = np.flatnonzero(~same)
+            further = same_x[lead]
+            follows = np.r_[further[1:], False] if len(lead) else further
+            onward = lead[further | follows]
+            if waiting is not None and len(lead) and further[0]:  # the x of an earlier batch has a second y here
+                yield waiting
+                waiting = None
+            if len(lead) and not further[-1]:  # the last x may have one in the next batch
+                waiting = _go_on(batch, lead[-1:])
+            elif len(lead):
+                waiting = None
+            if len(onward):
+                yield _go_on(batch, onward)
         state |= {"x": x[-1], "y": y[-1], "waiting": waiting}
-        if emit:
-            ex, ed, es, ee = (np.array(c, np.int64) for c in zip(*emit, strict=True))
-            yield _batch(WINDOWS, ex, np.zeros(len(ex)), ed, es, ee)
 
-    return step
+    def _go_on(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        rows = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), FINER, np.int32)), *rows.columns[1:]], names=rows.schema.names)
 
+    return rows.repartition("x").sortWithinPartitions("x", "y", "doc", "start").mapInArrow(scan, RANKED)
 
-def rank_windows(length: int):
-    """Windows in the order of (name, doc, start): all but the first of a name are repeats."""
-
-    def step(state: dict, x, y, doc, start, stop, final: bool = False) -> Iterator[pa.RecordBatch]:
-        if not len(x):
-            return
-        px, py = state.get("x"), state.get("y")
-        same = np.r_[px is not None and x[0] == px and y[0] == py, (x[1:] == x[:-1]) & (y[1:] == y[:-1])]
-        state |= {"x": x[-1], "y": y[-1]}
-        if same.any():
-            yield _batch(REPEAT, mix64(doc[same].astype(np.uint64)), np.zeros(int(same.sum())), doc[same], start[same], start[same].astype(np.int64) + length)
-
-    return step
 
-
-def window_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The windows of the runs that go on, named at full length: texts come to their runs by document."""
+def block_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """The runs that go on, cut into blocks with their rank pairs and their windows' names; texts come to them by document."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            for i, text in enumerate(batch.column(1)):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                pairs = np.array([(r["start"], r["stop"]) for r in batch.column(2)[i].as_py()], np.int64).reshape(-1, 2)
-                pairs = pairs[np.argsort(pairs[:, 0])]
-                for a, b in zip(*_spans(pairs, 1 << 18), strict=True):
-                    part = data[a : b + length]
-                    own = pairs[(pairs[:, 0] <= b) & (pairs[:, 1] >= a)]
-                    mark = np.zeros(b - a + 2, np.int32)
-                    np.add.at(mark, np.maximum(own[:, 0], a) - a, 1)
-                    np.add.at(mark, np.minimum(own[:, 1], b) - a + 1, -1)
-                    at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                    x, y = window_names(part, at, length)
-                    _, lead = np.unique(x ^ mix64(y), return_index=True)
-                    is_lead = np.zeros(len(at), bool)
-                    is_lead[lead] = True
-                    yield _batch(RUN, x[is_lead], y[is_lead], np.full(int(is_lead.sum()), docs[i]), at[is_lead] + a, at[is_lead] + a)
-                    if not is_lead.all():
-                        again = at[~is_lead] + a
-                        d, s, e = merged(np.full(len(again), docs[i]), again, again + length)
-                        yield _batch(REPEAT, mix64(d.astype(np.uint64)), np.zeros(len(d)), d, s, e)
-
-    wanted = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return texts.join(wanted, "doc").select("doc", "text", "ranges").mapInArrow(name, RANKED)
-
-
-def _spans(pairs: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Ranges of positions that hold all pairs (sorted), joined while close, none much over `most` long."""
-    lows: list[int] = []
-    highs: list[int] = []
-    for a, b in pairs.tolist():
-        if lows and a <= highs[-1] + 256 and b - lows[-1] <= most:
-            highs[-1] = max(highs[-1], b)
-        else:
-            lows.append(a)
-            highs.append(b)
-    return lows, highs
+            docs, ranges = batch.column(0).to_numpy(), batch.column(2)
+            for i, data, offsets in slices(text_column(batch.column(1))):
+                own = ranges.slice(i, len(offsets) - 1)
+                row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+                start, size = (own.flatten().field(k).to_numpy() for k in (0, 1))
+                start = start + offsets[row]
+                order = np.argsort(start)
+                yield from blocks(docs[i : i + len(own)], offsets, data, row[order], start[order], (size & 255)[order], (size >> 8)[order])
+
+    def blocks(docs: np.ndarray, offsets: np.ndarray, data: np.ndarray, row: np.ndarray, start: np.ndarray, width: np.ndarray, to_anchor: np.ndarray) -> Iterator[pa.RecordBatch]:
+        run = np.repeat(np.arange(len(start)), width + 1)
+        at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(width + 1) - width - 1, width + 1)
+        left = (start + to_anchor)[run] - at  # bytes before the anchor
+        lead = np.flatnonzero(np.r_[True, (left[1:] // BLOCK != left[:-1] // BLOCK) | (run[1:] != run[:-1])])
+        last = np.r_[lead[1:], len(at)] - 1
+        low, high, group = at[lead], at[last], left[lead] // BLOCK
+        doc, base = docs[row[run[lead]]], offsets[row[run[lead]]]
+        name = names(data, 64)
+        # what all windows of a full block have in common, named with the block's place by the anchor
+        common = low + left[lead] - group * BLOCK
+        core = text_names(name, common, common + length - BLOCK + 1) + mix64(group.astype(np.uint64) + np.uint64(7))
+        whole = text_names(name, low, high + length)
+        windows = text_names(name, at, at + length)
+        _, firsts = np.unique(core ^ mix64(whole), return_index=True)
+        new = np.zeros(len(lead), bool)
+        new[firsts] = True
+        inner = [windows[a : b + 1].tobytes() for a, b in zip(lead[new].tolist(), last[new].tolist(), strict=True)]
+        yield _batch(RUN, core[new], whole[new], doc[new], (low - base)[new], (high - low)[new], inner)
+        if not new.all():
+            yield _repeats(doc[~new], (low - base)[~new], (high - base)[~new] + length)
+
+    wanted = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
+    return texts.hint("merge").join(wanted, "doc").sortWithinPartitions("doc").select("doc", "text", "ranges").mapInArrow(name, RANKED)
+
+
+def window_rows(blocks: DataFrame) -> DataFrame:
+    """The windows of the blocks that go on, ranked by their names."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
+            if parts:
+                n = np.array([len(p) for p in parts])
+                names_ = np.concatenate(parts)
+                place = np.arange(len(names_)) - np.repeat(np.cumsum(n) - n, n)
+                yield _batch(RUN, names_, np.zeros(len(names_)), np.repeat(doc, n), np.repeat(start, n) + place, np.zeros(len(names_)))
+
+    return blocks.mapInArrow(unfold, RANKED)
 
 
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """doc, start, stop: ranges of bytes (they may overlap) that repeat earlier ones, of rows of doc and text."""
-    order = ["x", "y", "doc", "start"]
-    found, _ = materialize(rank(find_runs(texts, length), rank_runs(length), order), "ranked-runs")
-    onward = found.where(F.col("kind") == WINDOWS)
-    windows = rank(window_rows(onward, texts, length), rank_windows(length), order)
-    windows, _ = materialize(windows, "ranked-windows")
-    return found.where(F.col("kind") == REPEAT).union(windows).select("doc", "start", "stop")
+    """doc, start, size: ranges of bytes (they may overlap) that repeat earlier ones, of rows of doc and text."""
+    found, _ = materialize(rank(find_runs(texts, length), length), "ranked-runs", 4 * TEXT_ROWS)
+    blocks, _ = materialize(rank(block_rows(found.where(F.col("kind") == FINER), texts, length), length), "ranked-blocks", 4 * TEXT_ROWS)
+    windows, _ = materialize(rank(window_rows(blocks.where(F.col("kind") == FINER)), length, finer=False), "ranked-windows")
+    known = [df.where(F.col("kind") == REPEAT).select("doc", "start", "size") for df in (found, blocks, windows)]
+    return known[0].union(known[1]).union(known[2])
 
 
 def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -315,7 +304,7 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
             removed, spans, sums = [], [], []
             for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                pairs = np.array([(r["start"], r["stop"]) for r in found or []], np.int64).reshape(-1, 2)
+                pairs = np.array([(r["start"], r["start"] + r["size"]) for r in found or []], np.int64).reshape(-1, 2)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 _, a, b = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
                 removed.append(int((b - a).sum()))
@@ -328,9 +317,9 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
                 sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums)], names=["doc", "n_removed", "n_spans", "kept_sha256"])
 
-    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     done = texts.join(by_doc, "doc", "left").select("doc", "text", "ranges").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept_sha256 string")
-    done, _ = materialize(done, "cut-texts")
+    done, _ = materialize(done, "cut-texts", TEXT_ROWS)
     out = keys.join(firsts, "digest").join(done, "doc", "left")
     short = F.col("n_bytes") < length
     first = F.col("doc_id") == F.col("doc")

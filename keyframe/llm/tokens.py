@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer, a word at a time.
 
 A tokenizer's pre-tokenizer never joins what stands on both sides of a gap, so a text
-is split at its spaces and line feeds, each different piece is encoded once and the
-ids are put together again. Pieces are kept in a bounded table for the life of a
-worker. A text with any other white space goes to the tokenizer whole.
+is split at its spaces and line feeds, each different piece is encoded once by the
+tokenizer and the ids are put together again. Pieces are kept in a bounded table for
+the life of a worker. A text with any other white space goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from functools import cache
 
 import numpy as np
 
-#: Pieces kept at most; the table is emptied when full, which changes speed only.
-MOST_PIECES = 400_000
-#: Longer pieces aren't kept.
-LONG_PIECE = 64
-
-#: A gap and what follows it (the gap belongs to the next word), or a gap at the end.
+#: Pieces in the table at most. A full table is set aside for one that starts with what it is asked for again;
+#: what isn't asked for until that is full is forgotten. This changes speed only.
+MOST_PIECES = 600_000
+#: A piece with its gap in front, for texts with runs of gaps.
 GAP_FIRST = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space besides the space and the line feed, by any library's account, and the mark of literal pieces.
+OTHER_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x00"
+OTHER_SPACE = OTHER_ASCII + "\x85\xa0 ᠎           ​    　﻿"
+RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 class Encoder:
@@ -32,31 +33,68 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        normalizer = self.tokenizer.normalizer
-        self.drops_space = normalizer is not None and "Replace" in str(normalizer)
-        self.known: dict[str, bytes] = {"": b""}
+        self.drops_space = "Replace" in str(self.tokenizer.normalizer or "")
+        self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _split(self, text: str) -> list[str] | None:
+        """Keys of the pieces: a word stands for itself after a space, a key with NUL in front is literal."""
+        if any(c in text for c in (OTHER_ASCII if text.isascii() else OTHER_SPACE)):
+            return None
+        if self.drops_space:
+            return text.split()
+        if any(run in text for run in RUNS) or text[:1] in ("", " ", "\n"):
+            return ["\x00" + p for p in GAP_FIRST.findall(text)]
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\x00" + pieces[0]
+        return pieces
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _literal(self, key: str) -> str:
+        if self.drops_space or key[:1] == "\n":
+            return key
+        return key[1:] if key[:1] == "\x00" else " " + key
 
-    def _pieces(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.drops_space else GAP_FIRST.findall(text)
+    def _learn(self, keys: list[str]) -> None:
+        """Encode new pieces; a comma or full stop after a letter is a token's end, so such a piece is its stem's ids and the sign's."""
+        stems = {}
+        for k in keys:
+            if len(k) > 1 and k[-1] in ".," and k[-2].isalpha() and len(k[-2].lower()) == 1:
+                stems[k] = k[:-1]
+        fresh = list({*(stems.get(k, k) for k in keys), "\x00.", "\x00,", ".", ","}.difference(self.known))
+        for i in range(0, len(fresh), 8192):
+            part = fresh[i : i + 8192]
+            coded = self.tokenizer.encode([self._literal(k) for k in part], is_pretokenized=True, add_special_tokens=False)
+            ids, word = np.array(coded.ids, self.dtype), np.array(coded.word_ids, np.int64)
+            at = np.searchsorted(word, np.arange(len(part) + 1))
+            data, width = ids.tobytes(), self.dtype.itemsize
+            self.known.update((k, data[a * width : b * width]) for k, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        sign = {c: self.known[c if self.drops_space else "\x00" + c] for c in ".,"}
+        self.known.update((k, self.known[stem] + sign[k[-1]]) for k, stem in stems.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+        """The ids of each text; equal texts that stand together are encoded once."""
+        alone = list(dict.fromkeys(texts))
+        if len(alone) < len(texts):
+            coded = dict(zip(alone, self.encode(alone), strict=True))
+            return [coded[t] for t in texts]
         if len(self.known) > MOST_PIECES:
-            self.known = {"": b""}
-        known = self.known
-        split = [None if OTHER_SPACE.search(t) else self._pieces(t) for t in texts]
-        new = list({p for pieces in split if pieces is not None for p in pieces if p not in known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            fresh.update(zip(part, self._whole(part), strict=True))
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONG_PIECE)
-        fresh = {p: ids for p, ids in fresh.items() if len(p) > LONG_PIECE}
-        find = (lambda p: known[p] if p in known else fresh[p]) if fresh else known.__getitem__
-        return [self._whole([t])[0] if pieces is None else b"".join(map(find, pieces)) for t, pieces in zip(texts, split, strict=True)]
+            self.known, self.aside = {}, self.known
+        split = [self._split(t) for t in texts]
+        new: set[str] = set()
+        for pieces in split:
+            if pieces is not None:
+                new |= set(pieces).difference(self.known)
+        if self.aside:
+            again = {p for p in new if p in self.aside}
+            self.known.update((p, self.aside[p]) for p in again)
+            new -= again
+        if new:
+            self._learn(list(new))
+        find = self.known.__getitem__
+        return [self._whole(t) if pieces is None else b"".join(map(find, pieces)) for t, pieces in zip(texts, split, strict=True)]
 
 
 @cache
