@@ -28,8 +28,8 @@ Texts go through three exchanges: to leave out equal ones, to name blocks, and t
 bytes. Names are 64-bit hashes; a rank pair has two of them.
 
 Defined results: a null text is empty; texts shorter than `length` stay whole; rows that
-repeat an id are documents in the order of their texts' digests; a null id stands before
-all others; bytes that are no longer UTF-8 after a cut are hashed as they are.
+repeat an id are documents in the order of their texts' digests (of equal rows one is the
+first copy); a null id stands before all others; bytes that are no longer UTF-8 after a cut are hashed as they are.
 """
 
 from __future__ import annotations
@@ -293,10 +293,17 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
     keys, _ = materialize(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("doc"))
-    first_ids = firsts.select(F.col("doc"), F.col("digest").alias("_digest"))
-    texts = rows.join(first_ids, (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("_digest"))).where(F.octet_length("text") >= length).select("doc", "text")
-    texts, _ = materialize(texts.dropDuplicates(["doc"]) if repeats_ids(keys) else texts, "first-texts")
+    odd = odd_ids(keys)
+    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.bool_or(F.col("doc_id").isNull()).alias("_null"))
+    firsts = firsts.select("digest", F.when(~F.col("_null"), F.col("_least")).alias("first_id"))
+    if odd:  # a number for each text, in the order of (id, digest)
+        firsts, _ = materialize(firsts.orderBy(F.asc_nulls_first("first_id"), "digest").withColumn("doc", F.monotonically_increasing_id()), "first-ids")
+        keys = keys.groupBy("doc_id", "digest", "n_bytes").agg(F.count("*").alias("_n")).select("doc_id", "digest", "n_bytes", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("copy"))
+    else:
+        firsts, keys = firsts.withColumn("doc", F.col("first_id")), keys.withColumn("copy", F.lit(1))
+    first_ids = firsts.select("doc", "first_id", F.col("digest").alias("_digest"))
+    texts = rows.join(first_ids, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("_digest"))).where(F.octet_length("text") >= length).select("doc", "text")
+    texts, _ = materialize(texts.dropDuplicates(["doc"]) if odd else texts, "first-texts")
     ranges = repeated_ranges(texts, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +329,7 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
     done, _ = materialize(done, "cut-texts", TEXT_ROWS)
     out = keys.join(firsts, "digest").join(done, "doc", "left")
     short = F.col("n_bytes") < length
-    first = F.col("doc_id") == F.col("doc")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1)
     nothing = F.sha2(F.lit(""), 256)
     whole = rows.where(F.octet_length("text") < length).select("digest", F.sha2("text", 256).alias("sha")).distinct()
     return out.join(whole, "digest", "left").select(
@@ -334,6 +341,6 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def repeats_ids(keys: DataFrame) -> bool:
-    """Whether an id stands more than once."""
-    return not keys.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def odd_ids(keys: DataFrame) -> bool:
+    """Whether an id is null or stands more than once."""
+    return not keys.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()

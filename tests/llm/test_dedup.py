@@ -65,6 +65,19 @@ def test_substrings_odd(spark, odd_docs, no_docs, odd_texts):
     assert one[8] == (300_000, 299_999) and one[1] == (0, 0)
 
 
+def test_substrings_null_and_repeated_ids(spark, prose):
+    rng = random.Random(5)
+    passage, *own = (prose(rng, 80) for _ in range(9))
+    rows = [(None, own[0]), (None, f"{own[1]} {passage}"), (3, f"{passage} {own[2]}"), (3, f"{own[3]} {passage}"), (3, own[4]), (3, own[4])]
+    rows += [(5, own[0]), (5, own[5] + own[1]), (7, own[4]), (-2, own[6]), (8, own[7] + own[6])]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    found = brute_substrings([(i, text) for i, (_, text) in enumerate(ordered)])
+    want = sorted((str(r[0]), *found[i]) for i, r in enumerate(ordered))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.without_repeated_substrings(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
