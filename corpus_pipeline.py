@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 stage's rows as Parquet in the shared folder and gives them to the next. All but the
-last return the columns of documents.
+last return the columns of documents. Rows are documents of their own, whatever their
+ids: stages that need a key give each row one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from keyframe.llm import common, language, lines, mixing, neardup, packing
 from keyframe.llm.queries import tokenizer_path
 
+#: Column of a row's own key within a stage: ids may be null or repeat.
+ROW = "_row_key"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest (no letter, no text) goes."""
@@ -20,17 +24,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier line; n_chars follows the text."""
-    return lines.without_duplicate_lines(docs, length_col="n_chars")
+    return lines.without_duplicate_lines(common.with_row_keys(docs, ROW), id_col=ROW, length_col="n_chars").drop(ROW)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    return neardup.representatives(docs, neardup.near_duplicate_classes(docs))
+    """One document of each group of near duplicates: that of the smallest id, null before all others."""
+    rows = common.with_row_keys(docs, ROW)
+    return neardup.representatives(rows, neardup.near_duplicate_classes(rows, id_col=ROW), id_col=ROW).drop(ROW)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each epoch, the last one cut where the mix stops."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    rows = common.with_row_keys(docs, ROW)
+    return mixing.mixed_documents(rows, mixing.mix_sources(rows, id_col=ROW), id_col=ROW).drop(ROW)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_row_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a key of its own for each row: the id, or, where an id is null or repeats, the row's number in the order
+    of (id, nulls first; text's digest; digest of the row)."""
+    ids = docs.groupBy(id_col).agg(F.count("*").alias("n"))
+    if ids.where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn(key_col, F.col(id_col).cast("long"))
+    order = [F.asc_nulls_first(id_col), F.asc_nulls_first(F.md5(text_col)), F.xxhash64(*docs.columns)]
+    rows, _ = materialize(docs.orderBy(*order).withColumn(key_col, F.monotonically_increasing_id()), "row-keys", TEXT_ROWS)
+    part = F.shiftright(key_col, 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before = [sum(r["n"] for r in sizes[:i]) for i in range(len(sizes))]
+    starts = docs.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before, strict=True)], "_part long, _before long")
+    place = F.col(key_col).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return rows.join(F.broadcast(starts), part == F.col("_part")).withColumn(key_col, place).drop("_part", "_before")
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from every fit: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

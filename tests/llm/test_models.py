@@ -129,6 +129,27 @@ def test_neighbours_odd(spark):
     assert neighbours.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, prose):
+    rng = random.Random(4)
+    own = [prose(rng, 60 + 5 * i) for i in range(8)]
+    near = own[0].replace(" ", " odd ", 1)  # a near copy of the first null-id row
+    rows = [(None, own[0]), (None, own[1]), (None, ""), (None, near), (4, own[2]), (4, own[3]), (5, own[4]), (6, own[5]), (6, own[5]), (7, f"{own[6]}\n{own[7]}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    want = sorted((str(i), t) for i, t in rows if t != near)
+    want.remove(("6", own[5]))
+    got = key(stages["near_dedup"](spark, docs, ""))
+    assert got == want or got == sorted([x for x in want if x[1] != own[0]] + [("None", near)])
+    lines_ = {(str(i), t) for i, t in rows if i != 6 and t not in (own[0], near)}
+    assert lines_ <= set(key(stages["line_dedup"](spark, docs, "")))
+    # a budget of 1.5 times all words: each row once whole, and again as far as it goes
+    mixed = key(stages["mixing"](spark, docs, ""))
+    whole = sum(len(t.split()) for _, t in rows)
+    assert sum(len(t.split()) for _, t in mixed) == round(1.5 * whole)
+    assert {(str(i), t) for i, t in rows if t} <= set(mixed)
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
