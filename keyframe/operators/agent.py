@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .leases import opens_window
+
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the bytes, rounded up, at least 1."""
@@ -56,8 +58,6 @@ def quota_pressure(calls: DataFrame, window_ms: int, key: str = "key", ts: str =
     return calls.withColumn("requests", F.count("*").over(window)).withColumn("window_tokens", F.sum(tokens).over(window))
 
 
-def tool_claims(calls: DataFrame, lease_ms: int, key: str = "call_id", ts: str = "ts_ms") -> DataFrame:
-    """AGENT.TOOL.CLAIM: whether each claim gets the lease: nobody claimed within lease_ms before. (A refused claim doesn't extend a lease;
-    the exact fold over refused claims is the streaming form.)"""
-    last = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return calls.withColumn("granted", last.isNull() | (F.col(ts) - last >= lease_ms))
+def tool_claims(calls: DataFrame, lease_ms: int, key: str = "call_id", ts: str = "ts_ms", *ties: str) -> DataFrame:
+    """AGENT.TOOL.CLAIM: whether each claim gets the lease: none was granted within lease_ms before. A refused claim doesn't extend a lease."""
+    return opens_window(calls, [key], ts, lease_ms, "granted", *ties)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .leases import opens_window
+
 
 def entry_range(entries: DataFrame, start: tuple[int, int], end: tuple[int, int], count: int | None = None, reverse: bool = False) -> DataFrame:
     """XRANGE, XREVRANGE: entries with start <= id <= end; the bounds on ms reach the scan."""
@@ -44,9 +46,8 @@ def accepted(entries: DataFrame, arrival: str) -> DataFrame:
 
 
 def idempotent(entries: DataFrame, producer: str = "producer", token: str = "token", window_ms: int = 100) -> DataFrame:
-    """XADD IDMP: without an entry whose producer sent the same token less than window_ms before."""
-    last = F.lag("ms").over(Window.partitionBy("key", producer, token).orderBy("ms", "seq"))
-    return entries.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("ms") - F.col("_last") >= window_ms)).drop("_last")
+    """XADD IDMP: without an entry whose producer's same token was taken less than window_ms before; what is left out doesn't extend the window."""
+    return opens_window(entries, ["key", producer, token], "ms", window_ms, "_taken", "seq").where("_taken").drop("_taken")
 
 
 def deliver(entries: DataFrame, consumers: int, as_of_ms: Column) -> DataFrame:

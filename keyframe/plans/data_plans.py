@@ -359,7 +359,7 @@ def _(s, d):
 @query("tool_claim_replay", "WITH r AS (SELECT event_id, (epoch_us(ts) // 1000) AS ms, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS last FROM events) SELECT event_id, last IS NULL OR ms - last >= 60000 AS granted FROM r")
 def _(s, d):
     calls = table(s, d, "events").select("event_id", F.col("user_id").alias("call_id"), F.struct(F.expr(MILLIS_SQL).alias("ms"), "event_id").alias("at"), F.expr(MILLIS_SQL).alias("ts_ms"))
-    return agent.tool_claims(calls, 60_000).select("event_id", "granted")
+    return agent.tool_claims(calls, 60_000, "call_id", "ts_ms", "event_id").select("event_id", "granted")
 
 
 # -------------------------------------------------------------------------------------- pub/sub

@@ -119,6 +119,29 @@ def test_agents(spark):
     assert [r[0] for r in rows(agent.lineage(spark, steps, "loop"))] == ["loop"]
 
 
+def fold_windows(rows, span):
+    """Positions of the (key, time) rows that open a window, in order."""
+    until, opened = {}, []
+    for i, (key, t) in enumerate(rows):
+        if t >= until.get(key, t):
+            until[key] = t + span
+            opened.append(i)
+    return opened
+
+
+def test_refused_claims_extend_nothing(spark):
+    import random
+
+    rng = random.Random(1)
+    calls = sorted(((rng.randint(0, 3), 1000 * rng.randint(0, 900)) for _ in range(400)), key=lambda r: r[1])
+    calls = [(9, 0), (9, 40_000), (9, 80_000), *calls]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(calls)], "call_id long, ts_ms long, claim long").repartition(3)
+    got = rows(agent.tool_claims(df, 60_000, "call_id", "ts_ms", "claim").where("granted").select("claim"), "claim")
+    assert [r[0] for r in got] == fold_windows(calls, 60_000) and (0,) in got and (1,) not in got and (2,) in got
+    entries = df.selectExpr("'s' AS key", "ts_ms AS ms", "claim AS seq", "call_id AS producer", "1 AS token")
+    assert [r[0] for r in rows(streams.idempotent(entries, window_ms=60_000).select("seq"), "seq")] == fold_windows(calls, 60_000)
+
+
 def test_pubsub(spark):
     m = spark.createDataFrame([("news.a", "1"), ("news.b", "2"), ("other", "3")], "channel string, payload string")
     assert rows(pubsub.subscribed(m, ["other"], ["news.?"]).select("payload"), "payload") == [("1",), ("2",), ("3",)]
