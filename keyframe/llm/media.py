@@ -144,17 +144,38 @@ def _ogg(b: bytes, at: int) -> int:
     return p - at
 
 
+PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+
+
 def _pdf(b: bytes, at: int) -> int:
+    """To the last end mark whose table is reached from this head and from no later one; if there is none, to the first."""
+    heads, done, size = [at], at, 0
+    for mark in PDF_END.finditer(b, at):
+        while (head := b.find(b"%PDF-", max(done, at + 1), mark.start())) >= 0:
+            heads.append(head)
+            done = head + 1
+        done = max(done, mark.start() - 4)
+        for head in reversed(heads):
+            table = head + int(mark[1])
+            if table < mark.start() and PDF_TABLE.match(b, table):
+                size = mark.end() - at if head == at else size
+                break
+    if size:
+        return size
     end = b.find(b"%%EOF", at)
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 
 
 def _zip(b: bytes, at: int) -> int:
+    """To the first end record whose offsets fit; those of archives stored inside don't."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if start + size == end - at and end + 22 + note <= len(b) else 0
+    while 0 <= end <= len(b) - 22:
+        size, start, note = struct.unpack_from("<IIH", b, end + 12)
+        if start + size == end - at and end + 22 + note <= len(b):
+            return end + 22 + note - at
+        end = b.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -172,11 +193,20 @@ def _gzip(b: bytes, at: int) -> int:
     return 0
 
 
+#: Boxes that may have size 0: they reach to the end.
+TO_THE_END = (b"mdat", b"moov", b"moof", b"meta", b"free", b"skip", b"wide", b"uuid")
+
+
 def _mp4(b: bytes, at: int) -> int:
     p = at
     while p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not kind.isalnum() or p == at and n > 256:
+        least = 8
+        if n == 1 and p + 16 <= len(b):  # the size stands behind the kind
+            n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
+        elif n == 0 and p > at and kind in TO_THE_END:
+            n = len(b) - p
+        if n < least or p + n > len(b) or not kind.isalnum() or p == at and n > 256:
             break
         p += n
     return p - at

@@ -170,3 +170,40 @@ def test_sniffing(spark):
     parts = media.embedded(got, "id", "blob").collect()
     assert {(r["id"], r["type"], r["depth"], bytes(r["bytes"]) == png) for r in parts} == {(2, "image/png", 0, True), (3, "image/png", 1, True)}
     assert {r["id"]: r["sniffed"]["type"] for r in got.collect()}[8] == media.UNKNOWN
+
+
+def test_items_that_hold_ends_of_others():
+    import io
+    import struct
+    import zipfile
+
+    def archive(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    def pdf(body, before=b"%PDF-1.4\n"):
+        at = len(before) + len(body)
+        return before + body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % at
+
+    size = lambda blob, at=0: next((n for a, n, *_ in media.carve(blob) if a == at), None)
+    inner = archive(a=b"text")
+    outer = archive(x=inner, y=b"more", z=inner)
+    assert size(outer) == len(outer) and size(outer, outer.index(inner)) == len(inner)
+    assert size(outer + inner) == len(outer) and size(b"?" * 7 + outer + b"??", 7) == len(outer)
+
+    one = pdf(b"1 0 obj\nendobj\n")
+    two = pdf(b"\n2 0 obj\nendobj\n", one)
+    line = pdf(b"1 0 obj\nendobj\nxref\nstartxref\n0\n%%EOF\n2 0 obj\nendobj\n")
+    held = pdf(b"1 0 obj\nstream\n" + two + b"\nendstream\nendobj\n")
+    for whole in (one, two, line, held):
+        assert size(whole) == len(whole) and size(whole + b"\n" + one) == len(whole) and size(whole + whole, len(whole)) == size(whole + whole) == len(whole)
+    assert size(held, held.index(two, 1)) == len(two)
+
+    head = struct.pack(">I4s8s", 16, b"ftyp", b"isom\0\0\2\0")
+    long = head + struct.pack(">I4sQ", 1, b"mdat", 16 + 300) + bytes(300) + struct.pack(">I4s", 8, b"free")
+    assert size(long) == len(long) and size(long + b"??") == len(long)
+    rest = head + struct.pack(">I4s", 0, b"mdat") + bytes(range(256))
+    assert size(rest) == len(rest) and size(head + bytes(30)) == len(head)
