@@ -91,7 +91,7 @@ def _(s, d):
 
 @query("str_lcs")
 def _(s, d):
-    p = table(s, d, "part").where("p_partkey <= 100")
+    p = table(s, d, "part")
     return p.select("p_partkey", strings.longest_common_subsequence(F.col("p_name"), F.col("p_type")).alias("lcs"))
 
 

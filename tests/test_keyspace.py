@@ -13,6 +13,16 @@ def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
+def test_queries_read_whole_tables(spark, tmp_path):
+    from keyframe import plans
+
+    spark.range(1, 301).selectExpr("id AS p_partkey", "concat('green', id) AS p_name", "'ECONOMY green' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    assert plans.QUERIES["str_lcs"](spark, str(tmp_path)).count() == 300
+    spark.range(250, 1001).selectExpr("id * 2 AS o_orderkey").union(spark.range(1, 500).selectExpr("id AS o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = plans.QUERIES["agent_checkpoint_history"](spark, str(tmp_path))
+    assert sorted(r["depth"] for r in got.collect()) == list(range(9))
+
+
 def test_bounded_increments(spark):
     log = spark.createDataFrame([("a", 1, 100), ("a", 2, 5), ("a", 3, -10), ("a", 4, 0)], "key string, seq long, delta long")
     assert rows(strings.bounded_increments(log)) == [("a", 95, 0)]
