@@ -1,15 +1,15 @@
 """Helpers shared by the corpus operators: shared scratch tables and vectorised text kernels.
 
 The kernels work on the Arrow buffers of a string column (one byte array and its
-offsets), a bounded slice at a time, so a task never holds more than a few
-megabytes of expanded text whatever the number of rows in a batch.
+offsets), a bounded slice at a time, so a task holds a few megabytes of expanded text
+whatever the number of rows in a batch; a longer text is a slice of its own, and some
+kernels expand it to about ten times its size.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -31,9 +31,11 @@ WORD_GAP[[32, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or a local one if unset."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where it is unset, a local folder, if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="keyframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,31 +47,29 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """Spark hands at most so many rows to Python at a time in the jobs run within."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, str(rows))
+def settings(spark: SparkSession, **values: str | None) -> Iterator[None]:
+    """Spark settings (dots as double underscores) for the jobs run within; None leaves one as it is."""
+    found = {k.replace("__", "."): v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in found}
+    for k, v in found.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, free: bool = True) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files of earlier steps aren't needed any more; Spark deletes them once the
-    driver's JVM has collected their plans, which takes two rounds, so those are asked for
-    first (free). rows: see batch_rows.
+    Spark deletes the shuffle files behind it once it is written, as nothing reads them
+    any more. rows: Spark hands at most so many to Python at a time.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    for _ in range(2 * free):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    with batch_rows(spark, rows):
+    batch = None if rows is None else str(rows)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=batch):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -92,9 +92,18 @@ def with_row_keys(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_co
     part = F.shiftright(key_col, 33)
     sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
     before = [sum(r["n"] for r in sizes[:i]) for i in range(len(sizes))]
-    starts = docs.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before, strict=True)], "_part long, _before long")
-    place = F.col(key_col).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
-    return rows.join(F.broadcast(starts), part == F.col("_part")).withColumn(key_col, place).drop("_part", "_before")
+    of, ahead = free_name("_part", rows), free_name("_before", rows)
+    starts = docs.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before, strict=True)], f"{of} long, {ahead} long")
+    place = F.col(key_col).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(ahead)
+    return rows.join(F.broadcast(starts), part == F.col(of)).withColumn(key_col, place).drop(of, ahead)
+
+
+def free_name(name: str, *dfs: DataFrame) -> str:
+    """name, with underscores before it until no column of dfs has it (names are compared without regard to case)."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def held_out(id_col: str = "doc_id"):

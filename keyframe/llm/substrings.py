@@ -2,30 +2,32 @@
 
 Every byte covered by a `length`-byte string that also starts earlier (in a smaller
 document, or earlier in the same one) is removed. As in a suffix array built by prefix
-doubling, a position's rank at one length gives, with the rank some places on, its rank
-at a greater length, and positions drop out once their rank is unique:
-
-1. Lengths 1, 2, 4 .. 32: ranks are 64-bit names, each made of the pair (name here, name
-   half a length on). This needs no exchange, so it is done where the text is.
-2. Of the 32-byte names in any `length` consecutive bytes, the one with the least name is
-   the anchor. Equal strings have equal anchors in the same place, so only anchors are
-   ranked among all texts: about 3 in 100 positions. The windows that share an anchor
-   make one run; its rank pair is (anchor name, name of the run's whole text). Spark
-   sorts these pairs with their positions: a run that repeats an earlier one whole is
-   removed whole, an anchor that stands once drops out.
-3. Runs that share an anchor but not their whole text are cut into blocks of 8 windows,
-   counted from the anchor. A block's rank pair is (name of what all its windows share,
-   name of its whole text), ranked in the same way.
-4. What is left, the blocks in which a repeat begins or ends, is ranked window by window
-   at the full length; each window but the first of a name is a repeat.
+doubling, Spark sorts positions by pairs of what they are at one length and at a greater
+offset, hands out ranks in that order, and goes on with the ranks at a greater length;
+positions drop out once their rank is unique, and it ends at the threshold:
+
+1. 32 bytes. Names of 1, 2, 4 .. 32 bytes are made where the text is. Of the 32-byte names
+   in any `length` consecutive bytes, the one with the least name is the anchor. Equal
+   strings have equal anchors in the same place, so only anchors are sorted among all
+   texts: about 3 in 100 positions. The windows that share an anchor make one run. The
+   pair is (anchor, whole text of the run): a run that repeats an earlier one whole is
+   removed whole, an anchor that stands once drops out, the others get ranks.
+2. 64 bytes. The windows of the runs that are left are sorted by the pair (rank at 32 with
+   the anchor's place, name of 64 bytes); what is unique drops out, the rest is reranked.
+3. `length` bytes. The windows that are left are sorted by the pair (rank at 64, name of
+   the whole window); all but the first of a pair are repeats.
+
+Whether two strings are equal is decided in steps 1 and 3 by names of two 64-bit words;
+single words only make candidates.
 
 Equal texts are one node: all but the first copy are removed whole (if `length` long),
-and only the first goes through the steps. In a task, repeats of a rank that the task
-has met are settled before the exchange, so a passage that a third of all documents
-hold reaches a sorting task once per map task. Sorting tasks hold one rank at a time.
+and only the first goes through the steps. A task remembers the names it has met (up to
+a bound, the frequent ones longest) and settles their repeats itself, so a passage that a
+third of all documents hold reaches a sorting task about once per map task. Sorting tasks
+hold one batch. Long texts are worked on a piece at a time.
 
-Texts go through three exchanges: to leave out equal ones, to name blocks, and to cut the
-bytes. Names are 64-bit hashes; a rank pair has two of them.
+Texts go through three exchanges: to leave out equal ones, to name windows, and to cut
+the bytes.
 
 Defined results: a null text is empty; texts shorter than `length` stay whole; rows that
 repeat an id are documents in the order of their texts' digests (of equal rows one is the
@@ -39,28 +41,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, TEXT_ROWS, materialize, mix64, slices, text_column
+from .common import BYTE_CODE, TEXT_ROWS, materialize, mix64, remove, slices, text_column
 
 LENGTH = 100
 ANCHOR = 32
-BLOCK = 8
-#: Kinds of rows: windows to rank, bytes known to be repeated, windows to rank more finely.
-RUN, REPEAT, FINER = 0, 1, 2
+#: Lengths that the names of runs and windows can tell apart.
+LEAST_LENGTH, MOST_LENGTH = 64, 112
+#: Bytes of text that are named at a time.
+PIECE_BYTES = 1 << 20
+#: Names that a task remembers.
+MOST_SEEN = 1 << 18
+#: Kinds of rows: to be ranked, or bytes known to be repeated.
+RUN, REPEAT = 0, 1
 
+#: Multipliers of a name's two words; a name of 2n bytes is name(first n) * FACTOR ** n + name(last n).
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-#: Multiplier of the names; a name of 2n bytes is name(first n) * FACTOR ** n + name(last n).
-FACTOR = 0x9E3779B97F4A7C15
 
-
-def names(data: np.ndarray, length: int, start: tuple[np.ndarray, int] | None = None) -> np.ndarray:
-    """A 64-bit name of the `length` (a power of two) bytes from each position on, by doubling; start: (names, length) to go on from."""
+def names(data: np.ndarray, length: int, factor: int = FACTORS[0], start: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """A word of the name of the `length` (a power of two) bytes from each position on, by doubling; start: (names, length) to go on from."""
     name, have = start or (BYTE_CODE[data], 1)
     with np.errstate(over="ignore"):
         while have < length:
-            name = name[:-have] * np.uint64(pow(FACTOR, have, 1 << 64)) + name[have:] if len(name) > have else name[:0]
+            name = name[:-have] * np.uint64(pow(factor, have, 1 << 64)) + name[have:] if len(name) > have else name[:0]
             have *= 2
     return name
 
@@ -76,10 +83,10 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor name, anchor place, name of the whole text) of all runs of windows that share an anchor."""
-    none = np.zeros(0, np.int64)
+    """(row, first window, last window, anchor name, anchor place, both words of the whole text's name) of all runs of windows that share an anchor."""
+    none, nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+        return none, none, none, nothing, none, nothing, nothing
     raw = names(data, ANCHOR)
     name = mix64(raw)
     width = length - ANCHOR + 1
@@ -100,7 +107,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     first = inside & np.r_[True, (place[1:] != place[:-1]) | ~inside[:-1] | (row[1:n] != row[: n - 1])]
     stop = inside & np.r_[(place[1:] != place[:-1]) | ~inside[1:] | (row[1:n] != row[: n - 1]), True]
     starts, ends = np.flatnonzero(first), np.flatnonzero(stop)
-    return row[starts], starts, ends, name[place[starts]], place[starts], text_names(names(data, 64, (raw, ANCHOR)), starts, ends + length)
+    whole = [text_names(names(data, 64, FACTORS[0], (raw, ANCHOR)), starts, ends + length), text_names(names(data, 64, FACTORS[1]), starts, ends + length)]
+    return row[starts], starts, ends, name[place[starts]], place[starts], *whole
 
 
 def _covering_max(least: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -110,7 +118,7 @@ def _covering_max(least: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def text_names(name: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of byte ranges of 64 .. 192 bytes, from the 64-byte names: of the first, the next and the last 64 bytes, and the length."""
+    """A word of the names of byte ranges of 64 .. 192 bytes, from the 64-byte names: of the first, the next and the last 64 bytes, and the length."""
     with np.errstate(over="ignore"):
         size = ends - starts
         out = mix64(name[starts] + size.astype(np.uint64)) * np.uint64(0xD1342543DE82EF95)
@@ -118,23 +126,22 @@ def text_names(name: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix64(out * np.uint64(0xA0761D6478BD642F) + name[ends - 64])
 
 
-RANKED = "kind int, x long, y long, doc long, start int, size int, inner binary"
+#: x: the group; y, z: the rest of the pair; w: a word for the next round; size: windows less one and, in the bits above 8,
+#: the anchor's place from the first one (for REPEAT the bytes).
+RANKED = "kind int, x long, y long, z long, w long, doc long, start int, size int"
 
 
-def _batch(kind: int, x, y, doc, start, size, inner: list | None = None) -> pa.RecordBatch:
-    """size: windows less one, and the anchor's place from the first one in the bits above 8; for REPEAT the bytes."""
+def _batch(kind: int, x, y, z, w, doc, start, size) -> pa.RecordBatch:
     n = len(doc)
-    ints = [pa.array(np.asarray(v).astype(np.int64)) for v in (x, y, doc)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), *ints, pa.array(np.asarray(start).astype(np.int32)), pa.array(np.asarray(size).astype(np.int32)), pa.array(inner if inner is not None else [None] * n, pa.binary())],
-        names=["kind", "x", "y", "doc", "start", "size", "inner"],
-    )
+    longs = [pa.array(np.broadcast_to(np.asarray(v), n).astype(np.int64)) for v in (x, y, z, w, doc)]
+    ints = [pa.array(np.broadcast_to(np.asarray(v), n).astype(np.int32)) for v in (start, size)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, *ints], names=["kind", "x", "y", "z", "w", "doc", "start", "size"])
 
 
 def _repeats(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     """Known repeats (in order of doc and start); they are dealt by document."""
     d, a, b = merged(doc, start, stop)
-    return _batch(REPEAT, mix64(d.astype(np.uint64)), np.zeros(len(d)), d, a, b - a)
+    return _batch(REPEAT, mix64(d.astype(np.uint64)), 0, 0, 0, d, a, b - a)
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,161 +157,201 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[lead], start[lead], reach[last] - base[lead]
 
 
+class Seen:
+    """The first place met of each of up to MOST_SEEN names; where there are more, those that came again stay."""
+
+    def __init__(self) -> None:
+        self.one = self.two = np.zeros(0, np.uint64)
+        self.doc = self.start = self.hits = np.zeros(0, np.int64)
+
+    def repeats(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which rows (in order of doc and start) have a name that these or earlier rows have at an earlier place."""
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        again = np.zeros(len(one), bool)
+        again[order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]] = True
+        lead = order[~again[order]]  # in the order of names
+        if len(self.one):
+            at = np.minimum(np.searchsorted(self.one, one[lead]), len(self.one) - 1)
+            found = (self.one[at] == one[lead]) & (self.two[at] == two[lead])
+            at, met = at[found], lead[found]
+            self.hits[at] += 1
+            later = (doc[met] > self.doc[at]) | ((doc[met] == self.doc[at]) & (start[met] > self.start[at]))
+            again[met[later]] = True
+            self.doc[at[~later]], self.start[at[~later]] = doc[met[~later]], start[met[~later]]
+            lead = lead[~found]
+        self._add(one[lead], two[lead], doc[lead], start[lead])
+        return again
+
+    def _add(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        keep = slice(None)
+        if len(self.one) + len(one) > MOST_SEEN:
+            most = np.argsort(-self.hits, kind="stable")[: MOST_SEEN // 2]
+            keep = np.sort(most[self.hits[most] > 0])
+            one, two, doc, start = (v[: MOST_SEEN // 2] for v in (one, two, doc, start))
+        old = [v[keep] for v in (self.one, self.two, self.doc, self.start, self.hits)]
+        both = [np.concatenate(v) for v in zip(old, (one, two, doc, start, np.zeros(len(one), np.int64)), strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        self.one, self.two, self.doc, self.start, self.hits = (v[order] for v in both)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, bytes, offsets): the rows as they are, or a long one alone in pieces that have all its windows between them."""
+    if len(offsets) > 2 or len(data) <= 2 * PIECE_BYTES:
+        yield 0, data, offsets
+        return
+    for p in range(0, len(data) - length + 1, PIECE_BYTES):
+        part = data[p : p + PIECE_BYTES + length - 1]
+        yield p, part, np.array([0, len(part)])
+
+
 def find_runs(texts: DataFrame, length: int) -> DataFrame:
-    """Rows of doc and text to ranked rows: the runs of each slice, repeats within the slice settled."""
+    """Rows of doc and text to ranked rows: the runs of each piece, and the repeats that the task can tell."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            order = np.argsort(docs, kind="stable")  # earlier documents first, so a slice's first is its least
+            order = np.argsort(docs, kind="stable")
             column = text_column(batch.column(1)).take(pa.array(order))
             docs = docs[order]
-            for first, data, offsets in slices(column):
-                row, start, last, anchor, place, whole = runs(data, offsets, length)
-                if not len(row):
-                    continue
-                stop = last + length
-                doc, base = docs[first + row], offsets[row]
-                pair = mix64(anchor) ^ whole
-                _, lead = np.unique(pair, return_index=True)
-                is_lead = np.zeros(len(pair), bool)
-                is_lead[lead] = True
-                again = ~is_lead
-                size = (last - start) | (place - start) << 8
-                yield _batch(RUN, anchor[is_lead], whole[is_lead], doc[is_lead], (start - base)[is_lead], size[is_lead])
-                if again.any():
-                    yield _repeats(doc[again], (start - base)[again], (stop - base)[again])
+            for i, own, at in slices(column, PIECE_BYTES):
+                for shift, data, offsets in pieces(own, at, length):
+                    row, start, last, anchor, place, one, two = runs(data, offsets, length)
+                    if not len(row):
+                        continue
+                    doc, begin, stop = docs[i + row], start - offsets[row] + shift, last + length - offsets[row] + shift
+                    again = seen.repeats(one, two, doc, begin)
+                    size = (last - start) | (place - start) << 8
+                    new = ~again
+                    yield _batch(RUN, anchor[new], one[new], two[new], 0, doc[new], begin[new], size[new])
+                    if again.any():
+                        yield _repeats(doc[again], begin[again], stop[again])
 
     return texts.mapInArrow(find, RANKED)
 
 
-def rank(rows: DataFrame, length: int, finer: bool = True) -> DataFrame:
-    """Sort ranked rows by rank pair and position: in the order of (x, y, doc, start) all but the first of a pair are
-    repeats; if `finer`, the firsts of an x with several y go on."""
+def rank(rows: DataFrame, length: int, by: list[str], settle: bool, onward: bool) -> DataFrame:
+    """Sort rows by their pair and place, and go through them in that order.
+
+    settle: all but the first row of a pair (x, y, z) are repeats, and leave. onward: of
+    the rest, those that share `by` with another go on, with a rank for x; what is
+    unique leaves.
+    """
+    pair = ["x", "y", "z"] if settle else by
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        number, last, waiting = np.int64(TaskContext.get().partitionId()) << 36, None, None
         for batch in batches:
             known = batch.column(0).to_numpy() == REPEAT
             if known.any():
                 yield batch.filter(pa.array(known))
                 batch = batch.filter(pa.array(~known))
-            if batch.num_rows:
-                yield from step(state, batch)
-
-    def step(state: dict, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y, doc, start, size = (batch.column(k).to_numpy() for k in range(1, 6))
-        same_x = np.r_[bool(state) and x[0] == state["x"], x[1:] == x[:-1]]
-        same = same_x & np.r_[bool(state) and y[0] == state["y"], y[1:] == y[:-1]]
-        if same.any():
-            bytes_ = (size[same] & 255) + length
-            yield _batch(REPEAT, mix64(doc[same].astype(np.uint64)), np.zeros(int(same.sum())), doc[same], start[same], bytes_)
-        waiting = state.get("waiting")
-        if finer:
-            lead = np.flatnonzero(~same)
-            further = same_x[lead]
-            follows = np.r_[further[1:], False] if len(lead) else further
-            onward = lead[further | follows]
-            if waiting is not None and len(lead) and further[0]:  # the x of an earlier batch has a second y here
+            if not batch.num_rows:
+                continue
+            keys = {c: batch.column(c).to_numpy() for c in ("x", "y", "z")}
+            same = {c: np.r_[last is not None and v[0] == last[c], v[1:] == v[:-1]] for c, v in keys.items()}
+            last = {c: v[-1] for c, v in keys.items()}
+            lead = np.arange(batch.num_rows)
+            if settle:
+                again = np.logical_and.reduce([same[c] for c in pair])
+                lead = np.flatnonzero(~again)
+                if again.any():
+                    doc, start, size = (batch.column(c).to_numpy()[again] for c in ("doc", "start", "size"))
+                    yield _batch(REPEAT, mix64(doc.astype(np.uint64)), 0, 0, 0, doc, start, (size & 255) + length)
+            if not onward or not len(lead):
+                continue
+            further = np.logical_and.reduce([same[c] for c in by])[lead]
+            ranks = number + np.cumsum(~further)
+            number = ranks[-1]
+            if waiting is not None and further[0]:  # the last of an earlier batch has a second here
                 yield waiting
-                waiting = None
-            if len(lead) and not further[-1]:  # the last x may have one in the next batch
-                waiting = _go_on(batch, lead[-1:])
-            elif len(lead):
-                waiting = None
-            if len(onward):
-                yield _go_on(batch, onward)
-        state |= {"x": x[-1], "y": y[-1], "waiting": waiting}
-
-    def _go_on(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+            waiting = None
+            go = further | np.r_[further[1:], False]
+            if go.any():
+                yield ranked(batch, lead[go], ranks[go])
+            if not go[-1]:  # the last may have a second in the next batch
+                waiting = ranked(batch, lead[-1:], ranks[-1:])
+
+    def ranked(batch: pa.RecordBatch, at: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
         rows = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), FINER, np.int32)), *rows.columns[1:]], names=rows.schema.names)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(ranks), *rows.columns[2:]], names=rows.schema.names)
 
-    return rows.repartition("x").sortWithinPartitions("x", "y", "doc", "start").mapInArrow(scan, RANKED)
+    return rows.repartition(*by).sortWithinPartitions(*pair, "doc", "start").mapInArrow(scan, RANKED)
 
 
-def block_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The runs that go on, cut into blocks with their rank pairs and their windows' names; texts come to them by document."""
+def window_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """The windows of the runs that go on: (rank and place of the anchor, name of 64 bytes) and the whole window's name; texts come to them by document."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             docs, ranges = batch.column(0).to_numpy(), batch.column(2)
-            for i, data, offsets in slices(text_column(batch.column(1))):
+            for i, data, offsets in slices(text_column(batch.column(1)), PIECE_BYTES):
                 own = ranges.slice(i, len(offsets) - 1)
                 row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-                start, size = (own.flatten().field(k).to_numpy() for k in (0, 1))
-                start = start + offsets[row]
-                order = np.argsort(start)
-                yield from blocks(docs[i : i + len(own)], offsets, data, row[order], start[order], (size & 255)[order], (size >> 8)[order])
-
-    def blocks(docs: np.ndarray, offsets: np.ndarray, data: np.ndarray, row: np.ndarray, start: np.ndarray, width: np.ndarray, to_anchor: np.ndarray) -> Iterator[pa.RecordBatch]:
-        run = np.repeat(np.arange(len(start)), width + 1)
-        at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(width + 1) - width - 1, width + 1)
-        left = (start + to_anchor)[run] - at  # bytes before the anchor
-        lead = np.flatnonzero(np.r_[True, (left[1:] // BLOCK != left[:-1] // BLOCK) | (run[1:] != run[:-1])])
-        last = np.r_[lead[1:], len(at)] - 1
-        low, high, group = at[lead], at[last], left[lead] // BLOCK
-        doc, base = docs[row[run[lead]]], offsets[row[run[lead]]]
-        name = names(data, 64)
-        # what all windows of a full block have in common, named with the block's place by the anchor
-        common = low + left[lead] - group * BLOCK
-        core = text_names(name, common, common + length - BLOCK + 1) + mix64(group.astype(np.uint64) + np.uint64(7))
-        whole = text_names(name, low, high + length)
-        windows = text_names(name, at, at + length)
-        _, firsts = np.unique(core ^ mix64(whole), return_index=True)
-        new = np.zeros(len(lead), bool)
-        new[firsts] = True
-        inner = [windows[a : b + 1].tobytes() for a, b in zip(lead[new].tolist(), last[new].tolist(), strict=True)]
-        yield _batch(RUN, core[new], whole[new], doc[new], (low - base)[new], (high - low)[new], inner)
-        if not new.all():
-            yield _repeats(doc[~new], (low - base)[~new], (high - base)[~new] + length)
-
-    wanted = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
+                start, size, rank = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+                width = (size & 255) + 1
+                run = np.repeat(np.arange(len(start)), width)
+                at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(width) - width, width)
+                x = rank[run] << 7 | (start + (size >> 8))[run] - at
+                row = row[run]
+                for shift, part, _ in pieces(data, offsets, length):
+                    mine = np.ones(len(at), bool) if part is data else (at >= shift) & (at < shift + PIECE_BYTES)
+                    if mine.any():
+                        yield from windows(seen, docs[i + row[mine]], part, (offsets[row] + at - shift)[mine], at[mine], x[mine])
+
+    def windows(seen: Seen, doc: np.ndarray, data: np.ndarray, place: np.ndarray, at: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((at, doc))
+        doc, place, at, x = doc[order], place[order], at[order], x[order]
+        first, second = (names(data, 64, f) for f in FACTORS)
+        one, two = text_names(first, place, place + length), text_names(second, place, place + length)
+        again = seen.repeats(one, two, doc, at)
+        new = ~again
+        yield _batch(RUN, x[new], mix64(first[place[new]]), one[new], two[new], doc[new], at[new], 0)
+        if again.any():
+            yield _repeats(doc[again], at[again], at[again] + length)
+
+    wanted = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "x")).alias("ranges"))
     return texts.hint("merge").join(wanted, "doc").sortWithinPartitions("doc").select("doc", "text", "ranges").mapInArrow(name, RANKED)
 
 
-def window_rows(blocks: DataFrame) -> DataFrame:
-    """The windows of the blocks that go on, ranked by their names."""
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, start = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
-            if parts:
-                n = np.array([len(p) for p in parts])
-                names_ = np.concatenate(parts)
-                place = np.arange(len(names_)) - np.repeat(np.cumsum(n) - n, n)
-                yield _batch(RUN, names_, np.zeros(len(names_)), np.repeat(doc, n), np.repeat(start, n) + place, np.zeros(len(names_)))
-
-    return blocks.mapInArrow(unfold, RANKED)
-
-
-def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """doc, start, size: ranges of bytes (they may overlap) that repeat earlier ones, of rows of doc and text."""
-    found, _ = materialize(rank(find_runs(texts, length), length), "ranked-runs", 4 * TEXT_ROWS)
-    blocks, _ = materialize(rank(block_rows(found.where(F.col("kind") == FINER), texts, length), length), "ranked-blocks", 4 * TEXT_ROWS)
-    windows, _ = materialize(rank(window_rows(blocks.where(F.col("kind") == FINER)), length, finer=False), "ranked-windows")
-    known = [df.where(F.col("kind") == REPEAT).select("doc", "start", "size") for df in (found, blocks, windows)]
-    return known[0].union(known[1]).union(known[2])
+def repeated_ranges(texts: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
+    """doc, start, size: ranges of bytes (they may overlap) that repeat earlier ones, of rows of doc and text; and the tables they are in."""
+    at_32, a = materialize(rank(find_runs(texts, length), length, ["x"], settle=True, onward=True), "ranks-32", 4 * TEXT_ROWS)
+    windows = window_rows(at_32.where(F.col("kind") == RUN), texts, length)
+    at_64, b = materialize(rank(windows, length, ["x", "y"], settle=False, onward=True), "ranks-64", 4 * TEXT_ROWS)
+    left = at_64.where(F.col("kind") == RUN).select("kind", "x", F.col("z").alias("y"), F.col("w").alias("z"), F.lit(0).cast("long").alias("w"), "doc", "start", "size")
+    whole, c = materialize(rank(left, length, ["x"], settle=True, onward=False), f"ranks-{length}")
+    known = [df.where(F.col("kind") == REPEAT).select("doc", "start", "size") for df in (at_32, at_64, whole)]
+    return known[0].union(known[1]).union(known[2]), [a, b, c]
 
 
 def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
+    if not LEAST_LENGTH <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {LEAST_LENGTH} to {MOST_LENGTH}")
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
-    keys, _ = materialize(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
+    size = F.octet_length("text").cast("long")
+    keys, keys_at = materialize(rows.select("doc_id", "digest", size.alias("n_bytes"), F.when(size < length, F.sha2("text", 256)).alias("short_sha")), "text-digests")
     odd = odd_ids(keys)
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.bool_or(F.col("doc_id").isNull()).alias("_null"))
+    # the first row of each digest: that of the least id, null before all others
+    firsts = keys.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("doc_id").alias("_least"), F.bool_or(F.col("doc_id").isNull()).alias("_null"))
     firsts = firsts.select("digest", F.when(~F.col("_null"), F.col("_least")).alias("first_id"))
+    scratch = [keys_at]
     if odd:  # a number for each text, in the order of (id, digest)
-        firsts, _ = materialize(firsts.orderBy(F.asc_nulls_first("first_id"), "digest").withColumn("doc", F.monotonically_increasing_id()), "first-ids")
-        keys = keys.groupBy("doc_id", "digest", "n_bytes").agg(F.count("*").alias("_n")).select("doc_id", "digest", "n_bytes", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("copy"))
+        firsts, at = materialize(firsts.orderBy(F.asc_nulls_first("first_id"), "digest").withColumn("doc", F.monotonically_increasing_id()), "first-ids")
+        scratch.append(at)
+        keys = keys.groupBy("doc_id", "digest", "n_bytes", "short_sha").agg(F.count("*").alias("_n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
     else:
         firsts, keys = firsts.withColumn("doc", F.col("first_id")), keys.withColumn("copy", F.lit(1))
-    first_ids = firsts.select("doc", "first_id", F.col("digest").alias("_digest"))
-    texts = rows.join(first_ids, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("_digest"))).where(F.octet_length("text") >= length).select("doc", "text")
-    texts, _ = materialize(texts.dropDuplicates(["doc"]) if odd else texts, "first-texts")
-    ranges = repeated_ranges(texts, length)
+    firsts = firsts.withColumnRenamed("digest", "_digest")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("_digest"))
+    texts = rows.where(F.octet_length("text") >= length).join(firsts, is_first).select("doc", "text")
+    texts, texts_at = materialize(texts.dropDuplicates(["doc"]) if odd else texts, "first-texts")
+    ranges, ranges_at = repeated_ranges(texts, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,19 +373,21 @@ def without_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_co
 
     by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     done = texts.join(by_doc, "doc", "left").select("doc", "text", "ranges").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept_sha256 string")
-    done, _ = materialize(done, "cut-texts", TEXT_ROWS)
-    out = keys.join(firsts, "digest").join(done, "doc", "left")
-    short = F.col("n_bytes") < length
-    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1)
-    nothing = F.sha2(F.lit(""), 256)
-    whole = rows.where(F.octet_length("text") < length).select("digest", F.sha2("text", 256).alias("sha")).distinct()
-    return out.join(whole, "digest", "left").select(
+    done, done_at = materialize(done, "cut-texts", TEXT_ROWS)
+    remove(spark, texts_at, *ranges_at)
+    # rows find their text's result by id and digest, so the copies of one text aren't all in one task
+    done, found_at = materialize(done.join(firsts, "doc").drop("doc"), "cut-ids")
+    short, first = F.col("short_sha").isNotNull(), F.col("kept_sha256").isNotNull() & (F.col("copy") == 1)
+    out = keys.join(done, is_first, "left").select(
         "doc_id",
         "n_bytes",
         F.when(short, 0).when(first, F.col("n_removed")).otherwise(F.col("n_bytes")).cast("long").alias("n_removed"),
         F.when(short, 0).when(first, F.col("n_spans")).otherwise(1).cast("long").alias("n_spans"),
-        F.when(short, F.col("sha")).when(first, F.col("kept_sha256")).otherwise(nothing).alias("kept_sha256"),
+        F.when(short, F.col("short_sha")).when(first, F.col("kept_sha256")).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"),
     )
+    result, _ = materialize(out, "substrings")
+    remove(spark, done_at, found_at, *scratch)
+    return result
 
 
 def odd_ids(keys: DataFrame) -> bool:
