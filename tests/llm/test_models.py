@@ -156,3 +156,43 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
             out = stage(spark, docs, "")
             assert out.columns == docs.columns, name
             out.count()
+
+
+def test_neighbours_of_proportional_vectors_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base * (1 + i % 13)).tolist()) for i in range(200)] + [(300 + i, rng.normal(size=8).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    score = lambda i: float(neighbours.cosines(np.array(rows[100][1]), np.array([rows[i][1]]))[0])
+    want = sorted((i for i in range(200) if i != 100), key=lambda i: (-score(i), i))[:5]
+    got = neighbours.nearest_neighbours(df, df.where("vec_id = 100")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == want and [r["score"] for r in got] == [score(i) for i in want]
+    huge = spark.createDataFrame([(0, [1e300, 1e300]), (50, [1e-300, 2e-300]), (1, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in neighbours.nearest_neighbours(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 50), (0, 1)]
+
+
+def test_neighbours_deal_a_bin_s_queries_and_a_list_s_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BIN_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "BIN_ROWS", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 6))
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 50 = 0"), most_lists=4, search_ratio=100.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_nearest(rows, range(0, 6000, 50))
+    assert got == want
+
+
+def test_walk_meets_the_nearest_centroids():
+    rng = np.random.default_rng(1)
+    sample = rng.normal(size=(3000, 12))
+    graph = neighbours.build_graph(sample, 3000)
+    x = neighbours.unit(rng.normal(size=(50, 12))).astype(np.float32)
+    rows, nodes, dist = graph.within(x, 1.3)
+    full = np.linalg.norm(x[:, None, :] - graph.centroids[None], axis=2)
+    want = full <= full.min(1, keepdims=True) * 1.3
+    assert want[rows, nodes].mean() > 0.95 and len(rows) > 0.95 * want.sum()
+    load = np.bincount(neighbours.assign(graph, sample, 1, 1.1)[1], minlength=len(graph.centroids))
+    assert load.max() < 5 * load.mean()
