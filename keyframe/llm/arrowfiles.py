@@ -7,13 +7,16 @@ the last have the same number of sequences, so any sequence is found by arithmet
 and read from the mapped file without a copy. A second file beside it, also an Arrow
 stream, lists the documents: doc_id, start in the file, n_tokens.
 
-Documents are dealt to files by ranges of doc_id. A file is written under a name of
-its attempt and then renamed, so a task that runs twice leaves one whole file. The
+Documents are dealt to files by ranges of (doc_id, the text's digest), a file for each
+`FILE_BYTES` of text and at least one for each shuffle partition. A file has its task's
+attempt in its name, and the listing, which Spark commits, names the files of the attempts
+that count: a task that runs twice harms nothing, and no file system has to rename. The
 position of a file's first token among all is the sum of the files before it, a row
-per file. Files go to the folder in spark.checkpoint.dir.
+per file. Files go to the folder in spark.checkpoint.dir; pyarrow must be able to open it
+(local and shared paths, HDFS, S3, Google Cloud Storage).
 
 Defined results: a null text is empty (one end id), null ids come first, documents of
-the same id are ordered by their text, an empty table gives an empty result.
+the same id are ordered by their text's digest, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +32,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, batch_rows, scratch
+from .common import TEXT_ROWS, materialize, scratch
 from .tokens import encoder
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
+#: Bytes of text in a file.
+FILE_BYTES = 64 << 20
 
 
 def filesystem(path: str):
     """The pyarrow file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme = path.partition(":")[0] if ":" in path else ""
+    if scheme in ("s3a", "s3n"):  # Hadoop's names for S3
+        path = f"s3{path[3:]}"
+    return fs.FileSystem.from_uri(path) if scheme else (fs.LocalFileSystem(), path)
 
 
 class SequenceWriter:
@@ -48,11 +56,10 @@ class SequenceWriter:
 
     def __init__(self, path: str, dtype: np.dtype, length: int) -> None:
         self.fs, self.path = filesystem(path)
-        self.temp = f"{self.path}.{os.getpid()}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
         self.length, self.dtype = length, dtype
         kind = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
-        self.out = self.fs.open_output_stream(self.temp)
+        self.out = self.fs.open_output_stream(self.path)
         self.stream = pa.ipc.new_stream(self.out, self.schema)
         self.held = np.zeros(0, dtype)
         self.written = 0
@@ -78,7 +85,6 @@ class SequenceWriter:
             self._batch(np.concatenate([self.held, np.zeros(-real % self.length, self.dtype)]), real)
         self.stream.close()
         self.out.close()
-        self.fs.move(self.temp, self.path)
         return self.written
 
 
@@ -117,19 +123,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     folder = scratch(spark, "token-files")
     if folder.startswith("file:") or "://" not in folder:
         os.makedirs(filesystem(folder)[1], exist_ok=True)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        path, enc, sequences = f"{folder}/part-{part:06d}.arrows", encoder(tokenizer), None
+        path, enc, sequences = f"{folder}/part-{part:06d}-{TaskContext.get().taskAttemptId()}.arrows", encoder(tokenizer), None
         index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         at = n_docs = 0
         for batch in batches:
             if sequences is None:
                 sequences = SequenceWriter(path, enc.dtype, length)
                 fs, inner = filesystem(f"{path}.index")
-                temp = f"{sequences.temp}.index"
-                out = fs.open_output_stream(temp)
+                out = fs.open_output_stream(inner)
                 listing = pa.ipc.new_stream(out, index)
             ends = np.array([end_id], enc.dtype).tobytes()
             for i in range(0, batch.num_rows, 64):
@@ -143,17 +148,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
         if sequences is not None:
             listing.close()
             out.close()
-            fs.move(temp, inner)
             sequences.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([at], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    files = dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
-    listed = scratch(spark, "token-files-list")
-    with batch_rows(spark, TEXT_ROWS):
-        files.write.parquet(listed)
-    return spark.read.schema(files.schema).parquet(listed)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    files = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
+    return materialize(files, "token-files-list", TEXT_ROWS)[0]
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     # one row per file: a running sum over the file list, not over the data
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = files.withColumn("before", before).select("part", "path", "before")
-    return placed.repartitionByRange(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(files.count() or 1, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

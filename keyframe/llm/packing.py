@@ -6,11 +6,12 @@ laid end to end along the curve, cut every `length` tokens, so neighbours share
 sequences and only the last sequence of all has padding.
 
 Plan: texts are dealt out by ranges of (key, a digest of the id), which also splits a
-large group of equal texts. The ranges' bounds come from a sample of about `SAMPLE` rows,
-so that keys are computed once; they only even out the tasks. Each task sorts its range,
-encodes it and writes ids with their place in the range. A row per range gives the ranges' starts. A second
-pass over the written ids cuts the pieces. Nothing grows with the data on the driver
-but that one row per range.
+large group of equal texts. There is a range for each `RANGE_BYTES` of text, and at least
+one for each shuffle partition. The ranges' bounds come from about `SAMPLE` draws for each
+range, in which a text counts by its bytes; they only even out the tasks, and so keys are
+computed once. Each task sorts its range, encodes it and writes ids with their place in
+the range. A row per range gives the ranges' starts. A second pass over the written ids
+cuts the pieces. Nothing grows with the data on the driver but one number per range.
 
 Defined results: a null text is empty (its document is the end id alone), a null id
 is packed like any other, repeated rows are packed as often as they stand, an empty
@@ -35,7 +36,9 @@ from .tokens import encoder
 LENGTH = 1024
 DIMENSIONS = 4
 ORDER = 8  # bits of a key for each dimension
-SAMPLE = 10_000
+#: Bytes of text in a range, and draws for its bound.
+RANGE_BYTES = 64 << 20
+SAMPLE = 200
 
 
 def hilbert(points: np.ndarray, order: int) -> np.ndarray:
@@ -89,13 +92,14 @@ def curve_key(texts: pa.Array) -> pa.Array:
     return pa.array(hilbert(text_points(texts), ORDER))
 
 
-def along_curve(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """doc_id, text, curve_key, tie: dealt to `parts` partitions, in ranges of (curve_key, tie), each range sorted."""
+def along_curve(docs: DataFrame, id_col: str, text_col: str, parts: int, total: int) -> DataFrame:
+    """doc_id, text, curve_key, tie: dealt to `parts` partitions, in ranges of (curve_key, tie), each range sorted. total: bytes of all texts, with 64 for each."""
     tie = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 44)  # 20 bits
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
-    place = lambda key: F.shiftleft(key, 20).bitwiseOR(F.col("tie"))
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select(place(curve_key("text")).alias("place"))
+    weight = F.octet_length(F.coalesce("text", F.lit(""))) + 64  # an empty text takes room too
+    drawn = F.xxhash64("doc_id", "tie", F.lit("range")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    draws = F.floor(weight * float(SAMPLE * parts / max(1, total)) + drawn).cast("int")
+    sample = rows.withColumn("draws", draws).where("draws > 0").select(F.explode(F.array_repeat(F.shiftleft(curve_key("text"), 20).bitwiseOR(F.col("tie")), F.col("draws"))).alias("place"))
     cuts = sample.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
     bounds = np.array(sorted(cuts)[: parts - 1], np.int64)
 
@@ -111,7 +115,8 @@ def along_curve(docs: DataFrame, id_col: str, text_col: str, parts: int) -> Data
 
 def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """part, at (tokens before it in its part), doc_id, curve_key, n_tokens, ids: written to the shared folder."""
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(64).cast("long"))).first()[0] or 0
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -128,7 +133,7 @@ def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
                     names=["part", "at", "doc_id", "curve_key", "n_tokens", "width", "ids"],
                 )
 
-    coded = along_curve(docs, id_col, text_col, n).mapInArrow(encode, "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
+    coded = along_curve(docs, id_col, text_col, n, total).mapInArrow(encode, "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
     return materialize(coded, "packed-ids", TEXT_ROWS)[0]
 
 
