@@ -46,7 +46,7 @@ MOST_LISTS = 16_384
 DEGREE = 16
 REPLICAS = 3
 REPLICA_RATIO = 1.1
-RECALL = 0.95
+RECALL = 0.96
 #: Rows of the sample that the ratio is fitted on.
 FITTED_ROWS = 512
 BIN_ROWS = 8192
@@ -63,7 +63,8 @@ def usable(vector: Column) -> Column:
 @dataclass
 class CentroidGraph:
     centroids: np.ndarray  # lists x dimensions, unit length
-    links: np.ndarray  # lists x degree, numbers of near centroids
+    starts: np.ndarray  # where each centroid's links begin, and where the last one's end
+    links: np.ndarray  # numbers of near centroids, and of those that this one is near to
     entry: int
 
     def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ class CentroidGraph:
             if not front.any():
                 break
             done |= front
-            near = np.unique((row[front] * c)[:, None] + self.links[pairs[front] % c])
+            near = np.unique(self._linked(row[front], pairs[front] % c))
             at = np.minimum(np.searchsorted(pairs, near), len(pairs) - 1)
             near = near[pairs[at] != near]
             both = np.concatenate([pairs, near])
@@ -97,6 +98,12 @@ class CentroidGraph:
         keep = dist <= least[row] * ratio
         return row[keep], pairs[keep] % c, dist[keep]
 
+    def _linked(self, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The pairs (row, list) one link on from those given."""
+        n = self.starts[node + 1] - self.starts[node]
+        at = np.repeat(self.starts[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(row * len(self.centroids), n) + self.links[at]
+
     def _distances(self, x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         out = np.empty(len(pairs), np.float32)
         for i in range(0, len(pairs), 1 << 16):
@@ -145,7 +152,7 @@ def balanced_leaves(x: np.ndarray, leaf: int, most: int, seed: int = 7) -> list[
     return [rows for _, _, rows in heap]
 
 
-def refined(x: np.ndarray, centroids: np.ndarray, rounds: int = 3, pull: float = 0.05) -> np.ndarray:
+def refined(x: np.ndarray, centroids: np.ndarray, rounds: int = 5, pull: float = 0.02) -> np.ndarray:
     """Centroids after rounds of k-means on the sphere; a centroid of twice the mean load looks `pull` farther away."""
     load = np.ones(len(centroids))
     for _ in range(rounds):
@@ -177,7 +184,11 @@ def build_graph(sample: np.ndarray, n_vectors: int, list_rows: int = LIST_ROWS,
         near = np.vstack(parts)
     far = np.random.default_rng(11).integers(0, len(centroids), (len(centroids), 4))  # long links keep the graph in one piece
     ring = ((np.arange(len(centroids)) + 1) % len(centroids))[:, None]
-    return CentroidGraph(centroids.astype(np.float32), np.hstack([near, far, ring]), int((centroids @ centroids.mean(0)).argmax()))
+    links = np.hstack([near, far, ring])
+    out, into = np.repeat(np.arange(len(links)), links.shape[1]), links.ravel()
+    both = np.unique(np.concatenate([out * len(links) + into, into * len(links) + out]))  # both ways: few centroids are near to an outlying one
+    starts = np.searchsorted(both, np.arange(len(links) + 1) * len(links))
+    return CentroidGraph(centroids.astype(np.float32), starts, both % len(links), int((centroids @ centroids.mean(0)).argmax()))
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
