@@ -12,13 +12,17 @@ positions drop out once their rank is unique, and it ends at the threshold:
    texts: about 3 in 100 positions. The windows that share an anchor make one run. The
    pair is (anchor, whole text of the run): a run that repeats an earlier one whole is
    removed whole, an anchor that stands once drops out, the others get ranks.
-2. 64 bytes. The windows of the runs that are left are sorted by the pair (rank at 32 with
-   the anchor's place, name of 64 bytes); what is unique drops out, the rest is reranked.
-3. `length` bytes. The windows that are left are sorted by the pair (rank at 64, name of
-   the whole window); all but the first of a pair are repeats.
-
-Whether two strings are equal is decided in steps 1 and 3 by names of two 64-bit words;
-single words only make candidates.
+2. `length` - 7 bytes. The runs that are left are cut into blocks of 8 windows, counted
+   from the anchor, and sorted by the pair (rank at 32 with the block's place by the
+   anchor, name of what all its windows share), and then by their whole text. A block
+   that repeats an earlier one whole is removed whole, a pair that stands once drops out,
+   the others are reranked.
+3. `length` bytes. The windows of the blocks that are left are sorted by the pair (rank of
+   the block with the window's place in it, name of the whole window); all but the first
+   of a pair are repeats.
+
+Whether two strings are equal is always decided by names of two 64-bit words; single words
+only make candidates.
 
 Equal texts are one node: all but the first copy are removed whole (if `length` long),
 and only the first goes through the steps. A task remembers the names it has met (up to
@@ -26,8 +30,8 @@ a bound, the frequent ones longest) and settles their repeats itself, so a passa
 third of all documents hold reaches a sorting task about once per map task. Sorting tasks
 hold one batch. Long texts are worked on a piece at a time.
 
-Texts go through three exchanges: to leave out equal ones, to name windows, and to cut
-the bytes.
+Texts go through four exchanges: to leave out equal ones, to name blocks, to name windows
+(those that have any left), and to cut the bytes.
 
 Defined results: a null text is empty; texts shorter than `length` stay whole; rows that
 repeat an id are documents in the order of their texts' digests (of equal rows one is the
@@ -49,6 +53,7 @@ from .common import BYTE_CODE, TEXT_ROWS, materialize, mix64, remove, slices, te
 
 LENGTH = 100
 ANCHOR = 32
+BLOCK = 8
 #: Lengths that the names of runs and windows can tell apart.
 LEAST_LENGTH, MOST_LENGTH = 64, 112
 #: Bytes of text that are named at a time.
@@ -126,8 +131,8 @@ def text_names(name: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix64(out * np.uint64(0xA0761D6478BD642F) + name[ends - 64])
 
 
-#: x: the group; y, z: the rest of the pair; w: a word for the next round; size: windows less one and, in the bits above 8,
-#: the anchor's place from the first one (for REPEAT the bytes).
+#: x, y: the pair; z, w: the name of the whole text; size: windows less one and, in the bits above 8, how far the first one
+#: is before the anchor, or within the block's places (for REPEAT the bytes).
 RANKED = "kind int, x long, y long, z long, w long, doc long, start int, size int"
 
 
@@ -224,21 +229,19 @@ def find_runs(texts: DataFrame, length: int) -> DataFrame:
                     again = seen.repeats(one, two, doc, begin)
                     size = (last - start) | (place - start) << 8
                     new = ~again
-                    yield _batch(RUN, anchor[new], one[new], two[new], 0, doc[new], begin[new], size[new])
+                    yield _batch(RUN, anchor[new], 0, one[new], two[new], doc[new], begin[new], size[new])
                     if again.any():
                         yield _repeats(doc[again], begin[again], stop[again])
 
     return texts.mapInArrow(find, RANKED)
 
 
-def rank(rows: DataFrame, length: int, by: list[str], settle: bool, onward: bool) -> DataFrame:
-    """Sort rows by their pair and place, and go through them in that order.
+def rank(rows: DataFrame, length: int, onward: bool = True) -> DataFrame:
+    """Sort rows by their pair, whole text and place, and go through them in that order.
 
-    settle: all but the first row of a pair (x, y, z) are repeats, and leave. onward: of
-    the rest, those that share `by` with another go on, with a rank for x; what is
-    unique leaves.
+    All but the first row of a pair and text are repeats, and leave. Of the rest, those
+    whose pair stands again go on, with its rank for x; what is unique leaves.
     """
-    pair = ["x", "y", "z"] if settle else by
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, last, waiting = np.int64(TaskContext.get().partitionId()) << 36, None, None
@@ -249,19 +252,18 @@ def rank(rows: DataFrame, length: int, by: list[str], settle: bool, onward: bool
                 batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
-            keys = {c: batch.column(c).to_numpy() for c in ("x", "y", "z")}
+            keys = {c: batch.column(c).to_numpy() for c in ("x", "y", "z", "w")}
             same = {c: np.r_[last is not None and v[0] == last[c], v[1:] == v[:-1]] for c, v in keys.items()}
             last = {c: v[-1] for c, v in keys.items()}
-            lead = np.arange(batch.num_rows)
-            if settle:
-                again = np.logical_and.reduce([same[c] for c in pair])
-                lead = np.flatnonzero(~again)
-                if again.any():
-                    doc, start, size = (batch.column(c).to_numpy()[again] for c in ("doc", "start", "size"))
-                    yield _batch(REPEAT, mix64(doc.astype(np.uint64)), 0, 0, 0, doc, start, (size & 255) + length)
+            pair = same["x"] & same["y"]
+            again = pair & same["z"] & same["w"]
+            if again.any():
+                doc, start, size = (batch.column(c).to_numpy()[again] for c in ("doc", "start", "size"))
+                yield _batch(REPEAT, mix64(doc.astype(np.uint64)), 0, 0, 0, doc, start, (size & 255) + length)
+            lead = np.flatnonzero(~again)
             if not onward or not len(lead):
                 continue
-            further = np.logical_and.reduce([same[c] for c in by])[lead]
+            further = pair[lead]
             ranks = number + np.cumsum(~further)
             number = ranks[-1]
             if waiting is not None and further[0]:  # the last of an earlier batch has a second here
@@ -274,14 +276,18 @@ def rank(rows: DataFrame, length: int, by: list[str], settle: bool, onward: bool
                 waiting = ranked(batch, lead[-1:], ranks[-1:])
 
     def ranked(batch: pa.RecordBatch, at: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
-        rows = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(ranks), *rows.columns[2:]], names=rows.schema.names)
+        doc, start, size = (batch.column(c).to_numpy()[at] for c in ("doc", "start", "size"))
+        return _batch(RUN, ranks, 0, 0, 0, doc, start, size)
+
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y", "z", "w", "doc", "start").mapInArrow(scan, RANKED)
 
-    return rows.repartition(*by).sortWithinPartitions(*pair, "doc", "start").mapInArrow(scan, RANKED)
 
+def windows_of(ranges: DataFrame, texts: DataFrame, length: int, rows_of) -> DataFrame:
+    """Ranked rows of the windows of ranges (doc, start, size, x); texts come to them by document.
 
-def window_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The windows of the runs that go on: (rank and place of the anchor, name of 64 bytes) and the whole window's name; texts come to them by document."""
+    rows_of gets the names of 64 bytes and, for each window in order, its range, that one's x, how far the window is before the
+    anchor (or, in a block, the block's last place), and its place in the bytes; it returns x, y, first and last window, and size of each row.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -290,40 +296,65 @@ def window_rows(ranges: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             for i, data, offsets in slices(text_column(batch.column(1)), PIECE_BYTES):
                 own = ranges.slice(i, len(offsets) - 1)
                 row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-                start, size, rank = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+                start, size, x = (own.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+                order = np.lexsort((start, docs[i + row]))
+                row, start, size, x = row[order], start[order], size[order], x[order]
                 width = (size & 255) + 1
-                run = np.repeat(np.arange(len(start)), width)
-                at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(width) - width, width)
-                x = rank[run] << 7 | (start + (size >> 8))[run] - at
-                row = row[run]
+                of = np.repeat(np.arange(len(start)), width)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+                at = start[of] + step
+                left = (size >> 8)[of] - step
                 for shift, part, _ in pieces(data, offsets, length):
-                    mine = np.ones(len(at), bool) if part is data else (at >= shift) & (at < shift + PIECE_BYTES)
-                    if mine.any():
-                        yield from windows(seen, docs[i + row[mine]], part, (offsets[row] + at - shift)[mine], at[mine], x[mine])
+                    mine = slice(None) if part is data else np.flatnonzero((at >= shift) & (at < shift + PIECE_BYTES))
+                    if len(of[mine]):
+                        yield from rows(seen, docs[i + row[of[mine]]], at[mine], of[mine], x[of[mine]], left[mine], part, offsets[row[of[mine]]] + at[mine] - shift)
 
-    def windows(seen: Seen, doc: np.ndarray, data: np.ndarray, place: np.ndarray, at: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((at, doc))
-        doc, place, at, x = doc[order], place[order], at[order], x[order]
+    def rows(seen: Seen, doc, at, of, x, left, data, place) -> Iterator[pa.RecordBatch]:
         first, second = (names(data, 64, f) for f in FACTORS)
-        one, two = text_names(first, place, place + length), text_names(second, place, place + length)
-        again = seen.repeats(one, two, doc, at)
+        x, y, low, high, size = rows_of(first, of, x, left, place)
+        one, two = (text_names(name, place[low], place[high] + length) for name in (first, second))
+        doc, start, stop = doc[low], at[low], at[high] + length
+        again = seen.repeats(one, two, doc, start)
         new = ~again
-        yield _batch(RUN, x[new], mix64(first[place[new]]), one[new], two[new], doc[new], at[new], 0)
+        yield _batch(RUN, x[new], y[new], one[new], two[new], doc[new], start[new], size[new])
         if again.any():
-            yield _repeats(doc[again], at[again], at[again] + length)
+            yield _repeats(doc[again], start[again], stop[again])
 
     wanted = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "x")).alias("ranges"))
     return texts.hint("merge").join(wanted, "doc").sortWithinPartitions("doc").select("doc", "text", "ranges").mapInArrow(name, RANKED)
 
 
+def block_rows(length: int):
+    """Blocks of runs: (rank of the anchor and the block's place by it, name of what its windows share)."""
+
+    def blocks(name: np.ndarray, of: np.ndarray, x: np.ndarray, left: np.ndarray, place: np.ndarray):
+        group = left // BLOCK
+        low = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (of[1:] != of[:-1])])
+        high = np.r_[low[1:], len(of)] - 1
+        common = place[low] + left[low] - group[low] * BLOCK  # of full blocks; those at a run's ends have fewer windows
+        return x[low] << 4 | group[low], text_names(name, common, common + length - BLOCK + 1), low, high, (high - low) | (left[low] - group[low] * BLOCK) << 8
+
+    return blocks
+
+
+def window_rows():
+    """Single windows of blocks: (rank of the block and the window's place in it, nothing)."""
+
+    def windows(name: np.ndarray, of: np.ndarray, x: np.ndarray, left: np.ndarray, place: np.ndarray):
+        each = np.arange(len(of))
+        return x << 4 | left, np.zeros(len(of), np.int64), each, each, np.zeros(len(of), np.int64)
+
+    return windows
+
+
 def repeated_ranges(texts: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
     """doc, start, size: ranges of bytes (they may overlap) that repeat earlier ones, of rows of doc and text; and the tables they are in."""
-    at_32, a = materialize(rank(find_runs(texts, length), length, ["x"], settle=True, onward=True), "ranks-32", 4 * TEXT_ROWS)
-    windows = window_rows(at_32.where(F.col("kind") == RUN), texts, length)
-    at_64, b = materialize(rank(windows, length, ["x", "y"], settle=False, onward=True), "ranks-64", 4 * TEXT_ROWS)
-    left = at_64.where(F.col("kind") == RUN).select("kind", "x", F.col("z").alias("y"), F.col("w").alias("z"), F.lit(0).cast("long").alias("w"), "doc", "start", "size")
-    whole, c = materialize(rank(left, length, ["x"], settle=True, onward=False), f"ranks-{length}")
-    known = [df.where(F.col("kind") == REPEAT).select("doc", "start", "size") for df in (at_32, at_64, whole)]
+    runs_, a = materialize(rank(find_runs(texts, length), length), "ranked-runs", 4 * TEXT_ROWS)
+    blocks = windows_of(runs_.where(F.col("kind") == RUN), texts, length, block_rows(length))
+    blocks, b = materialize(rank(blocks, length), "ranked-blocks", 4 * TEXT_ROWS)
+    windows = windows_of(blocks.where(F.col("kind") == RUN), texts, length, window_rows())
+    windows, c = materialize(rank(windows, length, onward=False), "ranked-windows", 4 * TEXT_ROWS)
+    known = [df.where(F.col("kind") == REPEAT).select("doc", "start", "size") for df in (runs_, blocks, windows)]
     return known[0].union(known[1]).union(known[2]), [a, b, c]
 
 
