@@ -220,12 +220,15 @@ def fitted_ratio(graph: CentroidGraph, sample: np.ndarray, k: int, replicas: int
     """The least ratio at which a walk's lists hold that share of the k nearest rows of the sample's rows."""
     x = unit(sample)
     asked = np.unique(np.linspace(0, len(x) - 1, FITTED_ROWS).astype(int))
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -np.inf
     k = min(k, len(x) - 1)
     if not k:
         return 1.0
-    nearest = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    nearest = []
+    for i in asked:
+        near = x @ x[i]
+        near[i] = -np.inf
+        nearest.append(np.argpartition(-near, k - 1)[:k])
+    nearest = np.array(nearest)
     rows, lists = assign(graph, sample[nearest.ravel()], replicas, REPLICA_RATIO)
     far = np.sqrt(np.maximum(0, 2 - 2 * x[asked] @ graph.centroids.T))
     ratio = np.maximum(far[rows // k, lists], 1e-9) / np.maximum(far.min(1)[rows // k], 1e-9)
