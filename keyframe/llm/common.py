@@ -106,6 +106,29 @@ def free_name(name: str, *dfs: DataFrame) -> str:
     return name
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[pa.Table]:
+    """Tables of about so many rows or of one larger group, in which the groups of equal keys are whole; batches come in their order."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = 0  # of the last group, which may go on in the next batch
+        for key in keys:
+            value = batch.column(key).to_numpy()
+            start = max([start, *(np.flatnonzero(value != value[-1])[-1:] + 1)])
+        if start and n + start >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)]).combine_chunks()
+            held, n, batch = [], 0, batch.slice(start)
+        elif n >= rows and not start and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows kept from every fit: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -13,14 +13,16 @@ Equal texts are one node. Pairs are proposed in rounds, so that a bucket of n te
 doesn't make n squared: first each text with the most central text of its buckets (that
 which shares most slots with others), then with its buckets' other leads while the ends
 are in different classes, then, without a cap, all pairs of a bucket whose ends are in
-different classes even then and whose estimate comes near the threshold. Pairs within a
-class can't change it. Classes are the connected components; tables
-between the steps are written to the shared folder.
+different classes even then and whose estimate comes near the threshold. A bucket of more
+than `BLOCK` texts is cut into blocks, and its pairs of blocks are dealt over the tasks:
+what is compared is signatures, in arrays of bounded size. Pairs within a class can't
+change it, and aren't verified. Classes are the connected components; each round joins
+those of the round before. Tables between the steps are written to the shared folder.
 
 Defined results: a null text is empty; equal texts, empty ones too, are always of one
 class; a text without a word is linked to no other text; one of fewer than five words is
-one shingle of all of them; a class is named by its smallest id; rows of one id count as
-one document; a null id has a null class; other columns are ignored.
+one shingle of all of them; a class is named by its smallest id, which is null if all are;
+rows are documents of their own, whatever their ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, materialize, mix64, remove, shingles, slices, text_column
+from .common import TEXT_ROWS, free_name, materialize, mix64, remove, shingles, slices, text_column, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -42,6 +44,10 @@ BANDS, ROWS = 32, 6
 SLOTS = 512
 #: An estimate's deviation at 0.8 is 0.0185; a pair four deviations below isn't verified.
 LEAST_ESTIMATE = THRESHOLD - 4 * 0.0185
+#: Texts of a bucket that are held at a time.
+BLOCK = 4096
+#: Pairs of signatures that are compared at a time.
+PAIRS = 1 << 15
 MOST_UNEQUAL = int(SLOTS * (1 - (1 / 16 + LEAST_ESTIMATE * 15 / 16)))
 
 
@@ -155,10 +161,10 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "uid long, hashes binary, counts binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node it is joined to) of all nodes of edges (a, b)."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both, path = materialize(both, "edges")
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """node, label (the smallest node it is joined to) of all nodes of edges (a, b); and where they are written."""
+    spark = edges.sparkSession
+    both, path = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels, kept = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "there"), "b").groupBy("a").agg(F.min("there").alias("there"))
@@ -166,38 +172,105 @@ def components(edges: DataFrame) -> DataFrame:
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         moved, new = materialize(step.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels")
         if moved.where("was <> label").isEmpty():
-            remove(edges.sparkSession, kept, path)
-            return moved.select("node", "label")
-        remove(edges.sparkSession, kept)
+            remove(spark, kept, path)
+            return moved.select("node", "label"), new
+        remove(spark, kept)
         labels, kept = moved.select("node", "label"), new
 
 
-def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+def joined(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """classes (uid, label) after further links (a, b): components of the classes, not of the texts."""
+    ends = links.join(classes.toDF("a", "la"), "a").join(classes.toDF("b", "lb"), "b")
+    merged, path = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b"))
+    new, kept = materialize(classes.join(merged.toDF("label", "_new"), "label", "left").select("uid", F.coalesce("_new", "label").alias("label")), "classes")
+    return new, [path, kept]
+
+
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose exact similarity reaches the threshold, with it."""
     left = sets.select(F.col("uid").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").where(similarity("ha", "ca", "hb", "cb") >= threshold).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("ha", "ca", "hb", "cb").alias("similarity"))
+    return materialize(found.where(F.col("similarity") >= threshold), "links")
+
+
+def pairs_in_buckets(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of rows (bucket, blocks, uid, lead, label, bands, signature) of one bucket, in the first bucket that they
+    share, of different labels, none of them the lead, whose estimate is near the threshold."""
+    block = F.pmod(F.xxhash64("uid", "bucket"), F.col("blocks"))
+    dealt = rows.withColumn("block", block.cast("int"))
+    part = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("block", j) * F.col("blocks") + F.greatest("block", j))
+    dealt = dealt.where("uid <> lead").withColumn("part", F.explode(part)).select("bucket", "part", "blocks", "block", "uid", "label", "bands", "signature")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket", "part"]):
+            bucket, part, blocks, block, uid, label = (table.column(c).to_numpy() for c in ("bucket", "part", "blocks", "block", "uid", "label"))
+            bands, signature = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(uid), -1) for c in ("bands", "signature"))
+            within = part // blocks == part % blocks  # a block with itself; else only rows of its two blocks
+            k, step = np.arange(len(uid) - 1), 1
+            while len(k):
+                j = k + step
+                k, j = k[j < len(uid)], j[j < len(uid)]
+                one = (bucket[k] == bucket[j]) & (part[k] == part[j])  # rows are sorted: what fails now fails from here on
+                k, j = k[one], j[one]
+                apart = (label[k] != label[j]) & (within[k] | (block[k] != block[j]))
+                for i in range(0, int(apart.sum()), PAIRS):
+                    x, y = k[apart][i : i + PAIRS], j[apart][i : i + PAIRS]
+                    near = unequal_slots(signature[x], signature[y]) <= MOST_UNEQUAL
+                    x, y = x[near], y[near]
+                    first = (bands[x] == bands[y]).argmax(1)
+                    once = bands[x, first] == bucket[x]
+                    x, y = uid[x[once]], uid[y[once]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                step += 1
+
+    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(pairs, "a long, b long")
+
+
+def unequal_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many 4-bit slots of packed signatures differ, row by row."""
+    differ = (x ^ y).view(np.uint64)
+    differ = differ | (differ >> np.uint64(1))
+    differ = (differ | (differ >> np.uint64(2))) & np.uint64(0x1111111111111111)
+    return np.bitwise_count(differ).sum(1, dtype=np.int64)
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id of every row of docs."""
+    """doc_id, class_id of every row of docs; n_links: how many other texts were verified as links of its text (pairs
+    within a class found before aren't verified); near_id, similarity: the most similar of those."""
     spark = docs.sparkSession
     signs, signs_path = materialize(signed(docs, id_col, text_col), "signatures", TEXT_ROWS)
-    nodes = signs.groupBy("digest").agg(F.min("id").alias("uid"), F.first("worded").alias("worded"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).where("uid IS NOT NULL")
-    nodes, nodes_path = materialize(nodes, "nodes")
+    scratch = [signs_path]
+
+    def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        out, path = materialize(df, name, rows)
+        scratch.append(path)
+        return out
+
+    nodes = signs.groupBy("digest").agg(F.min("id").alias("least"), F.first("worded").alias("worded"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    odd = odd_ids(signs)
+    if odd:  # a number for each text, in the order of its id
+        nodes = keep(nodes.orderBy(F.asc_nulls_last("least"), "digest").withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    else:
+        nodes = keep(nodes.withColumn("uid", F.col("least")), "nodes")
 
+    # counts and leads are written, so that Spark can split a large bucket where they are joined
     slots = nodes.where("worded").select("uid", F.explode("bands").alias("bucket"))
-    full = slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared, shared_path = materialize(full.join(slots, "bucket").select("bucket", "uid", "n"), "buckets")
+    full = keep(slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    shared = keep(slots.join(full, "bucket").select("bucket", "uid", "n"), "buckets")
     # a text that shares many slots is in the middle of its group: each bucket is led by the most central one
     central = shared.groupBy("uid").agg(F.sum("n").alias("central"))
     leads = shared.join(central, "uid").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("uid")).alias("less"))).alias("top"))
-    leads = leads.select("bucket", F.col("top.central").alias("central"), (-F.col("top.less")).alias("lead"))
-    members, members_path = materialize(shared.join(leads, "bucket").select("bucket", "uid", "lead", "central"), "members")
+    leads = keep(leads.select("bucket", F.col("top.central").alias("central"), (-F.col("top.less")).alias("lead")), "leads")
+    members = keep(shared.join(leads, "bucket").select("bucket", "uid", "lead", "central"), "members")
 
     involved = members.select("uid").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).alias("text")).where("text IS NOT NULL").hint("merge").join(involved, "uid", "left_semi")
-    sets, sets_path = materialize(shingle_sets(texts).groupBy("uid").agg(F.max(F.struct("hashes", "counts")).alias("s")).select("uid", "s.*"), "shingles", TEXT_ROWS) if has_repeats(docs, id_col) else materialize(shingle_sets(texts), "shingles", TEXT_ROWS)
+    first_rows = nodes.join(involved, "uid").select("uid", "least", F.col("digest").alias("_digest"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text")).hint("merge")
+    texts = texts.join(first_rows, F.col("id").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("_digest"))).select("uid", "text")
+    sets = keep(shingle_sets(texts.dropDuplicates(["uid"]) if odd else texts), "shingles", TEXT_ROWS)
     signature = nodes.select("uid", "signature")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -207,54 +280,57 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def apart(classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different classes."""
-        names = classes.select(F.col("node"), F.col("label"))
-        ends = pairs.join(names.toDF("a", "la"), "a", "left").join(names.toDF("b", "lb"), "b", "left")
-        return ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        return pairs.join(classes.toDF("a", "la"), "a").join(classes.toDF("b", "lb"), "b").where("la <> lb").select("a", "b")
 
     ordered = [F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")]
     # round 1: each text with the most central lead of its buckets
     best = F.max(F.struct("central", (-F.col("lead")).alias("less"))).alias("top")
-    first = members.where("lead <> uid").groupBy("uid").agg(best).select("uid", (-F.col("top.less")).alias("lead")).select(*ordered).distinct()
-    links, _ = materialize(linked(near(first), sets, threshold), "links")
-    classes = components(links)
+    first = keep(members.where("lead <> uid").groupBy("uid").agg(best).select("uid", (-F.col("top.less")).alias("lead")).select(*ordered).distinct(), "pairs")
+    links, at = linked(near(first), sets, threshold)
+    classes, paths = joined(involved.withColumn("label", F.col("uid")), links)
+    scratch += [at, *paths]
     # round 2: with the other leads
     others = members.where("lead <> uid").select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
-    more, _ = materialize(linked(near(apart(classes, others)), sets, threshold), "links")
+    more, at = linked(near(apart(classes, others)), sets, threshold)
     links = links.union(more)
-    classes = components(links)
+    classes, paths = joined(classes, more)
+    scratch += [at, *paths]
     # round 3: whatever still stands apart in a bucket
-    named = members.join(classes.toDF("uid", "label"), "uid", "left").select("bucket", "uid", "lead", F.coalesce("label", "uid").alias("label"))
-    torn = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    mixed = named.join(torn, "bucket", "left_semi").join(nodes.select("uid", "bands", "signature"), "uid")
-    mixed, _ = materialize(mixed.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int")), "mixed")
-    x, y = (mixed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("uid", "label", "lead", "band", "bands", "signature"))) for s in ("x", "y"))
-    other = (F.col("uid_x") < F.col("uid_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("uid_x") != F.col("lead_x")) & (F.col("uid_y") != F.col("lead_x"))
-    once = ~F.arrays_overlap(F.slice("bands_x", F.lit(1), F.col("band_x") - 1), F.slice("bands_y", F.lit(1), F.col("band_x") - 1))  # in their first bucket
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & other & likely("signature_x", "signature_y") & once).select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"))
-    last, _ = materialize(linked(rest, sets, threshold), "links")
+    named = members.join(classes, "uid").select("bucket", "uid", "lead", "label")
+    torn = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    torn = keep(torn.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "torn")
+    mixed = named.join(torn, "bucket").join(nodes.select("uid", "bands", "signature"), "uid")
+    last, at = linked(pairs_in_buckets(mixed), sets, threshold)
+    scratch.append(at)
     if not last.isEmpty():
-        classes = components(links.union(last))
-
-    label = nodes.select("digest", "uid").join(classes.toDF("uid", "label"), "uid", "left").select("digest", F.coalesce("label", "uid").alias("label"))
-    out = signs.select("id", "digest").join(label, "digest", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("label")).alias("class_id"))
-    result, _ = materialize(out, "classes")
-    remove(spark, sets_path, members_path, shared_path, nodes_path, signs_path)
+        classes, paths = joined(classes, last)
+        scratch += paths
+    links = links.union(last)
+
+    both = links.union(links.select("b", "a", "similarity")).toDF("uid", "other", "similarity")
+    nearest = both.groupBy("uid").agg(F.count("*").alias("n_links"), F.max(F.struct("similarity", (-F.col("other")).alias("less"))).alias("top"))
+    named_ids = nodes.select("uid", "least")
+    found = nodes.select("digest", "uid").join(classes, "uid", "left").withColumn("label", F.coalesce("label", "uid")).join(nearest, "uid", "left")
+    found = found.join(named_ids.toDF("label", "class_id"), "label").withColumn("other", -F.col("top.less")).join(named_ids.toDF("other", "near_id"), "other", "left")
+    found = keep(found.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "near_id", "top.similarity"), "text-classes")
+    out = signs.select(F.col("id").alias("doc_id"), "digest").join(found, "digest").drop("digest")
+    result, _ = materialize(out, "near-classes")
+    remove(spark, *scratch)
     return result
 
 
-def has_repeats(docs: DataFrame, id_col: str) -> bool:
-    """Whether an id stands more than once."""
-    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def odd_ids(rows: DataFrame) -> bool:
+    """Whether an id is null or stands more than once."""
+    return not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty()
 
 
 def representatives(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each class: the rows whose id names it; of repeated rows one; rows without an id stay."""
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each class: the row whose id names it. Ids of docs must be of one row each and not null."""
+    kept = free_name("_kept", docs)
+    named = classes.where("doc_id = class_id").select(F.col("doc_id").alias(kept))
+    return docs.join(named, F.col(id_col) == F.col(kept), "left_semi")
 
 
 def class_sizes(classes: DataFrame) -> DataFrame:
     """class_id, n of the classes of two documents or more."""
     return classes.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
-

@@ -150,7 +150,9 @@ def brute_classes(rows):
     return {i: find(i) for i in parent}
 
 
-def test_near_duplicates(copies):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_duplicates(copies, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     want = brute_classes([(r["doc_id"], r["text"]) for r in copies.collect()])
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(copies.repartition(3)).collect()}
     assert got == want and len(set(want.values())) < len(want) - 10
@@ -164,6 +166,36 @@ def test_near_duplicates_odd(odd_docs, no_docs, odd_texts):
     assert got[None] is None and got[0] == got[1] == 0 and got[2] == got[13] == 2 and got[9] == 9
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, prose):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(5, a), (5, b), (7, near(b)), (8, near(a)), (None, c), (9, near(c)), (None, d), (None, near(d)), (5, d + " x"), (2, "one two")]
+    got = neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or -1, r["n_links"] > 0) for r in got))
+    assert found == sorted([(False, 5, 5, True), (False, 5, 5, True), (False, 7, 5, True), (False, 8, 5, True), (True, 0, 9, True), (False, 9, 9, True), (True, 0, 5, True), (True, 0, 5, True), (False, 5, 5, True), (False, 2, 2, False)])
+
+
+def test_pairs_of_a_torn_bucket_are_all_met(spark, monkeypatch):
+    """Texts of one template that are too unlike to link: every pair whose estimate is near is proposed once, whatever the block."""
+    rng = np.random.default_rng(7)
+    n = 40
+    h = [np.concatenate([np.arange(1, 401), rng.integers(1 << 20, 1 << 40, 60)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(n)]
+    row = np.repeat(np.arange(n), 460)
+    kept = neardup.prob_min_hash(np.concatenate(h), row, np.ones(len(row)), n, neardup.SLOTS)
+    low = (kept & np.uint64(15)).astype(np.uint8)
+    packed = (low[:, ::2] | low[:, 1::2] << 4).view(np.int64)
+    bands = np.arange(neardup.BANDS)[None, :] + 100 * (np.arange(n)[:, None] % 3 + np.arange(neardup.BANDS)[None, :] % 2)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if (bands[i] == bands[j]).any() and neardup.unequal_slots(packed[[i]], packed[[j]])[0] <= neardup.MOST_UNEQUAL}
+    rows = [(int(b), blocks, i, -1, i, bands[i].tolist(), packed[i].tolist()) for blocks in (5,) for i in range(n) for b in bands[i]]
+    schema = "bucket long, blocks int, uid long, lead long, label long, bands array<long>, signature array<long>"
+    for blocks in (1, 5):
+        monkeypatch.setattr(neardup, "PAIRS", 7)
+        df = spark.createDataFrame([(b, blocks, *rest) for b, _, *rest in rows], schema)
+        got = [(r["a"], r["b"]) for r in neardup.pairs_in_buckets(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(0)
     for _ in range(50):
