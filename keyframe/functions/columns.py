@@ -36,17 +36,20 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def byte_range(value: Column, start: int, end: int) -> Column:
-    """value[start..end] with both ends included; negative ends count from the back."""
-    n = F.length(value)
+    """Bytes start .. end of value, both included; negative places count from the back. A cut character leaves its bytes."""
+    data = value.cast("binary")
+    n = F.octet_length(value)
     at = lambda i: F.lit(i) if i >= 0 else F.greatest(n + i, F.lit(0))
     first, last = at(start), F.least(at(end) if end >= 0 else n + end, n - 1)
-    return F.when((first > last) | (n == 0), F.lit("")).otherwise(F.substring(value, first + 1, last - first + 1))
+    return F.when((first > last) | (n == 0), F.lit("")).otherwise(F.substring(data, first + 1, last - first + 1).cast("string"))
 
 
 def overwrite(value: Column, offset: int, part: str) -> Column:
-    """value with part written at offset (0-based), padded with NUL up to it."""
-    padded = F.rpad(value, F.greatest(F.length(value), F.lit(offset)), "\0")
-    return F.concat(F.substring(padded, 1, offset), F.lit(part), F.substring(padded, F.lit(offset + len(part) + 1), F.length(padded)))
+    """value with the bytes of part written at byte offset (0-based), padded with NUL up to it."""
+    new = F.lit(part).cast("binary")
+    size = len(part.encode())
+    padded = F.rpad(value.cast("binary"), F.greatest(F.octet_length(value), F.lit(offset)), F.lit("\0").cast("binary"))
+    return F.concat(F.substring(padded, 1, offset), new, F.substring(padded, F.lit(offset + size + 1), F.octet_length(padded))).cast("string")
 
 
 # ------------------------------------------------------------------- vectors
@@ -132,6 +135,7 @@ def _folded(move, shift: int, mask: int):
     return lambda v: v.bitwiseOR(move(v, shift)).bitwiseAND(F.lit(mask))
 
 
+# Fixed values of the two functions below: the usual shifts and masks that part or join every second bit of a word.
 def _spread(x: Column) -> Column:
     """The low 26 bits of x at the even places of 52."""
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):

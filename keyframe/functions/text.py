@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -26,6 +26,7 @@ def fold(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+# The suffix rules, in this order.
 def stem(word: Column) -> Column:
     """The first suffix rule that fits; lengths are in bytes."""
     n = F.octet_length(word)
@@ -40,7 +41,18 @@ def stem(word: Column) -> Column:
     )
 
 
+#: What separates words: anything but letters (with the vowel signs of scripts that have them) and numbers.
+SEPARATOR = r"[^\p{IsAlphabetic}\p{N}]+"
+
+
+def index_terms(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> DataFrame:
+    """doc_id, term: a row for each index term of each text, with repeats. Words are exploded first, so that the rest is plain columns."""
+    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(fold(F.coalesce(F.col(text_col), F.lit(""))), SEPARATOR)).alias("word"))
+    words = words.where((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS))
+    return words.select("doc_id", (stem(F.col("word")) if stemmed else F.col("word")).alias("term"))
+
+
 def tokens(text: Column, stemmed: bool = True) -> Column:
-    """The index terms of a text, in order, with repeats."""
-    words = F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    """The index terms of a text as one array, in order, with repeats."""
+    words = F.filter(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: (w != "") & ~w.isin(STOP_WORDS))
     return F.transform(words, stem) if stemmed else words

@@ -24,13 +24,21 @@ def count(bits: DataFrame, start: int | None = None, end: int | None = None, key
 
 
 def combine(bits: DataFrame, operation: str, key: str = "key", offset: str = "offset", keys: list | None = None) -> DataFrame:
-    """BITOP AND, OR, XOR, DIFF (first key without the others), ONE (in exactly one): the offsets of the result."""
+    """BITOP AND, OR, XOR, DIFF (first key without the others), DIFF1 (the others without the first), ANDOR (the first and any other), ONE (in exactly one): the offsets of the result."""
     rows = bits.select(key, offset).distinct()
     if keys is not None:
         rows = rows.where(F.col(key).isin(keys))
     n = len(keys) if keys is not None else None
     seen = rows.groupBy(offset).agg(F.count("*").alias("n"), F.max(F.col(key) == F.lit(keys[0]) if keys else F.lit(False)).alias("first"))
-    test = {"and": F.col("n") == n, "or": F.lit(True), "xor": F.col("n") % 2 == 1, "one": F.col("n") == 1, "diff": F.col("first") & (F.col("n") == 1)}
+    test = {
+        "and": F.col("n") == n,
+        "or": F.lit(True),
+        "xor": F.col("n") % 2 == 1,
+        "one": F.col("n") == 1,
+        "diff": F.col("first") & (F.col("n") == 1),
+        "diff1": ~F.col("first"),
+        "andor": F.col("first") & (F.col("n") > 1),
+    }
     return seen.where(test[operation]).select(offset)
 
 
@@ -63,3 +71,29 @@ def field_increment(value: Column, delta: Column, bits: int, signed: bool = True
         return F.when(total.between(low, high), total)
     size = 1 << bits
     return F.pmod(total - low, F.lit(size).cast("long")) + low
+
+
+def field_value(bits: DataFrame, start: int, width: int, signed: bool = True, key: str = "key", offset: str = "offset") -> DataFrame:
+    """BITFIELD GET, BITFIELD_RO: the number of `width` (up to 62) bits from bit `start` on, the first the highest; unset bits are 0."""
+    own = bits.select(key, offset).distinct().where(F.col(offset).between(start, start + width - 1))
+    weight = F.round(F.pow(F.lit(2.0), F.lit(start + width - 1) - F.col(offset))).cast("long")
+    sums = bits.select(key).distinct().join(own.groupBy(key).agg(F.sum(weight).alias("_v")), key, "left")
+    value = F.coalesce("_v", F.lit(0).cast("long"))
+    return sums.select(key, (F.when(value >= 1 << (width - 1), value - (1 << width)).otherwise(value) if signed else value).alias("value"))
+
+
+def set_field(bits: DataFrame, start: int, width: int, values: DataFrame, key: str = "key", offset: str = "offset", value: str = "value") -> DataFrame:
+    """BITFIELD SET: each key of values has its number in `width` bits from bit `start` on (wrapped to the width)."""
+    place = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_i")
+    bit = F.getbit(F.col(value).cast("long"), F.lit(width - 1) - F.col("_i"))
+    new = values.select(key, value, place).where(bit == 1)
+    new = new.select(key, (F.col("_i") + start).cast(bits.schema[offset].dataType).alias(offset))
+    written = values.select(key).distinct().withColumn("_w", F.lit(True))
+    kept = bits.select(key, offset).join(written, key, "left").where(F.col("_w").isNull() | ~F.col(offset).between(start, start + width - 1)).drop("_w")
+    return kept.unionByName(new)
+
+
+def get_bits(bits: DataFrame, request: DataFrame, key: str = "key", offset: str = "offset") -> DataFrame:
+    """GETBIT: each requested (key, offset) with its bit."""
+    there = bits.select(key, offset).distinct().withColumn("_b", F.lit(1))
+    return request.join(there, [key, offset], "left").withColumn("bit", F.coalesce("_b", F.lit(0))).drop("_b")

@@ -31,3 +31,17 @@ def observed_set(adds: DataFrame, removes: DataFrame, key: str = "key", member:
 def collect_garbage(rows: DataFrame, before_ms: int, deleted: str = "deleted") -> DataFrame:
     """CRDT.GC: without tombstones older than a time."""
     return rows.where(~F.col(deleted) | (F.col("physical_ms") >= before_ms))
+
+
+def dump(rows: DataFrame, key: str = "key") -> DataFrame:
+    """CRDT.DUMP: each key's rows of all clocks as one JSON text, in their order; `merge` reads them back."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.to_json(F.sort_array(F.collect_set(F.struct(*rest)))).alias("payload"))
+
+
+def merge(rows: DataFrame, payloads: DataFrame, key: str = "key") -> DataFrame:
+    """CRDT.MERGE: rows with those of other replicas' dumps, once each; the aggregates above give the values."""
+    rest = [f for f in rows.schema.fields if f.name != key]
+    kind = "array<struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in rest) + ">>"
+    arriving = payloads.select(key, F.inline(F.from_json("payload", kind)))
+    return rows.unionByName(arriving.select(*rows.columns)).distinct()

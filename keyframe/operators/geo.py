@@ -46,11 +46,24 @@ def within_box(points: DataFrame, lon: float, lat: float, width: float, height:
 def around_member(points: DataFrame, member, radius: float, unit: str = "m") -> DataFrame:
     """GEORADIUSBYMEMBER: around a member's place, per key."""
     centre = points.where(F.col("member") == F.lit(member)).select("key", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    high = math.degrees(radius * UNIT_M[unit] * 1.001 / EARTH_RADIUS_M)
+    near = F.col("lat").between(F.col("_lat") - high, F.col("_lat") + high)
     metres = haversine(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat"))
-    found = points.join(F.broadcast(centre), "key").withColumn("distance", metres / UNIT_M[unit])  # a row per key that has the member
+    found = points.join(centre, "key").where(near).withColumn("distance", metres / UNIT_M[unit])
     return found.where(F.col("distance") <= radius).drop("_lon", "_lat")
 
 
+def store(points: DataFrame, found: DataFrame, target) -> DataFrame:
+    """GEOSEARCHSTORE: the points after target got found and nothing else."""
+    kept = found.select(F.lit(target).cast(points.schema["key"].dataType).alias("key"), "member", "lon", "lat")
+    return points.where(F.col("key") != F.lit(target)).select("key", "member", "lon", "lat").unionByName(kept)
+
+
+def store_distances(found: DataFrame, target) -> DataFrame:
+    """GEOSEARCHSTORE STOREDIST: a sorted set of the distances."""
+    return found.select(F.lit(target).alias("key"), "member", F.col("distance").alias("score"))
+
+
 def distance_between(points: DataFrame, first, second, unit: str = "m") -> DataFrame:
     """GEODIST of two members, per key."""
     pick = lambda m, c: F.max(F.when(F.col("member") == F.lit(m), F.col(c)))

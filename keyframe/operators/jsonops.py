@@ -50,6 +50,41 @@ def string_length(doc: Column, path: str) -> Column:
     return F.octet_length(get(doc, path))
 
 
+FIND = re.compile(r"\.(\*|[A-Za-z_]\w*)|\[(\*|-?\d+|-?\d*:-?\d*)\]|\[\"([^\"]+)\"\]")
+
+
+def find(path: str):
+    """An Arrow function doc -> array of the JSON texts of all values at a path of .name, ["name"], [i], [-i], .*, [*] and [a:b]; null if the document isn't JSON."""
+    steps = [m[0] or m[1] if m[0] or m[1] else m[2] for m in FIND.findall(path)]
+
+    def step(value, s: str) -> list:
+        if s == "*":
+            return list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+        if isinstance(value, dict):
+            return [value[s]] if s in value else []
+        if isinstance(value, list) and ":" in s:
+            a, b = (int(x) if x else None for x in s.split(":"))
+            return value[a:b]
+        if isinstance(value, list) and s.lstrip("-").isdigit() and -len(value) <= int(s) < len(value):
+            return [value[int(s)]]
+        return []
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def apply(docs: pa.Array) -> pa.Array:
+        out = []
+        for doc in docs.to_pylist():
+            try:
+                found = [json.loads(doc)] if doc is not None else None
+            except ValueError:
+                found = None
+            for s in steps if found is not None else ():
+                found = [v for x in found for v in step(x, s)]
+            out.append(None if found is None else [json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in found])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return apply
+
+
 STEP = re.compile(r"\.([A-Za-z_]\w*)|\[(-?\d+)\]|\[\"([^\"]+)\"\]")
 
 

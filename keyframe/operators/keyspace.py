@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import glob_to_regex
@@ -68,3 +68,62 @@ def swap(rows: DataFrame, first: int, second: int, db: str = "db") -> DataFrame:
 def exists_count(rows: DataFrame, request: DataFrame, key: str = "key") -> DataFrame:
     """EXISTS, TOUCH: how many requested keys there are, repeats counted."""
     return request.join(rows.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n"))
+
+
+def scan_within(rows: DataFrame, cursor: int, count: int, pattern: str | None = None, key: str = "key", member: str = "member") -> DataFrame:
+    """HSCAN, SSCAN, ZSCAN: the next page of each key's members in the order of a hash of the member; whole slots, so none is lost."""
+    ahead = rows.withColumn("slot", F.xxhash64(member)).where(F.col("slot") > cursor)
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy("slot"))
+    page = ahead.withColumn("_place", place).where(F.col("_place") <= count).drop("_place")
+    return page if pattern is None else matching(page, pattern, member)
+
+
+def delete(rows: DataFrame, gone: DataFrame, key: str = "key") -> DataFrame:
+    """DEL, UNLINK: without the keys asked for."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
+def persist(rows: DataFrame, request: DataFrame, key: str = "key") -> DataFrame:
+    """PERSIST: the requested keys lose their expiry."""
+    asked = request.select(key).distinct().withColumn("_asked", F.lit(True))
+    return rows.join(asked, key, "left").withColumn("expire_at", F.when(F.col("_asked").isNull(), F.col("expire_at"))).select(*rows.columns)
+
+
+def size(rows: DataFrame, as_of_ms: int) -> DataFrame:
+    """DBSIZE: live keys."""
+    return rows.where(F.col("expire_at").isNull() | (F.col("expire_at") > as_of_ms)).agg(F.count("*").alias("n"))
+
+
+def move_to(rows: DataFrame, request: DataFrame, target: int, replace: bool = False, key: str = "key", db: str = "db") -> DataFrame:
+    """MOVE: the requested keys (key, db) go to another database; without replace only where it hasn't the key."""
+    asked = request.select(key, db).distinct().withColumn("_asked", F.lit(True))
+    held = rows.where(F.col(db) == target).select(key).distinct().withColumn("_held", F.lit(True))
+    marked = rows.join(asked, [key, db], "left").join(held, key, "left").withColumn("_go", F.col("_asked").isNotNull() & (F.col(db) != target))
+    if replace:
+        arriving = marked.where("_go").select(key).distinct().withColumn("_new", F.lit(True))
+        marked = marked.join(arriving, key, "left").where((F.col(db) != target) | F.col("_new").isNull())
+    else:
+        marked = marked.withColumn("_go", F.col("_go") & F.col("_held").isNull())
+    return marked.withColumn(db, F.when(F.col("_go"), F.lit(target)).otherwise(F.col(db))).select(*rows.columns)
+
+
+def random_key(rows: DataFrame, seed: int, key: str = "key") -> DataFrame:
+    """RANDOMKEY: the first key in the order of a seeded hash."""
+    return rows.select(key).orderBy(F.xxhash64(F.lit(seed), key), key).limit(1)
+
+
+def rename_if_free(rows: DataFrame, source, target, key: str = "key") -> DataFrame:
+    """RENAMENX: rows of source under target, if that is free (asked before the rows are used)."""
+    return rename(rows, source, target, key) if rows.where(F.col(key) == F.lit(target)).isEmpty() else rows
+
+
+def stick(rows: DataFrame, request: DataFrame, on: bool = True, key: str = "key") -> DataFrame:
+    """STICK, UNSTICK: set or clear the column `sticky` of the requested keys. STICKY selects it."""
+    asked = request.select(key).distinct().withColumn("_asked", F.lit(True))
+    return rows.join(asked, key, "left").withColumn("sticky", F.when(F.col("_asked"), F.lit(on)).otherwise(F.col("sticky"))).select(*rows.columns)
+
+
+def dump(rows: DataFrame, key: str = "key") -> DataFrame:
+    """DUMP: a key's rows as one JSON text, in their order as text; `from_json` restores them."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rest)))).alias("dump"))

@@ -6,7 +6,7 @@ array functions; the row form has no limit on a list's length beyond its window
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,17 @@ def set_at(rows: DataFrame, index: int, value, key: str = "key", pos: str = "pos
     """LSET."""
     hit = F.col("index") == _at(index)
     return ranked(rows, key, pos).withColumn(value_col, F.when(hit, F.lit(value)).otherwise(F.col(value_col))).drop("index", "length")
+
+
+def first_with_rows(rows: DataFrame, keys: list, key: str = "key") -> Column:
+    """Whether a row is of the first of the keys that has any (asked before the rows are used)."""
+    there = {r[0] for r in rows.where(F.col(key).isin(keys)).select(key).distinct().collect()}  # at most as many as keys
+    first = next((k for k in keys if k in there), None)
+    return F.lit(False) if first is None else F.coalesce(F.col(key) == F.lit(first), F.lit(False))
+
+
+def pop_first(rows: DataFrame, keys: list, count: int = 1, left: bool = True, key: str = "key", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """LMPOP: (popped, rest) of the first of the keys that isn't empty."""
+    own = first_with_rows(rows, keys, key)
+    popped, rest = pop(rows.where(own), count, left, key, pos)
+    return popped, rest.unionByName(rows.where(~own))

@@ -1,16 +1,21 @@
-"""Full-text search: an inverted index as DataFrames, BM25 ranking, boolean queries, fusion.
-
-A query is a DataFrame (doc_id, score); AND, OR, NOT and the filters combine such frames,
-so a search is one plan and Spark prunes and pushes what it can. Statistics (documents,
-mean length, document frequency) are global.
+"""Full-text search: a stored inverted index, BM25 ranking, boolean queries, fusion.
+
+An index is a folder of Parquet tables: docs (doc_id, doc_len), and postings (term, doc_id,
+tf, doc_len, df, n_docs, mean_len) in ranges of (term, doc_id), so a term reads the row
+groups that hold it and a frequent one is in several files. A query is a DataFrame (doc_id,
+score); AND, OR, NOT and the filters combine such frames, so a search is one plan and
+Spark prunes and pushes what it can. Statistics (documents, mean length, document
+frequency) are global, as of when the index was written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, stem, tokens
+from ..functions.text import fold, index_terms, stem
 
 # The usual BM25 constants and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 0.0001
@@ -18,31 +23,50 @@ RRF_K = 60
 
 
 class Index:
-    """postings (term, doc_id, tf) and lengths (doc_id, doc_len) of a text column."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        terms = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("terms"))
-        self.docs = docs.select(F.col(id_col).alias("doc_id"))
-        self.lengths = terms.select("doc_id", F.size("terms").alias("doc_len"))
-        self.postings = terms.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        stats = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")).first()
-        self.n_docs, self.mean_len = stats["n_docs"], max(1.0, stats["mean_len"] or 0.0)
+    """A stored index of a text column."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.docs = spark.read.parquet(f"{path}/docs")
+
+    @classmethod
+    def create(cls, docs: DataFrame, id_col: str, text_col: str, path: str) -> Index:
+        """FT.CREATE over the rows there are: texts are read and split once."""
+        spark = docs.sparkSession
+        counted = index_terms(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        counted.write.parquet(f"{path}/counts")
+        counts = spark.read.schema(counted.schema).parquet(f"{path}/counts")
+        lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+        every = docs.select(F.col(id_col).alias("doc_id")).join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+        every.write.parquet(f"{path}/docs")
+        stats = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("mean_len")).first()
+        df = counts.groupBy("term").agg(F.count("*").alias("df"))
+        rows = counts.join(df, "term").join(lengths, "doc_id").select("term", "doc_id", "tf", "doc_len", "df", F.lit(stats["n_docs"]).alias("n_docs"), F.lit(max(1.0, stats["mean_len"] or 0.0)).alias("mean_len"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        return cls(spark, path)
 
     def info(self) -> DataFrame:
         """FT.INFO: documents, different terms, tokens."""
-        return self.postings.agg(F.lit(self.n_docs).cast("long").alias("num_docs"), F.countDistinct("term").alias("num_terms"), F.coalesce(F.sum("tf"), F.lit(0)).alias("num_tokens"))
+        none = F.lit(0).cast("long")
+        terms = self.postings.groupBy("term").agg(F.sum("tf").alias("n")).agg(none.alias("num_docs"), F.count("*").alias("num_terms"), F.coalesce(F.sum("n"), none).alias("num_tokens"))
+        both = terms.unionByName(self.docs.agg(F.count("*").alias("num_docs"), none.alias("num_terms"), none.alias("num_tokens")))
+        return both.agg(*(F.sum(c).alias(c) for c in both.columns))
 
     def _scored(self, hits: DataFrame) -> DataFrame:
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        rows = hits.join(df, "term").join(self.lengths, "doc_id")
-        idf = F.greatest(F.lit(LEAST_IDF), F.log(1.0 + (self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        tf = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("doc_len") / self.mean_len))
-        return rows.groupBy("doc_id").agg(F.sum(idf * tf).alias("score"))
+        idf = F.greatest(F.lit(LEAST_IDF), F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        tf = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * (1.0 - B + B * F.col("doc_len") / F.col("mean_len")))
+        return hits.groupBy("doc_id").agg(F.sum(idf * tf).alias("score"))
 
     def term(self, word: str) -> DataFrame:
         """Documents with a word (stemmed)."""
         return self._scored(self.postings.where(F.col("term") == stem(fold(F.lit(word)))))
 
+    def exact(self, term: str) -> DataFrame:
+        """Documents with an index term just as it is given."""
+        return self._scored(self.postings.where(F.col("term") == term))
+
     def prefix(self, start: str) -> DataFrame:
         """Documents with terms that begin so; their scores add up."""
         return self._scored(self.postings.where(F.col("term").startswith(start.lower())))
@@ -55,6 +79,53 @@ class Index:
         return self.all().join(hits, "doc_id", "left_anti")
 
 
+class Catalog:
+    """Named indexes in a folder: each change writes a new version beside the old one and then removes that."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _versions(self, name: str) -> list[str]:
+        fs, p = self._fs(f"{self.folder}/{name}")
+        return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def create(self, name: str, docs: DataFrame, id_col: str, text_col: str) -> Index:
+        """FT.CREATE; FT.ALTER where the name is taken: texts are indexed anew."""
+        old = self._versions(name)
+        made = Index.create(docs, id_col, text_col, f"{self.folder}/{name}/v{len(old) and int(old[-1].rpartition('/v')[2].split('-')[0]) + 1:06d}-{uuid.uuid4().hex[:8]}")
+        for path in old:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+        return made
+
+    def open(self, name: str) -> Index:
+        return Index(self.spark, self._versions(name)[-1])
+
+    def drop(self, name: str) -> None:
+        """FT.DROPINDEX: the documents stay."""
+        fs, p = self._fs(f"{self.folder}/{name}")
+        fs.delete(p, True)
+
+    def names(self) -> list[str]:
+        """FT._LIST."""
+        fs, p = self._fs(self.folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def add_documents(docs: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
+    """FT.ADD: the documents with those of new, which replace what has their ids. An index takes them in when it is created anew."""
+    return docs.join(new.select(id_col), id_col, "left_anti").unionByName(new.select(*docs.columns))
+
+
+def scoped(hits: DataFrame, docs: DataFrame, id_col: str, field: str) -> DataFrame:
+    """@field:query: those hits whose document has the field; where the words stood doesn't matter."""
+    return hits.join(docs.where(F.col(field).isNotNull()).select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
+
+
 def any_of(*hits: DataFrame) -> DataFrame:
     """OR: scores add up."""
     rows = hits[0]
@@ -89,19 +160,19 @@ def page(hits: DataFrame, limit: int, offset: int = 0, sort_by: str | None = Non
     return hits.orderBy(*order, "doc_id").offset(offset).limit(limit)
 
 
-def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two bounded lists (doc_id, score)."""
-    ranks = lambda x, c: x.select("doc_id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))).alias(c))
+def rrf(first: DataFrame, second: DataFrame, k: int = RRF_K, limit: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of the first `limit` of two lists (doc_id, score)."""
+    ranks = lambda x, c: page(x, limit).select("doc_id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))).alias(c))
     both = ranks(first, "_a").join(ranks(second, "_b"), "doc_id", "full_outer")
     return both.select("doc_id", (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("score"))
 
 
-def linear(text: DataFrame, near: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """Weighted sum of two bounded lists, each scaled to 0 .. 1; a list of one value counts as 1 (text) or as it is (vector)."""
+def linear(text: DataFrame, near: DataFrame, alpha: float = 0.5, beta: float = 0.5, limit: int = 1000) -> DataFrame:
+    """Weighted sum of the first `limit` of two lists, each scaled to 0 .. 1; a list of one value counts as 1 (text) or as it is (vector)."""
 
     def scaled(x: DataFrame, c: str, flat: Column) -> DataFrame:
         low, high = F.min("score").over(Window.partitionBy()), F.max("score").over(Window.partitionBy())
         return x.select("doc_id", F.when(high - low <= 1e-12, flat).otherwise((F.col("score") - low) / (high - low)).alias(c))
 
-    both = scaled(text, "_a", F.lit(1.0)).join(scaled(near, "_b", F.col("score")), "doc_id", "full_outer")
+    both = scaled(page(text, limit), "_a", F.lit(1.0)).join(scaled(page(near, limit), "_b", F.col("score")), "doc_id", "full_outer")
     return both.select("doc_id", (alpha * F.coalesce("_a", F.lit(0.0)) + beta * F.coalesce("_b", F.lit(0.0))).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,8 +69,6 @@ def store(found: DataFrame, target, key: str = "key", member: str = "member") ->
 
 def sample(rows: DataFrame, count: int, seed: int, key: str = "key", member: str = "member") -> DataFrame:
     """SRANDMEMBER, SPOP: count members of each key in the order of a seeded hash (rerunnable); a negative count repeats members."""
-    from pyspark.sql import Window
-
     distinct = rows.select(key, member).distinct()
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), member), member))
     if count >= 0:
@@ -79,3 +77,10 @@ def sample(rows: DataFrame, count: int, seed: int, key: str = "key", member: str
     sizes_of = distinct.groupBy(key).agg(F.count("*").alias("_size"))
     draws = sizes_of.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(-count)))).withColumn("_n", (F.pmod(F.xxhash64(F.lit(seed), key, "_draw"), F.col("_size")) + 1).cast("int"))
     return draws.join(numbered, [key, "_n"]).select(key, member)
+
+
+def pop(rows: DataFrame, count: int, seed: int, key: str = "key", member: str = "member") -> tuple[DataFrame, DataFrame]:
+    """SPOP: (count members of each key in the order of a seeded hash, the rest)."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), member), member))
+    numbered = rows.select(key, member).distinct().withColumn("_n", place)
+    return numbered.where(F.col("_n") <= count).drop("_n"), numbered.where(F.col("_n") > count).drop("_n")

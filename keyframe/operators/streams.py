@@ -52,7 +52,8 @@ def idempotent(entries: DataFrame, producer: str = "producer", token: str = "tok
 
 def deliver(entries: DataFrame, consumers: int, as_of_ms: Column) -> DataFrame:
     """XREADGROUP: each entry to one consumer of the group, by its id: the pending entries."""
-    consumer = F.concat(F.lit("consumer"), F.pmod(F.xxhash64("ms", "seq"), F.lit(consumers)))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("ms").cast("string"), F.col("seq").cast("string"))), 1, 8), 16, 10).cast("long")
+    consumer = F.concat(F.lit("consumer"), hashed % consumers)
     return entries.select("key", "ms", "seq", consumer.alias("consumer"), as_of_ms.alias("delivery_ms"), F.lit(1).alias("delivery_count"))
 
 
@@ -82,3 +83,80 @@ def claim(pending: DataFrame, consumer, as_of_ms: int, min_idle_ms: int, count:
         (F.col("delivery_count") + F.col("_due").cast("int")).alias("delivery_count"),
         F.col("_due").alias("claimed"),
     )
+
+
+def delete(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """XDEL: without the entries (key, ms, seq) asked for."""
+    return entries.join(gone.select("key", "ms", "seq"), ["key", "ms", "seq"], "left_anti")
+
+
+def delete_entries(entries: DataFrame, pending: DataFrame, gone: DataFrame, policy: str = "KEEPREF") -> tuple[DataFrame, DataFrame]:
+    """XDELEX: (entries, pending). KEEPREF leaves pending references, DELREF drops them too, ACKED deletes only what no group has pending."""
+    if policy == "ACKED":
+        gone = gone.join(pending.select("key", "ms", "seq"), ["key", "ms", "seq"], "left_anti")
+    return delete(entries, gone), delete(pending, gone) if policy == "DELREF" else pending
+
+
+def acknowledge_and_delete(entries: DataFrame, pending: DataFrame, group, gone: DataFrame, policy: str = "KEEPREF") -> tuple[DataFrame, DataFrame]:
+    """XACKDEL: XACK in one group (column `group` of pending), then XDELEX."""
+    own = F.col("group") == F.lit(group)
+    left = acknowledge(pending.where(own), gone.select("key", "ms", "seq")).unionByName(pending.where(~own))
+    return delete_entries(entries, left, gone, policy)
+
+
+#: XNACK: what becomes of the delivery count.
+GIVEN_BACK = {"SILENT": -1, "FAIL": 0}
+MOST_DELIVERIES = (1 << 63) - 1
+
+
+def give_back(pending: DataFrame, given: DataFrame, mode: str = "FAIL") -> DataFrame:
+    """XNACK: entries (key, ms, seq) go back to no consumer and are due at once. SILENT takes back a delivery, FAIL keeps the count, FATAL sets it to the greatest number."""
+    asked = given.select("key", "ms", "seq").distinct().withColumn("_given", F.lit(True))
+    count = F.col("delivery_count").cast("long")
+    after = F.lit(MOST_DELIVERIES) if mode == "FATAL" else F.greatest(F.lit(0).cast("long"), count + GIVEN_BACK[mode])
+    rows = pending.join(asked, ["key", "ms", "seq"], "left")
+    own = F.col("_given").isNotNull()
+    return rows.select("key", "ms", "seq", F.when(~own, F.col("consumer")).alias("consumer"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("delivery_ms")).alias("delivery_ms"), F.when(own, after).otherwise(count).alias("delivery_count"))
+
+
+def stream_info(entries: DataFrame) -> DataFrame:
+    """XINFO STREAM: length, first, last and least ids of each key."""
+    return entries.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct("ms", "seq")).alias("_a"), F.max(F.struct("ms", "seq")).alias("_b")).select(
+        "key", "length", F.col("_a.ms").alias("first_ms"), F.col("_a.seq").alias("first_seq"), F.col("_b.ms").alias("last_ms"), F.col("_b.seq").alias("last_seq")
+    )
+
+
+def group_info(entries: DataFrame, groups: DataFrame, pending: DataFrame) -> DataFrame:
+    """XINFO GROUPS: of each group (key, group, last_ms, last_seq) its consumers and pending entries, and the entries that it hasn't read."""
+    held = pending.groupBy("key", "group").agg(F.countDistinct("consumer").alias("consumers"), F.count("*").alias("pending"))
+    behind = entries.join(groups, "key").where(F.struct("ms", "seq") > F.struct("last_ms", "last_seq")).groupBy("key", "group").agg(F.count("*").alias("lag"))
+    rows = groups.join(held, ["key", "group"], "left").join(behind, ["key", "group"], "left")
+    return rows.select("key", "group", "last_ms", "last_seq", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("consumers", "pending", "lag")))
+
+
+def set_id(meta: DataFrame, new: DataFrame) -> DataFrame:
+    """XSETID: (key, last_ms, last_seq, entries_added, max_deleted_ms, max_deleted_seq) with the values of new; null keeps what is there."""
+    names = [c for c in meta.columns if c != "key"]
+    rows = meta.join(new.select("key", *(F.col(c).alias(f"_{c}") for c in names)), "key", "full_outer")
+    return rows.select("key", *(F.coalesce(f"_{c}", c).alias(c) for c in names))
+
+
+def configure(config: DataFrame, new: DataFrame) -> DataFrame:
+    """XCFGSET: the idempotence window (key, duration_ms, max_size) of each stream."""
+    return set_id(config, new)
+
+
+def record_producer(state: DataFrame, new: DataFrame) -> DataFrame:
+    """XIDMPRECORD: the state (key, producer, token, ms, seq) with the ids of new; a token that is known keeps its first id."""
+    rows = state.unionByName(new.select(*state.columns))
+    first = rows.groupBy("key", "producer", "token").agg(F.min(F.struct("ms", "seq")).alias("_id"))
+    return first.select("key", "producer", "token", "_id.ms", "_id.seq")
+
+
+def pending_range(pending: DataFrame, as_of_ms: int, min_idle_ms: int, start: tuple[int, int], end: tuple[int, int], count: int, consumer=None) -> DataFrame:
+    """XPENDING with IDLE and a range: the first count pending entries of each key, with how long they are idle."""
+    rows = pending.withColumn("idle_ms", F.lit(as_of_ms) - F.col("delivery_ms")).where(F.col("idle_ms") >= min_idle_ms)
+    if consumer is not None:
+        rows = rows.where(F.col("consumer") == F.lit(consumer))
+    n = F.row_number().over(Window.partitionBy("key").orderBy("ms", "seq"))
+    return entry_range(rows, start, end).withColumn("_n", n).where(F.col("_n") <= count).drop("_n")

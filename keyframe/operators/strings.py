@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,27 @@ def delete_if_equal(store: DataFrame, wanted: DataFrame, key: str = "key", value
 
 def digest(store: DataFrame, value: str = "value") -> DataFrame:
     """DIGEST: a stable 16-digit digest of each value."""
-    return store.withColumn("digest", F.lpad(F.lower(F.hex(F.xxhash64(value))), 16, "0"))
+    return store.withColumn("digest", value_digest(F.col(value)))
+
+
+def _common_places(x: str, y: str) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence in both strings, from the end."""
+    rows = [[0] * (len(y) + 1)]
+    for c in x:
+        prev, row = rows[-1], [0]
+        for j, d in enumerate(y):
+            row.append(prev[j] + 1 if c == d else max(prev[j + 1], row[j]))
+        rows.append(row)
+    i, j, found = len(x), len(y), []
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
 
 
 @F.arrow_udf(T.StringType())
@@ -80,20 +100,80 @@ def longest_common_subsequence(a: pa.Array, b: pa.Array) -> pa.Array:
         if x is None or y is None:
             out.append(None)
             continue
-        rows = [[0] * (len(y) + 1)]
-        for c in x:
-            prev, row = rows[-1], [0]
-            for j, d in enumerate(y):
-                row.append(prev[j] + 1 if c == d else max(prev[j + 1], row[j]))
-            rows.append(row)
-        i, j, found = len(x), len(y), []
-        while i and j:
-            if x[i - 1] == y[j - 1]:
-                found.append(x[i - 1])
-                i, j = i - 1, j - 1
-            elif rows[i - 1][j] >= rows[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        out.append("".join(reversed(found)))
+        out.append("".join(x[i] for i, _ in reversed(_common_places(x, y))))
     return pa.array(out, pa.string())
+
+
+def set_many(store: DataFrame, new: DataFrame, condition: str = "", keep_ttl: bool = False, key: str = "key", value: str = "value") -> DataFrame:
+    """SET, SETEX, PSETEX under NX, XX or IFEQ (new has the column `compare`), with GET: the store's rows (key, value, expire_at)
+    after one write per key, and `old`, the value that a key had. new: key, value, expire_at (null: none; with keep_ttl the old one)."""
+    fresh = new.select(key, F.col(value).alias("_value"), F.col("expire_at").alias("_at"), (F.col("compare") if condition == "IFEQ" else F.lit(None)).alias("_compare"), F.lit(True).alias("_write"))
+    rows = store.select(key, value, "expire_at", F.lit(True).alias("_there")).join(fresh, key, "full_outer")
+    there = F.col("_there").isNotNull()
+    test = {"": F.lit(True), "NX": ~there, "XX": there, "IFEQ": there & (F.col(value) == F.col("_compare"))}[condition]
+    writes = F.coalesce(F.col("_write") & test, F.lit(False))
+    at = F.col("expire_at") if keep_ttl else F.col("_at")
+    return rows.where(there | writes).select(key, F.when(writes, F.col("_value")).otherwise(F.col(value)).alias(value), F.when(writes, at).otherwise(F.col("expire_at")).alias("expire_at"), F.when(F.col("_write"), F.col(value)).alias("old"))
+
+
+def set_all(store: DataFrame, new: DataFrame, condition: str = "", keep_ttl: bool = False, key: str = "key") -> DataFrame:
+    """MSETEX: all rows of new, or none: under NX if none of their keys exists, under XX if all do (asked before the rows are used)."""
+    if condition:
+        found = new.select(key).join(store.select(key), key, "left_semi" if condition == "NX" else "left_anti")
+        if not found.isEmpty():
+            return store
+    return set_many(store, new, "", keep_ttl, key).drop("old")
+
+
+def get_and_delete(store: DataFrame, request: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """GETDEL: (the requested keys with their values or null, the store without them)."""
+    return get_many(store, request, key), store.join(request.select(key), key, "left_anti")
+
+
+def get_and_expire(store: DataFrame, request: DataFrame, key: str = "key", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """GETEX: (values, store): each requested key (key, at) gets the expiry `at`; null persists it."""
+    asked = request.select(key, F.col("at").alias("_at"), F.lit(True).alias("_asked"))
+    rows = store.join(asked, key, "left")
+    after = rows.withColumn("expire_at", F.when(F.col("_asked"), F.col("_at")).otherwise(F.col("expire_at"))).select(*store.columns)
+    return request.select(key).join(store.select(key, value), key, "left"), after
+
+
+def value_digest(value: Column) -> Column:
+    """DIGEST of a value: 16 hexadecimal digits of its 64-bit hash."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(value))), 16, "0")
+
+
+def delete_if(store: DataFrame, wanted: DataFrame, condition: str = "IFEQ", key: str = "key", value: str = "value") -> DataFrame:
+    """DELEX: the store without the keys whose value equals (IFEQ) or differs from (IFNE) that of wanted; IFDEQ, IFDNE compare digests."""
+    asked = wanted.select(key, F.col(value).alias("_wanted"), F.lit(True).alias("_asked"))
+    own = value_digest(F.col(value)) if condition.startswith("IFD") else F.col(value)
+    same = own.eqNullSafe(F.col("_wanted"))
+    gone = F.coalesce(F.col("_asked"), F.lit(False)) & (same if condition.endswith("EQ") else ~same)
+    return store.join(asked, key, "left").where(~gone).select(*store.columns)
+
+
+MATCH = T.ArrayType(T.StructType().add("a_start", "integer").add("a_end", "integer").add("b_start", "integer").add("b_end", "integer").add("length", "integer"))
+
+
+@F.arrow_udf(MATCH)
+def common_ranges(a: pa.Array, b: pa.Array) -> pa.Array:
+    """LCS IDX: the runs of the subsequence that `longest_common_subsequence` gives, from the end, as ranges of both strings (both ends included)."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        runs: list[dict] = []
+        for i, j in _common_places(x, y):
+            last = runs[-1] if runs else None
+            if last and last["a_start"] == i + 1 and last["b_start"] == j + 1:
+                last |= {"a_start": i, "b_start": j, "length": last["length"] + 1}
+            else:
+                runs.append({"a_start": i, "a_end": i, "b_start": j, "b_end": j, "length": 1})
+        out.append(runs)
+    return pa.array(out, pa.list_(pa.struct([(n, pa.int32()) for n in ("a_start", "a_end", "b_start", "b_end", "length")])))
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """LCS LEN."""
+    return F.length(longest_common_subsequence(a, b))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import DISTANCES, cosine_distance, hamming, sign_bits, similarity
 
@@ -25,13 +28,22 @@ def within(rows: DataFrame, query: Column, radius: float, metric: str = "l2", ve
     return rows.withColumn("distance", DISTANCES[metric](F.col(vector_col), query)).where(F.col("distance") <= radius)
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 256
+
+
 def nearest_per_query(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """KNN for a stated set of queries against all rows: query_id, rank, id, distance. queries is broadcast block by block by the caller if large."""
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
-    scored = rows.crossJoin(F.broadcast(asked)).where(F.col(id_col) != F.col("query_id"))
-    scored = scored.select("query_id", id_col, DISTANCES[metric](F.col(vector_col), F.col("_q")).alias("distance"))
+    """KNN for a stated set of queries against all rows: query_id, rank, id, distance. Queries are counted and dealt into
+    blocks of about QUERY_BLOCK, a scan of the rows for each; each task keeps k rows of a query before the exchange."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
+    found = None
+    for i in range(blocks):
+        block = F.broadcast(asked.where(F.col("_block") == i).drop("_block"))
+        scored = rows.join(block, F.col(id_col) != F.col("query_id")).select("query_id", id_col, DISTANCES[metric](F.col(vector_col), F.col("_q")).alias("distance"))
+        found = scored if found is None else found.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similar(rows: DataFrame, query: Column, k: int, test: Column | None = None, epsilon: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -90,3 +102,110 @@ def cached_answer(cache: DataFrame, query: Column, as_of_ms: int, scope: str | N
         rows = rows.where(F.col("scope") == scope)
     scored = rows.withColumn("similarity", similarity("cosine", cosine_distance(F.col(vector_col), query)))
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), id_col).limit(1)
+
+
+# ------------------------------------------------------------------- vector sets: rows (key, elem, embedding, attrs)
+
+
+def put(rows: DataFrame, new: DataFrame, key: str = "key", elem: str = "elem") -> DataFrame:
+    """VADD: the rows with those of new, which replace elements of the same name."""
+    return rows.join(new.select(key, elem), [key, elem], "left_anti").unionByName(new.select(*rows.columns))
+
+
+def remove(rows: DataFrame, gone: DataFrame, key: str = "key", elem: str = "elem") -> DataFrame:
+    """VREM."""
+    return rows.join(gone.select(key, elem), [key, elem], "left_anti")
+
+
+def look_up(rows: DataFrame, request: DataFrame, *fields: str, key: str = "key", elem: str = "elem") -> DataFrame:
+    """VEMB, VGETATTR, VISMEMBER: each requested element with its fields (null if there is none) and whether it is a member."""
+    there = rows.select(key, elem, *fields, F.lit(True).alias("_there"))
+    return request.join(there, [key, elem], "left").withColumn("is_member", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def set_attributes(rows: DataFrame, new: DataFrame, key: str = "key", elem: str = "elem", attrs: str = "attrs") -> DataFrame:
+    """VSETATTR: elements of new (key, elem, attrs) get its attributes; an empty text clears them."""
+    fresh = new.select(key, elem, F.col(attrs).alias("_attrs"), F.lit(True).alias("_set"))
+    value = F.when(F.col("_set"), F.nullif(F.col("_attrs"), F.lit(""))).otherwise(F.col(attrs))
+    return rows.join(fresh, [key, elem], "left").withColumn(attrs, value).select(*rows.columns)
+
+
+def random_members(rows: DataFrame, count: int, seed: int, key: str = "key", elem: str = "elem") -> DataFrame:
+    """VRANDMEMBER."""
+    from .sets import sample
+
+    return sample(rows, count, seed, key, elem)
+
+
+def neighbours_of(rows: DataFrame, request: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """VLINKS: the exact neighbours of the requested elements, in place of an index's links."""
+    return nearest_per_query(rows, rows.join(request.select(id_col), id_col, "left_semi"), k, metric, id_col, vector_col)
+
+
+def code_distances(codes: DataFrame, books: list, query: list[float], id_col: str = "vec_id") -> DataFrame:
+    """Distances of product codes to a query (squared, by lookup): the query's distances to each book's centres are constants of the plan."""
+    total = None
+    for p, model in enumerate(books):
+        centres = model.clusterCenters()
+        size = len(centres[0])
+        part = query[p * size : (p + 1) * size]
+        table = F.array(*(F.lit(float(sum((a - b) ** 2 for a, b in zip(part, c, strict=True)))) for c in centres))
+        own = F.element_at(table, F.col(f"code_{p}") + 1)
+        total = own if total is None else total + own
+    return codes.select(id_col, total.alias("distance"))
+
+
+def decoded(blob: Column, kind: str, dim: int = 0) -> Column:
+    """A typed vector: little-endian FLOAT32, FLOAT64, FLOAT16, BFLOAT16, INT8 or UINT8 bytes, or text as "1,2,3" or "[1, 2, 3]";
+    null where it isn't exactly dim (0: any number) finite components. Text that reads as numbers comes first."""
+    types = {"FLOAT32": "<f4", "FLOAT64": "<f8", "FLOAT16": "<f2", "BFLOAT16": "<u2", "INT8": "i1", "UINT8": "u1"}
+    dtype = np.dtype(types[kind])
+
+    def one(data: bytes | None) -> list[float] | None:
+        if not data:
+            return None
+        found = None
+        if not data.translate(None, b"0123456789.,-+eE[] \t\n\x0b\x0c\r"):
+            try:
+                found = [float(t) for t in data.decode().translate(str.maketrans(",[]", "   ")).split()] or None
+            except ValueError:
+                found = None
+        if found is None or dim and len(found) != dim:
+            if len(data) % dtype.itemsize or dim and len(data) != dim * dtype.itemsize:
+                return None
+            raw = np.frombuffer(data, dtype)
+            found = (raw.astype("<u4") << 16).view("<f4") if kind == "BFLOAT16" else raw
+        with np.errstate(over="ignore"):
+            values = np.asarray(found).astype(np.float32)
+        return values.tolist() if np.isfinite(values).all() else None
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def decode(column: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in column.cast(pa.binary()).to_pylist()], pa.list_(pa.float32()))
+
+    return decode(blob)
+
+
+# ------------------------------------------------------------------- semantic cache: rows (ns, entry_id, prompt, response, embedding, scope, expire_at, tokens)
+
+
+def cache_put(cache: DataFrame, new: DataFrame, key: str = "entry_id") -> DataFrame:
+    """SEMANTIC.SET."""
+    return cache.join(new.select("ns", key), ["ns", key], "left_anti").unionByName(new.select(*cache.columns))
+
+
+def cache_delete(cache: DataFrame, gone: DataFrame, key: str = "entry_id") -> DataFrame:
+    """SEMANTIC.DEL."""
+    return cache.join(gone.select("ns", key), ["ns", key], "left_anti")
+
+
+def cache_flush(cache: DataFrame, ns: str) -> DataFrame:
+    """SEMANTIC.FLUSH."""
+    return cache.where(F.col("ns") != ns)
+
+
+def cache_info(cache: DataFrame, asked: DataFrame, as_of_ms: int) -> DataFrame:
+    """SEMANTIC.INFO of each namespace: live entries; hits, misses and tokens saved of the log of gets (ns, hit, tokens)."""
+    live = cache.where(F.col("expire_at").isNull() | (F.col("expire_at") > as_of_ms)).groupBy("ns").agg(F.count("*").alias("entries"))
+    log = asked.groupBy("ns").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.sum(F.when(F.col("hit"), F.col("tokens")).otherwise(0)).alias("tokens_saved"))
+    return live.join(log, "ns", "full_outer").select("ns", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("entries", "hits", "misses", "tokens_saved")))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keyspace import scan_within
+from .lists import first_with_rows
+from .sets import cardinality, intersect, sample
+
 
 def ranked(rows: DataFrame, reverse: bool = False, key: str = "key", member: str = "member", score: str = "score") -> DataFrame:
     """ZRANK, ZREVRANK of every member (from 0)."""
@@ -92,3 +96,57 @@ def difference(rows: DataFrame, keys: list, key: str = "key", member: str = "mem
 def scores(rows: DataFrame, request: DataFrame, key: str = "key", member: str = "member") -> DataFrame:
     """ZSCORE, ZMSCORE: each requested member with its score or null."""
     return request.join(rows, [key, member], "left")
+
+
+def remove(rows: DataFrame, gone: DataFrame, key: str = "key", member: str = "member") -> DataFrame:
+    """ZREM."""
+    return rows.join(gone.select(key, member), [key, member], "left_anti")
+
+
+def without_scores(rows: DataFrame, low, high, low_open: bool = False, high_open: bool = False, score: str = "score") -> DataFrame:
+    """ZREMRANGEBYSCORE."""
+    return rows.where(~F.coalesce(in_range(F.col(score), low, high, low_open, high_open), F.lit(False)))
+
+
+def without_members(rows: DataFrame, low, high, low_open: bool = False, high_open: bool = False, member: str = "member") -> DataFrame:
+    """ZREMRANGEBYLEX."""
+    return rows.where(~F.coalesce(in_range(F.col(member), low, high, low_open, high_open), F.lit(False)))
+
+
+def page(rows: DataFrame, by: str, limit: int, offset: int = 0, reverse: bool = False, key: str = "key", member: str = "member") -> DataFrame:
+    """LIMIT of ZRANGEBYSCORE, ZREVRANGEBYSCORE, ZRANGEBYLEX, ZREVRANGEBYLEX: rows offset .. of each key in the order of by and member."""
+    order = [F.col(c).desc() if reverse else F.col(c).asc() for c in dict.fromkeys((by, member))]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_n", place).where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).drop("_n")
+
+
+def store(found: DataFrame, target, key: str = "key") -> DataFrame:
+    """ZUNIONSTORE, ZINTERSTORE, ZDIFFSTORE, ZRANGESTORE: found (member, score) under a key."""
+    return found.select(F.lit(target).alias(key), "member", "score")
+
+
+def replace(rows: DataFrame, found: DataFrame, target, key: str = "key") -> DataFrame:
+    """The sorted sets after a store: target holds found and nothing else."""
+    return rows.where(F.col(key) != F.lit(target)).unionByName(store(found, target, key))
+
+
+def intersection_size(rows: DataFrame, keys: list, limit: int = 0, key: str = "key", member: str = "member") -> DataFrame:
+    """ZINTERCARD."""
+    return cardinality(intersect(rows, keys, key, member), limit)
+
+
+def sample_members(rows: DataFrame, count: int, seed: int, key: str = "key", member: str = "member", score: str = "score") -> DataFrame:
+    """ZRANDMEMBER, with scores: count members of each key in the order of a seeded hash; a negative count repeats members."""
+    return sample(rows, count, seed, key, member).join(rows.select(key, member, score), [key, member])
+
+
+def scan_members(rows: DataFrame, cursor: int, count: int, pattern: str | None = None, key: str = "key", member: str = "member") -> DataFrame:
+    """ZSCAN."""
+    return scan_within(rows, cursor, count, pattern, key, member)
+
+
+def pop_first(rows: DataFrame, keys: list, count: int = 1, highest: bool = False, key: str = "key", member: str = "member", score: str = "score") -> tuple[DataFrame, DataFrame]:
+    """ZMPOP: (popped, rest) of the first of the keys that isn't empty."""
+    own = first_with_rows(rows, keys, key)
+    popped, left = pop(rows.where(own), count, highest, key, member, score)
+    return popped, left.unionByName(rows.where(~own))

@@ -122,13 +122,20 @@ def _(s, d):
     return places(s, d).select("member", geohash52(F.col("lon"), F.col("lat")).alias("cell"))
 
 
-@query("geo_decode", f"WITH {PLACES} SELECT member, true AS near FROM places")
+@query("geo_decode", f"WITH {PLACES}, c AS (SELECT member, least(67108863, CAST(floor((lat + 85.05112878) / 170.10225756 * 67108864) AS BIGINT)) AS a, least(67108863, CAST(floor((lon + 180) / 360 * 67108864) AS BIGINT)) AS o FROM places) SELECT member, round((o + 0.5::DOUBLE) / 67108864 * 360 - 180, 9) AS lon, round((a + 0.5::DOUBLE) / 67108864 * 170.10225756 - 85.05112878, 9) AS lat FROM c")
 def _(s, d):
     p = places(s, d).withColumn("at", geohash52_point(geohash52(F.col("lon"), F.col("lat"))))
-    return p.select("member", ((F.abs(F.col("at.lon") - F.col("lon")) < 1e-5) & (F.abs(F.col("at.lat") - F.col("lat")) < 1e-5)).alias("near"))
+    return p.select("member", F.round("at.lon", 9).alias("lon"), F.round("at.lat", 9).alias("lat"))
 
 
-@query("geo_hash32")
+BASE32_SQL = "'0123456789bcdefghjkmnpqrstuvwxyz'"
+
+
+@query("geo_hash32", f"""WITH {PLACES}, c AS (SELECT member, least(67108863, CAST(floor((lat + 85.05112878) / 170.10225756 * 67108864) AS BIGINT)) AS a, least(67108863, CAST(floor((lon + 180) / 360 * 67108864) AS BIGINT)) AS o FROM places),
+  p AS (SELECT member, (a + 0.5::DOUBLE) / 67108864 * 170.10225756 - 85.05112878 AS lat, (o + 0.5::DOUBLE) / 67108864 * 360 - 180 AS lon FROM c),
+  g AS (SELECT member, least(67108863, CAST(floor((lat + 90) / 180 * 67108864) AS BIGINT)) AS a, least(67108863, CAST(floor((lon + 180) / 360 * 67108864) AS BIGINT)) AS o FROM p),
+  h AS (SELECT member, CAST(list_sum(list_transform(range(26), lambda i: (((a >> i) & 1) << (2 * i)) + (((o >> i) & 1) << (2 * i + 1)))) AS BIGINT) AS code FROM g)
+  SELECT member, array_to_string(list_transform(range(10), lambda i: substr({BASE32_SQL}, CAST(((code >> CAST(47 - 5 * i AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') || '0' AS geohash FROM h""")
 def _(s, d):
     return places(s, d).select("member", geohash_text(F.col("lon"), F.col("lat")).alias("geohash"))
 
@@ -162,6 +169,17 @@ def _(s, d):
     return found.groupBy("key").agg(F.count("*").alias("n"), F.count_if("found").alias("n_found"))
 
 
+@query("bloom_false_positives", "SELECT event_type AS key, count(DISTINCT user_id) AS n, true AS rare FROM events GROUP BY 1")
+def _(s, d):
+    rows = typed(s, d)
+    bits, hashes = sketches.bloom_size(1000, 0.01)
+    strangers = rows.select("key").distinct().withColumn("item", F.explode(F.sequence(F.lit(-2000).cast("long"), F.lit(-1).cast("long"))))
+    found = sketches.bloom_contains(sketches.bloom(rows, "item", bits, hashes), rows.select("key", "item").union(strangers), "item", bits, hashes)
+    sums = found.groupBy("key").agg(F.count_if(F.col("found") & (F.col("item") >= 0)).alias("n"), F.count_if(F.col("found") & (F.col("item") < 0)).alias("wrong"), F.count_if(F.col("item") >= 0).alias("held"))
+    # at its capacity the filter is wrong once in 100; twice that leaves room for chance, and a filter of more items may be wrong more often
+    return sums.select("key", "n", ((F.col("wrong") <= 0.02 * 2000) | (F.col("held") > 1000)).alias("rare"))
+
+
 @query("cuckoo_delete", "SELECT event_type AS key, count(DISTINCT user_id) AS n, count(DISTINCT CASE WHEN user_id % 2 = 0 THEN user_id END) AS n_held FROM events GROUP BY 1")
 def _(s, d):
     items = typed(s, d).distinct()
@@ -283,7 +301,7 @@ def pending(s: SparkSession, d: str) -> DataFrame:
 P = f"{X}, p AS (SELECT key, ms, seq, 'c' || (user_id % 3) AS consumer, ms AS delivery_ms, 1 AS delivery_count FROM x)"
 
 
-@query("x_group_deliver")
+@query("x_group_deliver", f"WITH {X} SELECT key, 'consumer' || (CAST('0x' || substr(md5(ms || '-' || seq), 1, 8) AS BIGINT) % 3) AS consumer, count(*) AS n FROM x GROUP BY 1, 2")
 def _(s, d):
     return streams.deliver(entries(s, d), 3, F.col("ms")).groupBy("key", "consumer").agg(F.count("*").alias("n"))
 
@@ -310,7 +328,7 @@ def _(s, d):
     return streams.claim(pending(s, d), "worker", span(s, d)[1], 864_000_000, count=5).where("claimed").select("key", "ms", "seq")
 
 
-@query("x_idmp_dedup", f"WITH {X}, r AS (SELECT *, lag(ms) OVER (PARTITION BY key, user_id ORDER BY ms, seq) AS last FROM x) SELECT key, ms, seq FROM r WHERE last IS NULL OR ms - last >= 3600000")
+@query("x_idmp_dedup", "WITH RECURSIVE e AS (SELECT event_type AS key, user_id AS u, event_id AS seq, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY event_type, user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events), w AS (SELECT key, u, seq, ms, i, true AS took, ms + 3600000 AS until FROM e WHERE i = 1 UNION ALL SELECT e.key, e.u, e.seq, e.ms, e.i, e.ms >= w.until, CASE WHEN e.ms >= w.until THEN e.ms + 3600000 ELSE w.until END FROM e JOIN w ON e.key = w.key AND e.u = w.u AND e.i = w.i + 1) SELECT key, ms, seq FROM w WHERE took")
 def _(s, d):
     rows = entries(s, d).withColumn("producer", F.col("user_id")).withColumn("token", F.lit(1))
     return streams.idempotent(rows, window_ms=3_600_000).select("key", "ms", "seq")
@@ -356,7 +374,7 @@ def _(s, d):
     return agent.quota_pressure(calls, 3_600_000).select("event_id", "requests", "window_tokens")
 
 
-@query("tool_claim_replay", "WITH r AS (SELECT event_id, (epoch_us(ts) // 1000) AS ms, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS last FROM events) SELECT event_id, last IS NULL OR ms - last >= 60000 AS granted FROM r")
+@query("tool_claim_replay", "WITH RECURSIVE e AS (SELECT user_id AS k, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events), w AS (SELECT k, event_id, i, true AS granted, ms + 60000 AS until FROM e WHERE i = 1 UNION ALL SELECT e.k, e.event_id, e.i, e.ms >= w.until, CASE WHEN e.ms >= w.until THEN e.ms + 60000 ELSE w.until END FROM e JOIN w ON e.k = w.k AND e.i = w.i + 1) SELECT event_id, granted FROM w")
 def _(s, d):
     calls = table(s, d, "events").select("event_id", F.col("user_id").alias("call_id"), F.struct(F.expr(MILLIS_SQL).alias("ms"), "event_id").alias("at"), F.expr(MILLIS_SQL).alias("ts_ms"))
     return agent.tool_claims(calls, 60_000, "call_id", "ts_ms", "event_id").select("event_id", "granted")

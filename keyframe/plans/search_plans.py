@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.columns import sign_bits, hamming, sq8
 from ..functions.text import STOP_WORDS
 from ..operators import search, vectors
 from ..operators.aggregate import Pipeline
-from ..sources.tables import table
+from ..sources.tables import shared_dir, table
 from .registry import query
 
 # ------------------------------------------------------------------------------- aggregation
@@ -79,7 +81,12 @@ scored AS (SELECT p.term, p.doc_id, greatest(0.0001::DOUBLE, ln(1.0::DOUBLE + (n
 
 
 def index(s: SparkSession, d: str) -> search.Index:
-    return search.Index(table(s, d, "documents"), "doc_id", "text")
+    """The stored index of documents: created by the first query that asks for it, and anew if the table has changed since."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path)
+    name = f"documents-{zlib.crc32(d.encode()):08x}-{status.getModificationTime()}-{s.sparkContext.applicationId}"
+    catalog = search.Catalog(s, f"{shared_dir(s)}/keyframe/indexes")
+    return catalog.open(name) if name in catalog.names() else catalog.create(name, table(s, d, "documents"), "doc_id", "text")
 
 
 def rounded(hits: DataFrame, digits: int = 6) -> DataFrame:
@@ -201,10 +208,10 @@ def _(s, d):
     return found.select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("vset_quant_sq8", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) SELECT vec_id, CAST(list_sum(list_transform(x, lambda a: CASE WHEN hi <= lo THEN 0 ELSE round((a - lo) / (hi - lo) * 255) END)) AS BIGINT) AS code_sum FROM v")
+@query("vset_quant_sq8", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) SELECT vec_id, array_to_string(list_transform(x, lambda a: CAST(CASE WHEN hi <= lo THEN 0 ELSE round((a - lo) / (hi - lo) * 255) END AS INTEGER)), ',') AS codes FROM v")
 def _(s, d):
     rows = table(s, d, "embeddings")
-    return rows.select("vec_id", F.aggregate(sq8(F.col("embedding")), F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+    return rows.select("vec_id", F.array_join(F.transform(sq8(F.col("embedding")), lambda c: c.cast("string")), ",").alias("codes"))
 
 
 @query("vset_binary_hamming", "WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) SELECT vec_id, CAST(list_sum(list_transform(list_zip(embedding, qv), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance FROM embeddings, q")

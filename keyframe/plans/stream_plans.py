@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import processors
+from ..sources.tables import shared_dir
 from .data_plans import MILLIS_SQL
 from .registry import query
 
@@ -21,8 +21,7 @@ def events(s: SparkSession, d: str) -> DataFrame:
 def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what there is and return its rows."""
     s = stream.sparkSession
-    base = (s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyframe-')}").rstrip("/")
-    at = f"{base}/keyframe/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/keyframe/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -33,7 +32,7 @@ def _(s, d):
     return to_end(processors.increasing(rows, "key", "ms", "seq")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("stream_tool_leases")
+@query("stream_tool_leases", "WITH RECURSIVE e AS (SELECT user_id AS k, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events), w AS (SELECT k, event_id, i, true AS granted, ms + 60000 AS until FROM e WHERE i = 1 UNION ALL SELECT e.k, e.event_id, e.i, e.ms >= w.until, CASE WHEN e.ms >= w.until THEN e.ms + 60000 ELSE w.until END FROM e JOIN w ON e.k = w.k AND e.i = w.i + 1) SELECT k AS call_id, event_id AS claim_id, granted FROM w")
 def _(s, d):
     rows = events(s, d).select(F.col("user_id").alias("call_id"), F.col("event_id").alias("claim_id"), F.expr(MILLIS_SQL).alias("ts_ms"))
     return to_end(processors.tool_leases(rows, 60_000))

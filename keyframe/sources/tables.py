@@ -7,6 +7,8 @@ row of each key, by `max_by` with map-side combining, so a hot key isn't sorted.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +52,14 @@ def replay(spark: SparkSession, path: str, schema: str, fold: Callable[[DataFram
 def live(df: DataFrame, as_of_ms: int, expire_col: str = "expire_at") -> DataFrame:
     """Rows that haven't expired at a given time (ms); no expiry is null."""
     return df.where(F.col(expire_col).isNull() | (F.col(expire_col) > as_of_ms))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where it is unset, a local folder, if all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='keyframe-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyframe.functions.columns import geohash_text, vector
-from keyframe.functions.text import tokens
+from keyframe.functions.text import index_terms, tokens
 from keyframe.operators import agent, crdt, geo, jsonops, pubsub, search, sketches, streams, vectors
 from keyframe.operators.aggregate import Pipeline
 from keyframe.sources.tables import append, compact, live, load_snapshot, replay, save_snapshot
@@ -33,19 +33,34 @@ def test_analyzer(spark):
     assert rows(df.select(tokens(F.col("t")))) == [(["party", "runn", "class", "Étion", "glass", "box"],), ([],), ([],)]
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "High performance Rust redis engine", 99.5, "database, rust, cache"), (2, "Dragonfly memory store in C++", 49.0, "database, memory")], "doc_id int, title string, price double, tags string")
-    i = search.Index(docs, "doc_id", "title")
+    catalog = search.Catalog(spark, f"file://{tmp_path}/indexes")
+    i = catalog.create("items", docs, "doc_id", "title")
     ids = lambda h: sorted(r["doc_id"] for r in h.collect())
     assert ids(i.term("rust")) == [1] and ids(i.prefix("redi")) == [1] and ids(i.negate(i.term("rust"))) == [2]
     assert ids(search.filtered(docs, "doc_id", F.col("price").between(50, 100))) == [1]
     assert ids(search.filtered(docs, "doc_id", search.tag("tags", ["memory"]))) == [2]
     assert ids(search.all_of(i.term("rust"), i.term("memory"))) == [] and ids(search.any_of(i.term("rust"), i.term("memory"))) == [1, 2]
+    assert ids(i.term("Rusts")) == [1] and ids(i.exact("rusts")) == [] and ids(i.exact("rust")) == [1]
+    priced = docs.withColumn("price", F.when(F.col("doc_id") == 1, F.col("price")))
+    assert ids(search.scoped(search.any_of(i.term("rust"), i.term("memory")), priced, "doc_id", "price")) == [1]
+    more = search.add_documents(docs, spark.createDataFrame([(2, "Plain store", 1.0, ""), (3, "Rust again", 2.0, "")], docs.schema), "doc_id")
+    j = catalog.create("items", more, "doc_id", "title")
+    assert ids(j.term("rust")) == [1, 3] and ids(j.term("memory")) == [] and ids(catalog.open("items").term("plain")) == [2]
+    assert [tuple(r) for r in j.info().collect()] == [(3, 7, 8)] and catalog.names() == ["items"]
+    catalog.drop("items")
+    assert catalog.names() == []
 
 
-def test_bm25_value(spark):
+def test_terms_of_scripts_with_vowel_signs(spark):
+    df = spark.createDataFrame([(1, "हिन्दी भाषा, x2")], "doc_id int, t string")
+    assert sorted(r["term"] for r in index_terms(df, "doc_id", "t").collect()) == sorted(["हिन", "दी", "भाषा", "x2"])
+
+
+def test_bm25_value(spark, tmp_path):
     docs = spark.createDataFrame([(1, "apple pear"), (2, "plum fig"), (3, "kiwi lime")], "doc_id int, t string")
-    (score,) = (r["score"] for r in search.Index(docs, "doc_id", "t").term("apple").collect())
+    (score,) = (r["score"] for r in search.Index.create(docs, "doc_id", "t", f"file://{tmp_path}/i").term("apple").collect())
     assert math.isclose(score, math.log(1 + 2.5 / 1.5), rel_tol=1e-9)
 
 
