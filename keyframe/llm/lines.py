@@ -17,8 +17,15 @@ pair where its first common word is, and a set's number of matches and the earli
 among them are returned.
 
 Equal sets are one; in-task repeats are dropped before the shuffle, so a line that a
-third of all documents hold is listed once per task. Lines of one to three different
-words can only match equal sets and aren't listed.
+third of all documents hold is listed about once per task. Sets too small to match any but
+equal ones (at 0.8 those of one to three words) aren't listed. A word under which more than
+`BLOCK_ROWS` sets are listed - a template line of many variants makes one - is split: its
+sets are dealt into blocks, and each pair of blocks is a task's work of bounded size. Such
+words are counted first, and at most `MOST_HOT` of them are split, the most frequent ones.
+
+Words are compared by 32 bits of their hashes, so a pair of lines whose similarity is within
+one word of the threshold may be judged wrongly if two of their words collide: for two
+lines of 20 words that is once in ten million such pairs. Equal lines go by 64 bits.
 
 Defined results: a null text is empty; a line without words is never removed; a null id
 stands before all others; rows of one id are one document's copies (their equal lines
@@ -34,24 +41,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, WORD_GAP, materialize, mix64, slices, span_hashes, text_column, word_spans
+from .common import TEXT_ROWS, WORD_GAP, free_name, materialize, mix64, remove, slices, span_hashes, text_column, whole_groups, word_spans
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 20
 BLOCK = 1 << 12
-LEAST_LISTED = 4
+#: Sets under one word that are compared at a time, and words that are split if they have more.
+BLOCK_ROWS = 1 << 15
+MOST_HOT = 1 << 20
+#: Sets that a task remembers to have listed.
+MOST_SEEN = 1 << 18
 #: Pairs that are verified at a time.
 PAIRS = 4096
 
 
+def least_size(threshold: float) -> int:
+    """The size of the smallest sets that can match another: n of n + 1 words must reach the threshold."""
+    n = 1
+    while n < threshold * (n + 1) - 1e-9:
+        n += 1
+    return n
+
+
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line with words, and one for a document without: doc_id, n_lines, line, set_key, n, tokens.
 
-    tokens (32 bits each) stand at a set's first line in a slice only.
+    tokens (32 bits each) stand at a set's first line in a task only (in a slice, where a task has many different sets).
     """
     feed = np.uint8(10)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             for first, data, offsets in slices(text_column(batch.column(1))):
                 n_rows = len(offsets) - 1
@@ -63,9 +83,11 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 line = above + row  # rises by one at each line feed and each row
                 number, row_of, line_no = _lines(line, row, above - before[row])
                 keys, sizes, tokens = _sets(h, number, len(row_of))
-                _, lead = np.unique(keys, return_index=True)
+                new, lead = np.unique(keys, return_index=True)
+                known = np.isin(new, seen, assume_unique=True)
                 leads = np.zeros(len(keys), bool)
-                leads[lead] = True
+                leads[lead[~known]] = True
+                seen = np.union1d(seen, new) if len(seen) < MOST_SEEN else new
                 ends_at = np.cumsum(sizes)
                 listed = [tokens[e - n : e].tobytes() if own else None for own, e, n in zip(leads.tolist(), ends_at.tolist(), sizes.tolist(), strict=True)]
                 bare = np.setdiff1d(np.arange(n_rows), row_of)
@@ -153,42 +175,100 @@ def parities(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(flat.astype(np.uint64)) & np.uint64(63)), starts)
 
 
-def prefix_entries(sets: DataFrame, classes, threshold: float) -> DataFrame:
-    """token, size (n, and the word's place below it), set_key, parity: a row for each prefix word of each listed set. classes: broadcast."""
+def prefix_words(n: np.ndarray, flat: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set, place and token of each prefix word of sets of n tokens, which come one after the other in order of rarity."""
+    length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    row = np.repeat(np.arange(len(n)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    return row, place, flat[(np.cumsum(n) - n)[row] + place]
+
+
+def listed_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    return sets.where(F.col("tokens").isNotNull() & (F.col("n") >= least_size(threshold))).select("set_key", "n", "tokens")
+
+
+def ordered_tokens(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and tokens, by rarity, of rows of set_key, n and tokens."""
+    n = batch.column(1).to_numpy().astype(np.int64)
+    return n, by_rarity(np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)]), n, classes)
+
+
+def hot_words(sets: DataFrame, classes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (sorted) under which over BLOCK_ROWS sets are listed, and into how many blocks their sets are dealt."""
+    least = int(2 * np.log2(1 + BLOCK_ROWS))  # a word listed so often stands in so many sets, and its bucket is of this class
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                token = prefix_words(*ordered_tokens(batch, classes.value), threshold)[2]
+                token = token[classes.value[token & np.uint32(BUCKETS - 1)] >= least]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32))], names=["token"])
+
+    counts = listed_sets(sets, threshold).mapInArrow(words, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
+    token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], -(-n[order] // BLOCK_ROWS)
+
+
+def blocks_of(token: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Into how many blocks the sets under each token are dealt."""
+    if not len(hot[0]):
+        return np.ones(len(token), np.int64)
+    at = np.minimum(np.searchsorted(hot[0], token), len(hot[0]) - 1)
+    return np.where(hot[0][at] == token, hot[1][at], 1)
+
+
+def block_of(key: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix64(key.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def prefix_entries(sets: DataFrame, classes, hot, threshold: float) -> DataFrame:
+    """token, part, size (n, and the word's place below it), set_key, parity: a row for each prefix word of each listed set, and
+    under a split word for each pair of blocks that the set is in. classes, hot: broadcast."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy().astype(np.int64)
-            if not len(n):
+            if not batch.num_rows:
                 continue
-            flat = by_rarity(np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)]), n, classes.value)
-            starts = np.cumsum(n) - n
-            parity = parities(flat, starts)
-            length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            row = np.repeat(np.arange(len(n)), length)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            n, flat = ordered_tokens(batch, classes.value)
+            parity = parities(flat, np.cumsum(n) - n)
+            row, place, token = prefix_words(n, flat, threshold)
+            key, token = batch.column(0).to_numpy()[row], token.view(np.int32)
+            blocks = blocks_of(token, hot.value)
+            own = block_of(key, blocks)
+            each = np.repeat(np.arange(len(row)), blocks)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            part = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
+            size = n[row] << 32 | place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[starts[row] + place].view(np.int32)), pa.array(n[row] << 32 | place), pa.array(batch.column(0).to_numpy()[row]), pa.array(parity[row].view(np.int64))],
-                names=["token", "size", "set_key", "parity"],
+                [pa.array(token[each]), pa.array(part, pa.int64()), pa.array(size[each]), pa.array(key[each]), pa.array(parity[row].view(np.int64)[each])],
+                names=["token", "part", "size", "set_key", "parity"],
             )
 
-    return sets.where(F.col("tokens").isNotNull() & (F.col("n") >= LEAST_LISTED)).select("set_key", "n", "tokens").mapInArrow(entries, "token int, size long, set_key long, parity long")
+    return listed_sets(sets, threshold).mapInArrow(entries, "token int, part long, size long, set_key long, parity long")
+
+
+def sides(token: np.ndarray, part: np.ndarray, key: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The block of each listing in a part of two blocks, of which only pairs across count; -1 elsewhere."""
+    blocks = blocks_of(token, hot)
+    return np.where(part // blocks == part % blocks, -1, block_of(key, blocks))
 
 
-def passing_pairs(token: np.ndarray, size: np.ndarray, parity: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (k, j) of pairs under one word that pass the filters; entries come in the order of (token, size)."""
+def passing_pairs(group: np.ndarray, size: np.ndarray, parity: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (k, j) of pairs of one group that pass the filters; entries come in the order of (group, size)."""
     share, apart = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
     n, rest = (size >> 32).astype(np.int32), ((size >> 32) - (size & 0xFFFFFFFF)).astype(np.int32)
-    # the smaller set (n rises within a word) must be able to reach the overlap with one of its own size
-    k = np.flatnonzero((token[:-1] == token[1:]) & (rest[:-1] >= 2 * share * n[:-1] - 1e-6))
+    # the smaller set (n rises within a group) must be able to reach the overlap with one of its own size
+    k = np.flatnonzero((group[:-1] == group[1:]) & (rest[:-1] >= 2 * share * n[:-1] - 1e-6))
     step = 1
     while len(k):
         j = k + step
-        k, j = (k, j) if j[-1] < len(token) else (k[j < len(token)], j[j < len(token)])
-        near = (token[k] == token[j]) & (n[k] >= threshold * n[j] - 1e-6)  # what fails now fails from here on
+        k, j = (k, j) if j[-1] < len(group) else (k[j < len(group)], j[j < len(group)])
+        near = (group[k] == group[j]) & (n[k] >= threshold * n[j] - 1e-6)  # what fails now fails from here on
         k, j = k[near], j[near]
         both = n[k] + n[j]
-        ok = np.flatnonzero(np.minimum(rest[k], rest[j]) >= share * both - 1e-6)
+        ok = np.flatnonzero((np.minimum(rest[k], rest[j]) >= share * both - 1e-6) & ((side[k] < 0) | (side[k] != side[j])))
         ok = ok[np.bitwise_count(parity[k[ok]] ^ parity[j[ok]]) <= apart * both[ok] + 1e-6]
         if len(ok):
             yield k[ok], j[ok]
@@ -196,39 +276,31 @@ def passing_pairs(token: np.ndarray, size: np.ndarray, parity: np.ndarray, thres
 
 
 def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
-    """rows (token first, then size) dealt by token; work gets batches of whole tokens in the order of (token, size)."""
+    """rows dealt by token and part; work gets tables of whole groups, with the number of each row's group, in the order of (group, size)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            token = batch.column(0).to_numpy()
-            if not len(token):
-                continue
-            cut = int(np.searchsorted(token, token[-1]))  # the last word may go on in the next batch
-            if cut or held and held[-1].column(0)[-1].as_py() != token[0]:
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield from work(pa.Table.from_batches(held).combine_chunks())
+        for table in whole_groups(batches, ["token", "part"]):
+            token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
+            group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+            yield from work(table, group)
 
-    return rows.repartition("token").sortWithinPartitions("token", "size").mapInArrow(scan, schema)
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(scan, schema)
 
 
-def listings_with_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+def listings_with_pairs(entries: DataFrame, hot, threshold: float) -> DataFrame:
     """The entries that pass the filters with another set under their word."""
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, size, key = (table.column(c).to_numpy() for c in ("token", "size", "set_key"))
+    def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, part, size, key = (table.column(c).to_numpy() for c in ("token", "part", "size", "set_key"))
         parity = table.column("parity").to_numpy().view(np.uint64)
         held = np.zeros(len(token), bool)
-        for k, j in passing_pairs(token, size, parity, threshold):
+        for k, j in passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold):
             differ = key[k] != key[j]
             held[k[differ]] = held[j[differ]] = True
         if held.any():
             yield from table.filter(pa.array(held)).to_batches()
 
-    return by_word(entries, work, "token int, size long, set_key long, parity long").distinct()
+    return by_word(entries, work, "token int, part long, size long, set_key long, parity long").distinct()
 
 
 def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -257,18 +329,20 @@ def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.n
     return ok
 
 
-def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """set_key, n_links, there: how many other sets match each set, and the earliest line (doc_id, line) of those; sets without any aren't listed."""
-    classes = sets.sparkSession.sparkContext.broadcast(word_classes(sets))
-    listed, _ = materialize(listings_with_pairs(prefix_entries(sets, classes, threshold), threshold), "line-listings")
+def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """set_key, n_links, there: how many other sets match each set, and the earliest line (doc_id, line) of those; sets without any aren't listed. And the tables behind it."""
+    spark = sets.sparkSession.sparkContext
+    classes = spark.broadcast(word_classes(sets))
+    hot = spark.broadcast(hot_words(sets, classes, threshold))
+    listed, a = materialize(listings_with_pairs(prefix_entries(sets, classes, hot, threshold), hot, threshold), "line-listings")
     involved = listed.select("set_key").distinct()
     full = sets.where("tokens IS NOT NULL").select("set_key", "tokens").hint("merge").join(involved, "set_key").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
     least = -(1 << 63)  # stands for a null id
-    full, _ = materialize(full.join(firsts, "set_key").select("set_key", "tokens", F.coalesce("first.doc_id", F.lit(least)).alias("doc_id"), "first.line"), "line-tokens")
-    rows = listed.join(full.hint("merge"), "set_key").select("token", "size", "set_key", "tokens", "doc_id", "line")
+    full, b = materialize(full.join(firsts, "set_key").select("set_key", "tokens", F.coalesce("first.doc_id", F.lit(least)).alias("doc_id"), "first.line"), "line-tokens")
+    rows = listed.join(full.hint("merge"), "set_key").select("token", "part", "size", "set_key", "tokens", "doc_id", "line")
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, size, key, doc, line = (table.column(c).to_numpy() for c in ("token", "size", "set_key", "doc_id", "line"))
+    def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, part, size, key, doc, line = (table.column(c).to_numpy() for c in ("token", "part", "size", "set_key", "doc_id", "line"))
         stored = [np.frombuffer(t.as_buffer(), np.uint32) for chunk in table.column("tokens").chunks for t in chunk]
         sizes = np.array([len(t) for t in stored], np.int64)
         flat = by_rarity(np.concatenate(stored), sizes, classes.value)
@@ -278,7 +352,7 @@ def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataF
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         n_links, best = np.zeros(len(key), np.int64), np.full(len(key), len(key), np.int64)
-        for ks, js in passing_pairs(token, size, parity, threshold):
+        for ks, js in passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold):
             for i in range(0, len(ks), PAIRS):
                 k, j = ks[i : i + PAIRS], js[i : i + PAIRS]
                 used, local = np.unique(np.concatenate([k, j]), return_inverse=True)
@@ -295,45 +369,48 @@ def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataF
 
     found = by_word(rows, work, "set_key long, n_links long, doc_id long, line int")
     there = F.struct(F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"), "line")
-    return found.groupBy("set_key").agg(F.sum("n_links").alias("n_links"), F.min(there).alias("there"))
-
-
-def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each line with words (and one for a document without): doc_id, n_lines, line, set_key, n_links, first_doc, first_line.
-
-    first_*: the earliest line that matches (itself if none does).
-    """
-    sets, _ = materialize(line_sets(docs, id_col, text_col), "line-sets", TEXT_ROWS)
-    firsts = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    firsts, _ = materialize(firsts, "line-firsts")
-    linked, _ = materialize(matching_sets(sets, firsts, threshold), "line-links", 4 * TEXT_ROWS)
-    # least() skips nulls, and a null id is smaller than any other within the struct
-    earliest = firsts.join(linked, "set_key", "left").select("set_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "there").alias("earliest"))
+    links, c = materialize(found.groupBy("set_key").agg(F.sum("n_links").alias("n_links"), F.min(there).alias("there")), "line-links", 4 * TEXT_ROWS)
+    return links, [a, b, c]
+
+
+def match_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
+    """A row for each line with words (and one for a document without): doc_id, n_lines, line, n_links, earliest (the earliest
+    line that matches, itself if none does). And the tables behind it."""
+    sets, a = materialize(line_sets(docs, id_col, text_col), "line-sets", TEXT_ROWS)
+    firsts = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n_rows"))
+    firsts, b = materialize(firsts, "line-firsts")
+    linked, scratch = matching_sets(sets, firsts, threshold)
+    # least() skips nulls, and a null id is smaller than any other within the struct; written, so that Spark can split a frequent line in the join
+    earliest = firsts.join(linked, "set_key", "left").where("n_rows > 1 OR n_links IS NOT NULL")
+    earliest, c = materialize(earliest.select("set_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("first", "there").alias("earliest")), "line-earliest")
     rows = sets.select("doc_id", "n_lines", "line", "set_key").join(earliest, "set_key", "left")
     own = F.struct("doc_id", "line")
-    return rows.select("doc_id", "n_lines", "line", "set_key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earliest", own).alias("earliest"))
+    return rows.select("doc_id", "n_lines", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earliest", own).alias("earliest")), [a, b, c, *scratch]
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, class_id (of the earliest document that one of its lines matches), n_links, n_lines, n_removed, removed_lines."""
-    rows = match_lines(docs, id_col, text_col, threshold)
+    rows, scratch = match_lines(docs, id_col, text_col, threshold)
     later = F.struct("doc_id", "line") > F.col("earliest")
-    return rows.groupBy("doc_id").agg(
+    found = rows.groupBy("doc_id").agg(
         F.min("earliest.doc_id").alias("class_id"),
         F.sum("n_links").alias("n_links"),
         F.max("n_lines").alias("n_lines"),
         F.count_if(later).alias("n_removed"),
         F.sort_array(F.collect_set(F.when(later, F.col("line")))).alias("removed_lines"),
     )
+    result, _ = materialize(found, "line-duplicates")
+    remove(docs.sparkSession, *scratch)
+    return result
 
 
 def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with their later matching lines removed; length_col, if given, is set to the new length."""
-    gone = line_duplicates(docs, id_col, text_col, threshold).where("n_removed > 0").select(F.col("doc_id").alias("_line_id"), F.col("removed_lines").alias("_gone"))
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    rows = rows.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col)))
-    if length_col:
-        rows = rows.withColumn(length_col, F.when(F.col("_gone").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)))
-    return rows.select(*docs.columns)
-
+    key, lines = free_name("_line_id", docs), free_name("_gone", docs)
+    gone = line_duplicates(docs, id_col, text_col, threshold).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("removed_lines").alias(lines))
+    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lines, i))
+    changed = F.col(lines).isNotNull()
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    length = F.when(changed, F.length(text)).otherwise(F.col(length_col)) if length_col else None
+    return rows.select(*(text.alias(c) if c == text_col else length.alias(c) if c == length_col else F.col(c) for c in docs.columns))

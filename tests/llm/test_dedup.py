@@ -100,14 +100,29 @@ def brute_lines(rows, t=0.8):
     return {k: tuple(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("pairs", [4096, 3])
-def test_lines(copies, pairs, monkeypatch):
+@pytest.mark.parametrize(("pairs", "threshold", "block"), [(4096, 0.8, 1 << 15), (3, 0.8, 3), (4096, 0.5, 1 << 15), (4096, 0.6, 7), (4096, 0.9, 1 << 15)])
+def test_lines(copies, pairs, threshold, block, monkeypatch):
     monkeypatch.setattr(lines, "PAIRS", pairs)
-    want = brute_lines([(r["doc_id"], r["text"]) for r in copies.collect()])
-    got = {r["doc_id"]: (r["n_links"], r["n_removed"], r["class_id"]) for r in lines.line_duplicates(copies.repartition(3)).collect()}
+    monkeypatch.setattr(lines, "BLOCK_ROWS", block)
+    want = brute_lines([(r["doc_id"], r["text"]) for r in copies.collect()], threshold)
+    got = {r["doc_id"]: (r["n_links"], r["n_removed"], r["class_id"]) for r in lines.line_duplicates(copies.repartition(3), threshold=threshold).collect()}
     assert got == want and sum(v[0] for v in want.values()) > 10
 
 
+def test_least_size():
+    assert [lines.least_size(t) for t in (0.5, 0.6, 0.75, 0.8, 0.9)] == [1, 2, 3, 4, 9]
+
+
+def test_variants_of_a_template_line(spark, monkeypatch):
+    """A line of many variants: its words are listed by all of them, and every pair matches."""
+    monkeypatch.setattr(lines, "BLOCK_ROWS", 16)
+    rows = [(i, f"w{i} this is a notice that many pages hold with a number in front number") for i in range(90)] + [(200, "aa bb cc"), (201, "aa bb dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_links"], r["n_removed"], r["class_id"]) for r in lines.line_duplicates(docs).collect()}
+    assert got == brute_lines(rows) and got[5][0] == 89
+    assert {r["doc_id"]: r["n_links"] for r in lines.line_duplicates(docs, threshold=0.5).collect()}[201] == 1
+
+
 def test_removed_lines(copies):
     gone = {r["doc_id"]: r["removed_lines"] for r in lines.line_duplicates(copies).collect()}
     for r, new in zip(copies.orderBy("doc_id").collect(), lines.without_duplicate_lines(copies).orderBy("doc_id").collect(), strict=True):
