@@ -27,11 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, text_column
+from .common import free_name, held_out, slices, text_column
 
 UNDETERMINED = "und"
 GRAMS = 1 << 17  # bigrams fill the first half, hashed trigrams the second
 CALIBRATION_ROWS = 20_000
+#: Languages that are learned; the counts on the driver are bounded by them.
+MOST_LANGUAGES = 1000
 SMOOTHING = 0.5
 
 #: Bytes that aren't ASCII letters or part of another script count as a space.
@@ -60,19 +62,22 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def codewords(n: int) -> np.ndarray:
-    """n different rows of 0 and 1, far apart: exhaustive codes for few classes, seeded dense codes for many."""
+    """n different rows of 0 and 1, far apart: exhaustive codes for few classes, the best of some seeded dense codes for many."""
     if n <= 1:
         return np.ones((n, 1), np.int8)
     if n <= 6:  # all splits of the classes in two
         return np.array([[(k >> i) & 1 for k in range(1, 1 << (n - 1))] for i in range(n)], np.int8)
     bits = int(np.ceil(10 * np.log2(n)))
-    best, far = None, -1
-    for seed in range(50):
-        code = np.random.default_rng(seed).integers(0, 2, (n, bits)).astype(np.int8)
-        gap = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
-        if gap > far and 0 < code.sum(0).min() and code.sum(0).max() < n:
-            best, far = code, gap
-    return best
+    tries = [np.random.default_rng(seed).integers(0, 2, (n, bits)) for seed in range(max(1, min(50, (1 << 24) // (n * n))))]
+    return max(tries, key=least_distance).astype(np.int8)
+
+
+def least_distance(code: np.ndarray) -> int:
+    """Places in which the two nearest codewords differ; negative by the number of bits that are the same for all."""
+    ones = code.astype(np.int32)
+    apart = ones.sum(1)[:, None] + ones.sum(1)[None, :] - 2 * (ones @ ones.T)
+    np.fill_diagonal(apart, code.shape[1])
+    return int(apart.min()) - code.shape[1] * int((code == code[0]).all(0).sum())
 
 
 @dataclass
@@ -121,11 +126,16 @@ def margins(model: LanguageModel, column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel:
-    """Learn from the rows of docs that have a language and a text."""
+def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """Learn from the rows of docs that have a language and a text; where there are more than most_languages, the most frequent ones."""
     train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = count_grams(train, "text", "lang").toPandas()
-    languages = sorted(counts["lang"].unique())
+    found = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    languages = sorted(r["lang"] for r in found)
+    bits = np.ones(1)
+    if len(languages) <= 1:  # nothing to tell apart
+        return LanguageModel(languages, codewords(len(languages)), np.zeros((GRAMS, 1), np.float32), bits, bits * 0, bits)
+    train = train.where(F.col("lang").isin(languages))
+    counts = count_grams(train, "text", "lang").toPandas()  # a row for each n-gram of each language
     total = np.zeros((len(languages), GRAMS))
     total[counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), counts["gram"].to_numpy()] = counts["n"]
     code = codewords(len(languages))
@@ -135,14 +145,14 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     weights = np.zeros((GRAMS, code.shape[1]), np.float32)
     for bit in range(code.shape[1]):
         one, zero = code[:, bit] == 1, code[:, bit] == 0
-        odds = np.log(share[one].mean(0) + prior) - np.log((share[zero].mean(0) if zero.any() else 0) + prior)
-        weights[seen, bit] = odds[seen]
+        if one.any() and zero.any():
+            odds = np.log(share[one].mean(0) + prior) - np.log(share[zero].mean(0) + prior)
+            weights[seen, bit] = odds[seen]
     bits = np.ones(code.shape[1])
-    model = LanguageModel(languages, code, weights, bits, bits * 0, bits)
-    return calibrated(model, train, counts, calibration_rows) if len(languages) > 1 else model
+    return calibrated(LanguageModel(languages, code, weights, bits, bits * 0, bits), train, sum(r["n"] for r in found), calibration_rows)
 
 
-def calibrated(model: LanguageModel, train: DataFrame, counts, calibration_rows: int) -> LanguageModel:
+def calibrated(model: LanguageModel, train: DataFrame, rows: int, calibration_rows: int) -> LanguageModel:
     """Set scale, shift and trust from the margins' moments on a sample: two normal classes of one variance."""
     number = {x: i for i, x in enumerate(model.languages)}
     width = model.code.shape[1]
@@ -154,7 +164,6 @@ def calibrated(model: LanguageModel, train: DataFrame, counts, calibration_rows:
             np.add.at(sums, [number[x] for x in batch.column(1).to_pylist()], np.hstack([np.ones((len(m), 1)), m, m * m]))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(number)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["i", "sums"])
 
-    rows = train.count()
     sample = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, calibration_rows / max(1, rows))) + 1)
     parts = sample.mapInArrow(moments, "i int, sums array<double>").select("i", F.posexplode("sums").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
     sums = np.zeros((len(number), 1 + 2 * width))
@@ -219,6 +228,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose language can't be told (`und`): no letter, or no text."""
     model = fit_language_model(docs.where(~held_out(id_col)), text_col, lang_col)
-    rows = docs.withColumn("_language", predict_language(model, F.col(text_col)))
-    return rows.where(F.col("_language.lang_pred") != UNDETERMINED).select(*docs.columns)
+    found = free_name("_language", docs)
+    rows = docs.withColumn(found, predict_language(model, F.col(text_col)))
+    return rows.where(F.col(found)["lang_pred"] != UNDETERMINED).select(*docs.columns)
 

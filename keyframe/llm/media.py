@@ -230,13 +230,14 @@ def automaton():
 
 def carve(blob: bytes) -> list[tuple[int, int, str, int]]:
     """(offset, length, type, depth) of the confirmed items, by offset; depth counts the items around one."""
-    found, around = [], []
+    items = []
     for last, (n, back, kind) in automaton().iter(blob.decode("latin-1")):
         at = last - n + 1 - back
         if at < 0 or not (size := VALIDATORS[kind](blob, at)):
             continue
-        if kind == "riff":
-            kind = RIFF_KINDS[blob[at + 8 : at + 12]]
+        items.append((at, size, RIFF_KINDS[blob[at + 8 : at + 12]] if kind == "riff" else kind))
+    found, around = [], []
+    for at, size, kind in sorted(items, key=lambda x: (x[0], -x[1])):  # a magic may stand some bytes behind its item's start
         while around and around[-1] <= at:
             around.pop()
         found.append((at, size, kind, len(around)))
@@ -264,6 +265,8 @@ def sniff(blobs: pa.Array) -> pa.Array:
 
 def correct_types(media: DataFrame, blob_col: str, declared_col: str, out_col: str = "sniffed") -> DataFrame:
     """media with `out_col` (type, items) and `declared_col` put right where the bytes say otherwise."""
+    if out_col.lower() in (c.lower() for c in media.columns):
+        raise ValueError(f"media has a column {out_col} already: name another out_col")
     found = media.withColumn(out_col, sniff(F.col(blob_col)))
     kind = F.col(out_col)["type"]
     return found.withColumn(declared_col, F.when(kind.isNotNull() & (kind != UNKNOWN), kind).otherwise(F.col(declared_col)))
@@ -272,9 +275,9 @@ def correct_types(media: DataFrame, blob_col: str, declared_col: str, out_col: s
 def embedded(media: DataFrame, id_col: str, blob_col: str, out_col: str = "sniffed") -> DataFrame:
     """A row for each item that lies inside or behind the leading one: id, offset, length, type, depth, bytes."""
     item = F.explode(F.filter(F.col(out_col)["items"], lambda i: i["offset"] > 0))
-    rows = media.select(F.col(id_col), F.col(blob_col).alias("_blob"), item.alias("_item"))
-    part = F.expr("substring(_blob, cast(_item.offset + 1 as int), cast(_item.length as int))")
-    return rows.select(id_col, "_item.*", part.alias("bytes"))
+    rows = media.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"), item.alias("item"))
+    part = F.substring("blob", (F.col("item.offset") + 1).cast("int"), F.col("item.length").cast("int"))
+    return rows.select(F.col("id").alias(id_col), "item.*", part.alias("bytes"))
 
 
 # ------------------------------------------------------- lossless 8-bit samples

@@ -8,7 +8,8 @@ epochs first and then on its documents in key order until the budget is met.
 Plan: one scan of the texts (sizes and keys are written to the shared folder), one
 aggregate by source, one aggregate by (source, key bucket) whose running sum gives
 each bucket's start, and one window inside (source, bucket). Key buckets split a hot
-source over many tasks; no task ever sorts a whole source.
+source over many tasks; no task ever sorts a whole source. The sources themselves are
+ordered in one task, a row for each: meant for up to some millions of sources.
 
 Defined results: a null text has size 0, a null source is a source of its own (last),
 a null id is drawn as the text "null", rows of size 0 take 0 words, repeated rows are
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,7 +88,6 @@ def source_targets(sums: DataFrame, weights: tuple[float, ...], share: float, mo
     full_before = F.coalesce(F.sum("full").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     weight_left = F.sum("weight").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     budget = F.sum("source_size").over(everything) * float(share)
-    level = F.max((budget - full_before) / weight_left).over(everything)
     filled = sized.withColumn("budget", budget).withColumn("full_before", full_before).withColumn("weight_left", weight_left)
     filled = filled.withColumn("level", F.max((F.col("budget") - F.col("full_before")) / F.col("weight_left")).over(everything))
     target = F.least(F.col("full"), F.col("level") * F.col("weight"))
@@ -105,17 +105,18 @@ def mixed_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", t
 
     `taken` has one row for each distinct doc_id; its columns are dropped again.
     """
-    plan = taken.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken")).dropDuplicates(["_mix_id"])
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id"))).where(F.col("_mix_taken") > 0)
+    own, size, most, words = (free_name(n, docs) for n in ("_mix_id", "_mix_size", "_mix_taken", "_mix_words"))
+    plan = taken.select(F.col("doc_id").alias(own), F.col("size").alias(size), F.col("taken").alias(most)).dropDuplicates([own])
+    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col(own))).where(F.col(most) > 0)
     copies = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_mix_taken") / F.col("_mix_size")) - 1),
-        lambda i: F.least(F.col("_mix_size"), F.col("_mix_taken") - i * F.col("_mix_size")),
+        F.sequence(F.lit(0).cast("long"), F.ceil(F.col(most) / F.col(size)) - 1),
+        lambda i: F.least(F.col(size), F.col(most) - i * F.col(size)),
     )
-    rows = rows.withColumn("_mix_words", F.explode(copies))
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_mix_words").cast("int")), " ")
-    text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    rows = rows.withColumn(words, F.explode(copies))
+    parts = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col(words).cast("int")), " ")
+    text = F.when(F.col(words) < F.col(size), cut).otherwise(F.col(text_col))
+    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -109,44 +110,49 @@ def swaps(words: set[str], groups: tuple[tuple[str, ...], ...]) -> list[tuple[st
 
 
 def reduced_rows(rows: DataFrame, vocabulary: dict[int, int], groups: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """label, x (vocabulary places, with repeats), minus and plus (what swapping the identity terms takes and adds)."""
+    """label, x (the vocabulary's features of the text, at most all of it, once each) and n (how many words have each), minus and plus
+    (what swapping the identity terms takes and adds)."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain: dict[str, str] = {}
         place = lambda word: [vocabulary[f] for f in features_of(word) if f in vocabulary]
         for batch in batches:
-            x, minus, plus = [], [], []
+            x, n, minus, plus = [], [], [], []
             for text in batch.column(0).to_pylist():
                 words = words_of(text or "", plain)
                 pairs = swaps(words, groups)
-                x.append([v for w in words for v in place(w)])
+                held = Counter(v for w in words for v in place(w))
+                x.append(list(held))
+                n.append(list(held.values()))
                 minus.append([v for a, _ in pairs for v in place(a)])
                 plus.append([v for _, b in pairs for v in place(b)])
-            lists = [pa.array(c, pa.list_(pa.int32())) for c in (x, minus, plus)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["label", "x", "minus", "plus"])
+            lists = [pa.array(c, pa.list_(pa.int32())) for c in (x, n, minus, plus)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["label", "x", "n", "minus", "plus"])
 
-    return rows.mapInArrow(reduce, "label int, x array<int>, minus array<int>, plus array<int>")
+    return rows.mapInArrow(reduce, "label int, x array<int>, n array<int>, minus array<int>, plus array<int>")
 
 
 class Sparse:
-    """Rows of column numbers (repeats add up)."""
+    """Rows of column numbers (repeats add up), each with its value, 1 if none are given."""
 
-    def __init__(self, rows: list, n_cols: int) -> None:
+    def __init__(self, rows: list, n_cols: int, values: list | None = None) -> None:
         sizes = np.array([len(r) for r in rows], np.int64)
-        self.cols = np.concatenate([np.asarray(r, np.int64) for r in rows]) if sizes.sum() else np.zeros(0, np.int64)
+        flat = lambda lists, kind: np.concatenate([np.asarray(r, kind) for r in lists]) if sizes.sum() else np.zeros(0, kind)
+        self.cols = flat(rows, np.int64)
+        self.values = np.ones(len(self.cols)) if values is None else flat(values, np.float64)
         self.rows, self.shape = np.repeat(np.arange(len(rows)), sizes), (len(rows), n_cols)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], self.shape[0])
+        return np.bincount(self.rows, w[self.cols] * self.values, self.shape[0])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, r[self.rows], self.shape[1])
+        return np.bincount(self.cols, r[self.rows] * self.values, self.shape[1])
 
 
-def fit_weights(x: list, minus: list, plus: list, label: np.ndarray, n: int, counterfactual: float, l2: float = 2e-5, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_weights(x: list, values: list, minus: list, plus: list, label: np.ndarray, n: int, counterfactual: float, l2: float = 2e-5, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Minimise the logistic loss, l2 and the counterfactual penalty by full-batch Adam steps."""
     pairs = [i for i in range(len(x)) if len(minus[i])]
-    data, less, more = Sparse(x, n), Sparse([minus[i] for i in pairs], n), Sparse([plus[i] for i in pairs], n)
+    data, less, more = Sparse(x, n, values), Sparse([minus[i] for i in pairs], n), Sparse([plus[i] for i in pairs], n)
     w, b = np.zeros(n), float(np.log(label.mean() / (1 - label.mean())))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
@@ -184,7 +190,7 @@ def fit_toxicity_model(rows: DataFrame, fit_rows: int = FIT_ROWS, most_features:
     label = train["label"].to_numpy(float)
     if not 0 < label.mean() < 1:
         return ToxicityModel(bias=float(np.log(by_label[1] / by_label[0])))
-    w, bias = fit_weights(list(train["x"]), list(train["minus"]), list(train["plus"]), label, len(vocabulary), counterfactual)
+    w, bias = fit_weights(list(train["x"]), list(train["n"]), list(train["minus"]), list(train["plus"]), label, len(vocabulary), counterfactual)
     return ToxicityModel({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-6}, bias)
 
 
@@ -214,6 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score, predicted of every row, learned from the labelled rows that aren't held out."""
     fit_rows = fit.get("fit_rows", FIT_ROWS)
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
+    known = known.where("_id IS NOT NULL").groupBy("_id").agg(F.max("label").alias("label"))  # of an id's labels the greatest
     share = min(1.0, fit_rows / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
     texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
