@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import within_time
 from .leases import folded, opens_window
 
 
@@ -95,8 +96,7 @@ def checkpoint(nodes: DataFrame, request: DataFrame, thread: str = "thread", ste
 
 def quota_pressure(calls: DataFrame, window_ms: int, key: str = "key", ts: str = "ts_ms", tokens: str = "tokens") -> DataFrame:
     """LLM.QUOTA: requests and tokens of each key in the window that ends with each call (what admission is decided on)."""
-    window = Window.partitionBy(key).orderBy(ts).rangeBetween(-(window_ms - 1), 0)
-    return calls.withColumn("requests", F.count("*").over(window)).withColumn("window_tokens", F.sum(tokens).over(window))
+    return within_time(calls, [key], ts, window_ms, requests=F.count("*"), window_tokens=F.sum(tokens))
 
 
 def tool_claims(calls: DataFrame, lease_ms: int, key: str = "call_id", ts: str = "ts_ms", *ties: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_RADIUS_M, UNIT_M, haversine
+from ..functions.columns import EARTH_RADIUS_M, LAT_LIMIT, UNIT_M, haversine
 
 
 def bounding_box(lon: float, lat: float, half_width_m: float, half_height_m: float) -> tuple[float, float, float, float]:
@@ -74,3 +74,39 @@ def distance_between(points: DataFrame, first, second, unit: str = "m") -> DataF
 def closest(found: DataFrame, count: int, tie: str = "member", descending: bool = False) -> DataFrame:
     """COUNT with ASC or DESC."""
     return found.orderBy(F.col("distance").desc() if descending else F.col("distance"), tie).limit(count)
+
+
+def covering_cells(lon: float, lat: float, radius_m: float) -> list[tuple[int, int]]:
+    """At most nine ranges [first, last] of 52-bit cell numbers that cover a circle: the cell of its centre and those around it, of a
+    size of at least its radius. They merge where they follow each other."""
+    north = min(LAT_LIMIT, abs(lat) + math.degrees(radius_m / EARTH_RADIUS_M))
+    across = EARTH_RADIUS_M * math.cos(math.radians(min(north, 89.0)))
+    step = 26
+    while step > 0 and (math.radians(360.0 / (1 << step)) * across < radius_m or math.radians(2 * LAT_LIMIT / (1 << step)) * EARTH_RADIUS_M < radius_m):
+        step -= 1
+    n = 1 << step
+    x, y = int((lon + 180) / 360 * n), int((lat + LAT_LIMIT) / (2 * LAT_LIMIT) * n)
+    found = set()
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            a, b = (min(x, n - 1) + i) % n, y + j
+            if 0 <= b < n:
+                found.add(sum((b >> k & 1) << 2 * k | (a >> k & 1) << 2 * k + 1 for k in range(step)))
+    ranges: list[tuple[int, int]] = []
+    for cell in sorted(found):
+        low, high = cell << 2 * (26 - step), (cell + 1 << 2 * (26 - step)) - 1
+        if ranges and ranges[-1][1] + 1 == low:
+            ranges[-1] = (ranges[-1][0], high)
+        else:
+            ranges.append((low, high))
+    return ranges
+
+
+def within_cells(points: DataFrame, lon: float, lat: float, radius: float, unit: str = "m", cell: str = "cell") -> DataFrame:
+    """GEORADIUS over a stored column of cell numbers: its ranges reach the scan, then distances are checked."""
+    metres = radius * UNIT_M[unit]
+    near = F.lit(False)
+    for low, high in covering_cells(lon, lat, metres):
+        near = near | F.col(cell).between(low, high)
+    found = points.where(near).withColumn("_m", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")))
+    return found.where(F.col("_m") <= metres).withColumn("distance", F.col("_m") / UNIT_M[unit]).drop("_m")

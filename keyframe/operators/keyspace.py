@@ -32,7 +32,7 @@ def expire(rows: DataFrame, at: Column, condition: str = "") -> DataFrame:
 def scan(rows: DataFrame, cursor: int, count: int, key: str = "key") -> DataFrame:
     """SCAN: the next page in the order of a hash of the key; its last `slot` is the next cursor (whole slots, so none is lost)."""
     ahead = rows.withColumn("slot", F.xxhash64(key)).where(F.col("slot") > cursor)
-    last = ahead.select("slot").distinct().orderBy("slot").limit(count).agg(F.max("slot").alias("_last"))
+    last = ahead.select("slot").orderBy("slot").limit(count).agg(F.max("slot").alias("_last"))  # each task keeps count rows
     return ahead.join(F.broadcast(last), F.col("slot") <= F.col("_last")).drop("_last")
 
 

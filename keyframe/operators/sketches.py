@@ -37,7 +37,8 @@ def bloom_contains(filter_bits: DataFrame, request: DataFrame, item: str, bits:
 
 
 def cuckoo(log: DataFrame, item: str = "item", key: str = "key", delta: str = "delta") -> DataFrame:
-    """CF.ADD, CF.DEL: how often each 16-bit fingerprint is held in its pair of buckets (0 and less: not held)."""
+    """CF.ADD, CF.DEL: how often each 16-bit fingerprint is held in its pair of buckets (0 and less: not held). A table of
+    fingerprints instead of slots: nothing is evicted, and there is no capacity to fill; CF.RESERVE's size is the number of buckets."""
     return log.groupBy(key, *cuckoo_place(item)).agg(F.sum(delta).alias("held")).where("held > 0")
 
 
@@ -90,3 +91,14 @@ def distinct_sketch(rows: DataFrame, item: str, key: str = "key", lg_k: int = 14
 def merge_sketches(sketches: DataFrame) -> DataFrame:
     """PFMERGE and PFCOUNT of all rows."""
     return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
+def cuckoo_add_new(held: DataFrame, items: DataFrame, item: str = "item", key: str = "key") -> DataFrame:
+    """CF.ADDNX: the filter with the items whose fingerprints it doesn't hold, once each."""
+    new = items.select(key, *cuckoo_place(item)).distinct().withColumn("held", F.lit(1).cast(held.schema["held"].dataType))
+    return held.unionByName(new.join(held, [key, "fingerprint", "bucket"], "left_anti").select(*held.columns))
+
+
+def cuckoo_info(held: DataFrame, key: str = "key") -> DataFrame:
+    """CF.INFO: items held and pairs of buckets in use."""
+    return held.groupBy(key).agg(F.sum("held").alias("items"), F.countDistinct("bucket").alias("buckets"))

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import before
 from .leases import opens_window
 
+#: Arrivals of a key that are ordered in one task.
+BLOCK_ROWS = 1 << 20
+#: Time of a group's entries that are ordered in one task.
+BLOCK_MS = 3_600_000
+
 
 def entry_range(entries: DataFrame, start: tuple[int, int], end: tuple[int, int], count: int | None = None, reverse: bool = False) -> DataFrame:
     """XRANGE, XREVRANGE: entries with start <= id <= end; the bounds on ms reach the scan."""
@@ -40,9 +46,8 @@ def trim_to_id(entries: DataFrame, ms: int, seq: int = 0) -> DataFrame:
 
 def accepted(entries: DataFrame, arrival: str) -> DataFrame:
     """XADD with ids of its own: an entry is taken only if its id is above all that came before it."""
-    before = Window.partitionBy("key").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(F.struct("ms", "seq")).over(before)
-    return entries.withColumn("_top", top).where(F.col("_top").isNull() | (F.struct("ms", "seq") > F.col("_top"))).drop("_top")
+    rows = before(entries, ["key"], arrival, BLOCK_ROWS, "_top", F.struct("ms", "seq"), F.max)
+    return rows.where(F.col("_top").isNull() | (F.struct("ms", "seq") > F.col("_top"))).drop("_top")
 
 
 def idempotent(entries: DataFrame, producer: str = "producer", token: str = "token", window_ms: int = 100) -> DataFrame:
@@ -160,3 +165,15 @@ def pending_range(pending: DataFrame, as_of_ms: int, min_idle_ms: int, start: tu
         rows = rows.where(F.col("consumer") == F.lit(consumer))
     n = F.row_number().over(Window.partitionBy("key").orderBy("ms", "seq"))
     return entry_range(rows, start, end).withColumn("_n", n).where(F.col("_n") <= count).drop("_n")
+
+
+def read_group(entries: DataFrame, groups: DataFrame, consumers: int, as_of_ms: int) -> tuple[DataFrame, DataFrame]:
+    """XGROUP CREATE and XREADGROUP in batch: (pending, groups). Entries behind each group's last id (key, group, last_ms, last_seq) go to its
+    consumers in turn; the groups move on to the last entry."""
+    new = entries.join(groups, "key").where(F.struct("ms", "seq") > F.struct("last_ms", "last_seq"))
+    turn = before(new, ["key", "group"], "ms", BLOCK_MS, "_turn", F.lit(1), F.count, F.sum, "seq")
+    consumer = F.concat(F.lit("consumer"), F.coalesce("_turn", F.lit(0)) % consumers)
+    pending = turn.select("key", "group", "ms", "seq", consumer.alias("consumer"), F.lit(as_of_ms).alias("delivery_ms"), F.lit(1).alias("delivery_count"))
+    last = new.groupBy("key", "group").agg(F.max(F.struct("ms", "seq")).alias("_last"))
+    moved = groups.join(last, ["key", "group"], "left").select("key", "group", F.coalesce("_last.ms", "last_ms").alias("last_ms"), F.coalesce("_last.seq", "last_seq").alias("last_seq"))
+    return pending, moved

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import byte_range, overwrite
-from ..operators import agent, bitmaps, crdt, geo, hashes, jsonops, keyspace, lists, search, sets, streams, strings, vectors, zsets
+from ..functions.columns import byte_range, geohash52, overwrite
+from ..operators import agent, bitmaps, crdt, geo, hashes, jsonops, keyspace, lists, search, sets, sketches, streams, strings, vectors, zsets
 from ..sources.tables import table
 from .data_plans import CR, MILLIS_SQL, PLACES, END, P, X, documents_of, entries, messages, metres, pending, places, replicas, span
 from .keyspace_plans import AS_OF, FIELDS, KEYS, LOG, TURNS, Z, ZR, fields, keys, log, parts, turns, zset
@@ -723,3 +723,23 @@ def _(s, d):
 def _(s, d):
     rows = table(s, d, "events").select("event_id", F.col("user_id").alias("key"), F.expr(MILLIS_SQL).alias("ts_ms"), F.lit("reserve").alias("op"), F.col("event_id").alias("call"), (F.col("event_id") % 500).alias("tokens"))
     return agent.quota_decisions(rows, 2, 600, 86_400_000, "key", "ts_ms", "event_id").select("event_id", "allowed", "remaining")
+
+
+@query("cuckoo_addnx", "SELECT event_type AS key, count(DISTINCT user_id) AS items FROM events GROUP BY 1")
+def _(s, d):
+    rows = table(s, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("item")).distinct()
+    held = sketches.cuckoo(rows.where("item % 2 = 0").withColumn("delta", F.lit(1)))
+    return sketches.cuckoo_info(sketches.cuckoo_add_new(held, rows)).select("key", "items")
+
+
+@query("geo_cells", f"WITH {PLACES} SELECT member, round({metres('10', '20')} / 1000, 3) AS distance FROM places WHERE {metres('10', '20')} <= 3000000")
+def _(s, d):
+    rows = places(s, d).withColumn("cell", geohash52(F.col("lon"), F.col("lat")))
+    return geo.within_cells(rows, 10.0, 20.0, 3000, "km").select("member", F.round("distance", 3).alias("distance"))
+
+
+@query("x_readgroup", f"WITH {X}, g AS (SELECT key, min(ms) + 86400000 AS last_ms FROM x GROUP BY key), n AS (SELECT x.key, x.ms, x.seq, row_number() OVER (PARTITION BY x.key ORDER BY x.ms, x.seq) - 1 AS i FROM x JOIN g USING (key) WHERE x.ms > last_ms) SELECT key, ms, seq, 'consumer' || (i % 3) AS consumer FROM n")
+def _(s, d):
+    e = entries(s, d)
+    groups = e.groupBy("key").agg((F.min("ms") + 86_400_000).alias("last_ms")).withColumn("group", F.lit("g")).withColumn("last_seq", F.lit(1 << 62))
+    return streams.read_group(e.select("key", "ms", "seq"), groups, 3, AS_OF)[0].select("key", "ms", "seq", "consumer")

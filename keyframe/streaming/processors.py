@@ -169,3 +169,67 @@ def tool_leases(stream: DataFrame, lease_ms: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["call_id", "claim_id", "granted"])
 
     return stream.groupBy("call_id").applyInPandasWithState(step, "call_id long, claim_id long, granted boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
+class BlockingStore(StatefulProcessor):
+    """BLPOP, BRPOP, BLMPOP, BLMOVE, BLMOVEM, BRPOPLPUSH, BZPOPMIN, BZPOPMAX, BZMPOP: clients that wait for the first of several keys to
+    have elements, the longest waiting first.
+
+    Rows: group (keys that clients may wait for together share one), seq, kind, key, value, score, client, keys, count, target.
+    kind: rpush or lpush (value under key), zadd (value with score), or a wait: left, right (lists), min, max (sorted sets). A wait with
+    a target moves what it gets to that list: to its right end, or to its left if target begins with '<'. Emits (group, client, key,
+    value, score, place). State: what the group holds, and its waiting clients.
+    """
+
+    ITEM, CLIENT = "key string, value string, score double", "client string, kind string, keys array<string>, count int, target string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.items = handle.getListState("items", self.ITEM)
+        self.clients = handle.getListState("clients", self.CLIENT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[tuple[str, float | None]]] = {}
+        for k, value, score in self.items.get():
+            held.setdefault(k, []).append((value, score))
+        waiting = [tuple(c) for c in self.clients.get()]
+        out: list[tuple] = []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if r.kind == "zadd":
+                held[r.key] = [*(x for x in held.get(r.key, []) if x[0] != r.value), (r.value, float(r.score))]
+            elif r.kind in ("rpush", "lpush"):
+                held.setdefault(r.key, []).insert(0 if r.kind == "lpush" else len(held[r.key]), (r.value, None))
+            else:
+                waiting.append((r.client, r.kind, list(r.keys), int(r.count), r.target))
+            served = True
+            while served:  # a move may feed another client
+                served = False
+                for c in waiting:
+                    if found := next((k for k in c[2] if held.get(k)), None):
+                        out += [(key[0], c[0], found, *x, i) for i, x in enumerate(self.serve(held, found, c))]
+                        waiting.remove(c)
+                        served = True
+                        break
+        for state, values in ((self.items, [(k, *x) for k, v in held.items() for x in v]), (self.clients, waiting)):
+            state.clear()
+            if values:
+                state.put(values)
+        yield pd.DataFrame(out, columns=["group", "client", "key", "value", "score", "place"])
+
+    @staticmethod
+    def serve(held: dict, key: str, client: tuple) -> list[tuple]:
+        _, kind, _, count, target = client
+        if kind in ("min", "max"):
+            held[key].sort(key=lambda x: (x[1], x[0]))
+        got = [held[key].pop(0 if kind in ("left", "min") else -1) for _ in range(min(count, len(held[key])))]
+        if target:
+            to_left, name = target.startswith("<"), target.lstrip("<")
+            for x in got:
+                held.setdefault(name, []).insert(0 if to_left else len(held[name]), x)
+        return got
+
+    def close(self) -> None:
+        pass
+
+
+def blocking_store(stream: DataFrame) -> DataFrame:
+    return stream.groupBy("group").transformWithStateInPandas(BlockingStore(), "group string, client string, key string, value string, score double, place int", "Append", "None")

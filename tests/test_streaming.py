@@ -47,3 +47,25 @@ def test_increasing(spark, tmp_path):
     b = [[("s", 5, 0), ("s", 4, 0)], [("s", 5, 0), ("s", 6, 0)]]
     got = run(spark, tmp_path, b, "key string, ms long, seq long", lambda s: processors.increasing(s, "key", "ms", "seq"))
     assert sorted(got) == [("s", 5, 0), ("s", 6, 0)]
+
+
+WAITS = "group string, seq long, kind string, key string, value string, score double, client string, keys array<string>, count int, target string"
+
+
+def test_blocking_store(spark, tmp_path):
+    """Clients of several keys, moves that feed other clients, counts, and sorted sets; across batches."""
+    push = lambda n, key, value, kind="rpush", score=None: ("g", n, kind, key, value, score, None, None, None, None)
+    wait = lambda n, client, kind, keys, count=1, target=None: ("g", n, kind, None, None, None, client, keys, count, target)
+    b = [
+        [wait(1, "c1", "left", ["a", "b"]), wait(2, "c2", "left", ["b"])],
+        [push(3, "b", "x")],  # c1 waits longest
+        [push(4, "b", "y"), wait(5, "mover", "right", ["src"], 2, "<dst"), wait(6, "c3", "left", ["dst"])],
+        [push(7, "src", "p")],  # goes to dst, and from there to c3
+        [push(8, "z", "m1", "zadd", 5.0), push(9, "z", "m2", "zadd", 1.0), wait(10, "low", "min", ["none", "z"]), wait(11, "high", "max", ["z"], 3)],
+        [push(12, "q", "1"), push(13, "q", "0", "lpush"), push(14, "q", "2"), wait(15, "many", "left", ["q"], 2)],
+    ]
+    got = sorted(run(spark, tmp_path, b, WAITS, processors.blocking_store), key=lambda r: (r[1], r[5]))
+    assert got == [
+        ("g", "c1", "b", "x", None, 0), ("g", "c2", "b", "y", None, 0), ("g", "c3", "dst", "p", None, 0), ("g", "high", "z", "m1", 5.0, 0),
+        ("g", "low", "z", "m2", 1.0, 0), ("g", "many", "q", "0", None, 0), ("g", "many", "q", "1", None, 1), ("g", "mover", "src", "p", None, 0),
+    ]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import struct
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyframe.functions.columns import byte_range, overwrite
-from keyframe.operators import agent, bitmaps, hashes, jsonops, keyspace, leases, lists, streams, strings, vectors, zsets
+from keyframe.operators import agent, bitmaps, blocks, geo, hashes, jsonops, keyspace, leases, lists, streams, strings, vectors, zsets
 
 
 def rows(df):
@@ -138,8 +140,6 @@ def test_quota_decisions(spark):
 
 
 def test_quota_against_a_plain_fold(spark):
-    import random
-
     rng = random.Random(1)
     log = [(rng.choice("ab"), rng.randrange(2000), "reserve", i, rng.randrange(1, 60)) for i in range(300)]
     want, held = {}, {}
@@ -177,3 +177,36 @@ def test_folds_keep_keys_apart(spark):
     df = spark.createDataFrame([(None, 1, 0), ("a", 1, 0), ("a", 1, 50), ("a", 2, 60), ("a", 1, 100), (None, 1, 10)], "k string, n int, t long").repartition(4)
     got = sorted((r["k"] or "", r["n"], r["t"], r["ok"]) for r in leases.opens_window(df, ["k", "n"], "t", 60, "ok").collect())
     assert got == [("", 1, 0, True), ("", 1, 10, False), ("a", 1, 0, True), ("a", 1, 50, False), ("a", 1, 100, True), ("a", 2, 60, True)]
+
+
+def test_running_values_in_blocks(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), i * 3 + rng.randrange(2), rng.randrange(50), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t long, v long, i long").repartition(4)
+    window = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    for fold, merge in ((F.max, None), (F.min, None), (F.sum, None), (F.count, F.sum)):
+        want = {r["i"]: r["x"] or None for r in df.withColumn("x", fold("v").over(window)).collect()}
+        assert {r["i"]: r["x"] or None for r in blocks.before(df, ["k"], "t", 40, "x", F.col("v"), fold, merge, "i").collect()} == want
+    span = Window.partitionBy("k").orderBy("t").rangeBetween(-24, 0)
+    want = {r["i"]: (r["n"], r["s"]) for r in df.withColumn("n", F.count("*").over(span)).withColumn("s", F.sum("v").over(span)).collect()}
+    assert {r["i"]: (r["n"], r["s"]) for r in blocks.within_time(df, ["k"], "t", 25, n=F.count("*"), s=F.sum("v")).collect()} == want
+
+
+def test_cells_cover_circles(spark):
+    rng = random.Random(3)
+    points = spark.createDataFrame([("c", i, rng.uniform(-180, 180), rng.uniform(-84, 84)) for i in range(4000)], "key string, member long, lon double, lat double")
+    from keyframe.functions.columns import geohash52
+
+    celled = points.withColumn("cell", geohash52(F.col("lon"), F.col("lat"))).cache()
+    for lon, lat, km in ((10.0, 20.0, 900), (179.9, -60.0, 1500), (0.0, 83.0, 700), (-180.0, 0.0, 4000), (5.0, 5.0, 15000)):
+        want = sorted(r["member"] for r in geo.within_radius(points, lon, lat, km, "km").collect())
+        assert len(geo.covering_cells(lon, lat, km * 1000)) <= 9
+        assert sorted(r["member"] for r in geo.within_cells(celled, lon, lat, km, "km").collect()) == want, (lon, lat, km)
+
+
+def test_groups_read_in_turn(spark):
+    e = spark.createDataFrame([("s", i // 3, i) for i in range(10)], "key string, ms long, seq long")
+    groups = spark.createDataFrame([("s", "g", 0, 1), ("s", "h", 99, 0)], "key string, group string, last_ms long, last_seq long")
+    pending, moved = streams.read_group(e, groups, 2, 5)
+    assert [r["consumer"] for r in pending.orderBy("ms", "seq").collect()] == [f"consumer{i % 2}" for i in range(8)]
+    assert rows(moved) == [("s", "g", 3, 9), ("s", "h", 99, 0)]
