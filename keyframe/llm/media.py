@@ -12,6 +12,7 @@ type application/octet-stream, a hit whose structure does not hold is not an ite
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -44,8 +45,33 @@ SIGNATURES = [
     (b"PK\x03\x04", 0, "application/zip"),
     (b"\x1f\x8b\x08", 0, "application/gzip"),
     (b"ftyp", 4, "video/mp4"),
+    (b"\x1a\x45\xdf\xa3", 0, "video/x-matroska"),
+    (b"7z\xbc\xaf\x27\x1c", 0, "application/x-7z-compressed"),
+    (b"II*\x00", 0, "image/tiff"),
+    (b"MM\x00*", 0, "image/tiff"),
+    (b"ID3", 0, "audio/mpeg"),
 ]
 
+# kbit/s of MPEG-1 and MPEG-2 layer III frames, sampling rates of MPEG-1, bytes of TIFF's field types.
+MPEG_KBITS = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+MPEG_HERTZ = (44100, 48000, 32000)
+TIFF_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+
+_places: dict[bytes, tuple[bytes, list]] = {}
+
+
+def places(b: bytes, pattern: re.Pattern) -> list[re.Match]:
+    """All matches of a pattern in a blob, found once for all hits in it."""
+    held = _places.get(pattern.pattern)
+    if held is None or held[0] is not b:
+        held = _places[pattern.pattern] = b, list(pattern.finditer(b))
+    return held[1]
+
+
+def behind(found: list[re.Match], at: int) -> int:
+    """The number of the first match that starts at `at` or later."""
+    return bisect.bisect_left(found, at, key=lambda m: m.start())
+
 
 def _png(b: bytes, at: int) -> int:
     p = at + 8
@@ -130,7 +156,22 @@ def _flac(b: bytes, at: int) -> int:
         if p == at + 4 and (b[p] & 127 or n != 34):
             return 0
         p += 4 + n
-    return len(b) - at if last and b[p : p + 1] == b"\xff" else 0
+    if not last or b[p : p + 1] != b"\xff":
+        return 0
+    # frames begin at a sync code with a right header sum; a stream says nowhere where its last frame ends, so it reaches to the next
+    # known item's start at the latest, and here to the end
+    head = b[p : p + 16]
+    return len(b) - at if any(crc8(head[:n]) == head[n] for n in range(5, min(16, len(head)))) else 0
+
+
+def crc8(data: bytes) -> int:
+    """The sum of a FLAC frame's header (polynomial 7)."""
+    x = 0
+    for c in data:
+        x ^= c
+        for _ in range(8):
+            x = (x << 1 ^ 7) & 255 if x & 128 else x << 1
+    return x
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -148,36 +189,118 @@ PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
 PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
 
 
+PDF_HEAD = re.compile(rb"%PDF-")
+PDF_STOP = re.compile(rb"%%EOF")
+ZIP_END = re.compile(rb"PK\x05\x06")
+
+
 def _pdf(b: bytes, at: int) -> int:
     """To the last end mark whose table is reached from this head and from no later one; if there is none, to the first."""
-    heads, done, size = [at], at, 0
-    for mark in PDF_END.finditer(b, at):
-        while (head := b.find(b"%PDF-", max(done, at + 1), mark.start())) >= 0:
-            heads.append(head)
-            done = head + 1
-        done = max(done, mark.start() - 4)
-        for head in reversed(heads):
-            table = head + int(mark[1])
+    heads, marks, size = places(b, PDF_HEAD), places(b, PDF_END), 0
+    own = behind(heads, at)
+    for mark in marks[behind(marks, at) :]:
+        for i in range(behind(heads, mark.start()) - 1, own - 1, -1):
+            table = heads[i].start() + int(mark[1])
             if table < mark.start() and PDF_TABLE.match(b, table):
-                size = mark.end() - at if head == at else size
+                size = mark.end() - at if i == own else size
                 break
     if size:
         return size
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+    stops = places(b, PDF_STOP)
+    stop = behind(stops, at)
+    return stops[stop].end() - at if stop < len(stops) and b.find(b"startxref", at, stops[stop].start()) >= 0 else 0
 
 
 def _zip(b: bytes, at: int) -> int:
     """To the first end record whose offsets fit; those of archives stored inside don't."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
+    ends = places(b, ZIP_END)
+    for end in (m.start() for m in ends[behind(ends, at) :]):
+        if end > len(b) - 22:
+            break
         size, start, note = struct.unpack_from("<IIH", b, end + 12)
         if start + size == end - at and end + 22 + note <= len(b):
             return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
     return 0
 
 
+def _vint(b: bytes, p: int) -> tuple[int | None, int]:
+    """A Matroska size (None: unknown) and where it ends; (0, 0) if there is none."""
+    if p >= len(b) or not b[p]:
+        return 0, 0
+    n = 9 - b[p].bit_length()
+    value = int.from_bytes(b[p : p + n], "big") & ((1 << 7 * n) - 1)
+    return (None if value == (1 << 7 * n) - 1 else value), p + n
+
+
+def _matroska(b: bytes, at: int) -> int:
+    """The head and the segment behind it; a segment of unknown size reaches to the end."""
+    size, p = _vint(b, at + 4)
+    if not p or size is None or b.find(b"\x42\x82", p, p + size) < 0:  # the head names its document type
+        return 0
+    p += size
+    if b[p : p + 4] != b"\x18\x53\x80\x67":
+        return 0
+    size, p = _vint(b, p + 4)
+    end = len(b) if size is None else p + size
+    return end - at if p and end <= len(b) else 0
+
+
+def _seven_zip(b: bytes, at: int) -> int:
+    if at + 32 > len(b) or zlib.crc32(b[at + 12 : at + 32]) != struct.unpack_from("<I", b, at + 8)[0]:
+        return 0
+    start, size, crc = struct.unpack_from("<QQI", b, at + 12)
+    end = at + 32 + start + size
+    return end - at if end <= len(b) and zlib.crc32(b[end - size : end]) == crc else 0
+
+
+def _tiff(b: bytes, at: int) -> int:
+    """To the end of the last directory, value, strip or tile that the directories name."""
+    order = "<" if b[at : at + 1] == b"I" else ">"
+    end, seen, p = 8, set(), struct.unpack_from(f"{order}I", b, at + 4)[0] if at + 8 <= len(b) else 0
+    while p and p not in seen and at + p + 2 <= len(b):
+        seen.add(p)
+        n = struct.unpack_from(f"{order}H", b, at + p)[0]
+        last = p + 2 + 12 * n
+        if not n or at + last + 4 > len(b):
+            return 0
+        end, data = max(end, last + 4), {}
+        for i in range(n):
+            tag, kind, count, place = struct.unpack_from(f"{order}HHII", b, at + p + 2 + 12 * i)
+            size = TIFF_BYTES.get(kind, 0) * count
+            where = place if size > 4 else p + 10 + 12 * i
+            if not size or at + where + size > len(b):
+                return 0
+            end = max(end, where + size)
+            if tag in (273, 279, 324, 325) and kind in (3, 4):  # places and bytes of strips and tiles
+                data[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", b, at + where)
+        for a, c in ((273, 279), (324, 325)):
+            for x, size in zip(data.get(a, ()), data.get(c, ()), strict=False):
+                if at + x + size > len(b):
+                    return 0
+                end = max(end, x + size)
+        p = struct.unpack_from(f"{order}I", b, at + last)[0]
+    return end if seen else 0
+
+
+def _mp3(b: bytes, at: int) -> int:
+    """The tag and the layer III frames behind it, two at least."""
+    head = b[at : at + 10]
+    if len(head) < 10 or head[3] > 4 or any(x & 128 for x in head[6:10]):
+        return 0
+    p, frames = at + 10 + (head[6] << 21 | head[7] << 14 | head[8] << 7 | head[9]), 0
+    while p + 4 <= len(b):
+        word = struct.unpack_from(">I", b, p)[0]
+        version, layer, rate, hertz = word >> 19 & 3, word >> 17 & 3, word >> 12 & 15, word >> 10 & 3
+        if word >> 21 != 0x7FF or version == 1 or layer != 1 or rate in (0, 15) or hertz == 3:
+            break
+        old = version == 3
+        size = (144 if old else 72) * MPEG_KBITS[1 if old else 2][rate] * 1000 // (MPEG_HERTZ[hertz] >> (0 if old else 1 if version == 2 else 2)) + (word >> 9 & 1)
+        if p + size > len(b):
+            break
+        p, frames = p + size, frames + 1
+    return p - at if frames > 1 else 0
+
+
 def _gzip(b: bytes, at: int) -> int:
     stream = zlib.decompressobj(31)
     try:
@@ -212,7 +335,7 @@ def _mp4(b: bytes, at: int) -> int:
     return p - at
 
 
-VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4}
+VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "video/mp4": _mp4, "video/x-matroska": _matroska, "application/x-7z-compressed": _seven_zip, "image/tiff": _tiff, "audio/mpeg": _mp3}
 RIFF_KINDS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 _automaton = None
 

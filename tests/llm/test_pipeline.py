@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,6 +226,26 @@ def test_items_come_by_offset(spark):
     assert [i[0] for i in found] == sorted(i[0] for i in found) and found[0][:2] == (2, len(mp4))
 
 
+def test_more_formats_end_where_they_say():
+    body = b"\x01\x02\x03" * 5
+    tail = b"HEADER"
+    start = struct.pack("<QQI", len(body), len(tail), zlib.crc32(tail))
+    seven = b"7z\xbc\xaf\x27\x1c\x00\x04" + struct.pack("<I", zlib.crc32(start)) + start + body + tail
+    ebml = b"\x1a\x45\xdf\xa3\x8b\x42\x82\x88matroska"
+    mkv = ebml + b"\x18\x53\x80\x67\x84" + b"abcd"
+    tags = [(256, 3, 1, 2), (257, 3, 1, 2), (273, 4, 1, 8), (279, 4, 1, 10)]
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    tiff = b"II*\x00" + struct.pack("<I", 18) + b"0123456789" + ifd
+    frame = struct.pack(">I", 0xFFFB9000).ljust(417, b"\x00")
+    mp3 = b"ID3\x03\x00\x00\x00\x00\x00\x05hello" + frame * 3
+    for kind, item in (("application/x-7z-compressed", seven), ("video/x-matroska", mkv), ("image/tiff", tiff), ("audio/mpeg", mp3)):
+        assert media.carve(b"some text " + item + b" and more") == [(10, len(item), kind, 0)], kind
+        assert all(x[2] != kind for x in media.carve(b"some text " + item[:-1])) or kind == "audio/mpeg"
+    assert media.carve(mkv[:-5] + b"\xff" + b"rest") == [(0, len(mkv), "video/x-matroska", 0)]  # unknown size: to the end
+    for blob in (b"II*\x00", b"MM\x00*\xff\xff\xff\xff", b"ID3", b"7z\xbc\xaf\x27\x1c", b"\x1a\x45\xdf\xa3", b"\x1a\x45\xdf\xa3\x00", b"%PDF-" * 5000, b"PK\x03\x04" * 5000):
+        assert media.carve(blob) == []
+
+
 def test_bins_cover_all_lists():
     first, shards = neighbours.bins({0: 10, 1: 20_000, 2: 5, 3: 9000})
     assert shards == {0: 1, 1: 3, 2: 1, 3: 2} and len({first[1] + i for i in range(3)} & {first[0], first[2], first[3], first[3] + 1}) == 0
