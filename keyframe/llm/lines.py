@@ -9,7 +9,7 @@ Join: words are ordered by rarity (in how many different lines they stand, count
 hashed table of fixed size; ties by hash). Matching sets share one of their rarest words, so each set
 is listed under its prefix of n - ceil(t n) + 1 words only. Under a word, pairs pass a
 length filter, a positional filter (what can still overlap from here) and a parity
-filter (each word flips one of 64 bits; sets that differ in d words differ in at most d
+filter (each word flips one of 128 bits; sets that differ in d words differ in at most d
 bits). No filter loses a match. The pairs that pass aren't written out, as thousands of
 variants of a line would make millions: a task only passes on the listings that have a
 pair. Those get their full sets; under each word their pairs are verified exactly, each
@@ -170,9 +170,12 @@ def _sets(h: np.ndarray, number: np.ndarray, n_lines: int) -> tuple[np.ndarray,
     return keys, sizes, np.concatenate(tokens)
 
 
-def parities(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64 bits of each set, one of which each token flips."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(flat.astype(np.uint64)) & np.uint64(63)), starts)
+def parities(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two words, one of which each token flips."""
+    place = mix64(flat.astype(np.uint64))
+    bit = np.uint64(1) << (place & np.uint64(63))
+    low = (place & np.uint64(64)) == 0
+    return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), starts), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), starts)
 
 
 def prefix_words(n: np.ndarray, flat: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,8 +226,11 @@ def block_of(key: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return (mix64(key.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
 
 
+ENTRY = "token int, part long, size long, set_key long, low long, high long"
+
+
 def prefix_entries(sets: DataFrame, classes, hot, threshold: float) -> DataFrame:
-    """token, part, size (n, and the word's place below it), set_key, parity: a row for each prefix word of each listed set, and
+    """token, part, size (n, and the word's place below it), set_key, low and high (parities): a row for each prefix word of each listed set, and
     under a split word for each pair of blocks that the set is in. classes, hot: broadcast."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +238,7 @@ def prefix_entries(sets: DataFrame, classes, hot, threshold: float) -> DataFrame
             if not batch.num_rows:
                 continue
             n, flat = ordered_tokens(batch, classes.value)
-            parity = parities(flat, np.cumsum(n) - n)
+            low, high = parities(flat, np.cumsum(n) - n)
             row, place, token = prefix_words(n, flat, threshold)
             key, token = batch.column(0).to_numpy()[row], token.view(np.int32)
             blocks = blocks_of(token, hot.value)
@@ -242,11 +248,11 @@ def prefix_entries(sets: DataFrame, classes, hot, threshold: float) -> DataFrame
             part = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
             size = n[row] << 32 | place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[each]), pa.array(part, pa.int64()), pa.array(size[each]), pa.array(key[each]), pa.array(parity[row].view(np.int64)[each])],
-                names=["token", "part", "size", "set_key", "parity"],
+                [pa.array(token[each]), pa.array(part, pa.int64()), pa.array(size[each]), pa.array(key[each]), *(pa.array(x[row].view(np.int64)[each]) for x in (low, high))],
+                names=["token", "part", "size", "set_key", "low", "high"],
             )
 
-    return listed_sets(sets, threshold).mapInArrow(entries, "token int, part long, size long, set_key long, parity long")
+    return listed_sets(sets, threshold).mapInArrow(entries, ENTRY)
 
 
 def sides(token: np.ndarray, part: np.ndarray, key: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -255,7 +261,7 @@ def sides(token: np.ndarray, part: np.ndarray, key: np.ndarray, hot: tuple[np.nd
     return np.where(part // blocks == part % blocks, -1, block_of(key, blocks))
 
 
-def passing_pairs(group: np.ndarray, size: np.ndarray, parity: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def passing_pairs(group: np.ndarray, size: np.ndarray, parity: tuple[np.ndarray, np.ndarray], side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (k, j) of pairs of one group that pass the filters; entries come in the order of (group, size)."""
     share, apart = threshold / (1 + threshold), (1 - threshold) / (1 + threshold)
     n, rest = (size >> 32).astype(np.int32), ((size >> 32) - (size & 0xFFFFFFFF)).astype(np.int32)
@@ -269,7 +275,9 @@ def passing_pairs(group: np.ndarray, size: np.ndarray, parity: np.ndarray, side:
         k, j = k[near], j[near]
         both = n[k] + n[j]
         ok = np.flatnonzero((np.minimum(rest[k], rest[j]) >= share * both - 1e-6) & ((side[k] < 0) | (side[k] != side[j])))
-        ok = ok[np.bitwise_count(parity[k[ok]] ^ parity[j[ok]]) <= apart * both[ok] + 1e-6]
+        for bits in ((0,), (0, 1)):  # most pairs fail by half of them already
+            differ = sum(np.bitwise_count(parity[i][k[ok]] ^ parity[i][j[ok]]).astype(np.int32) for i in bits)
+            ok = ok[differ <= apart * both[ok] + 1e-6]
         if len(ok):
             yield k[ok], j[ok]
         step += 1
@@ -292,7 +300,7 @@ def listings_with_pairs(entries: DataFrame, hot, threshold: float) -> DataFrame:
 
     def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         token, part, size, key = (table.column(c).to_numpy() for c in ("token", "part", "size", "set_key"))
-        parity = table.column("parity").to_numpy().view(np.uint64)
+        parity = tuple(table.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
         held = np.zeros(len(token), bool)
         for k, j in passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold):
             differ = key[k] != key[j]
@@ -300,7 +308,7 @@ def listings_with_pairs(entries: DataFrame, hot, threshold: float) -> DataFrame:
         if held.any():
             yield from table.filter(pa.array(held)).to_batches()
 
-    return by_word(entries, work, "token int, part long, size long, set_key long, parity long").distinct()
+    return by_word(entries, work, ENTRY).select("token", "part", "size", "set_key").distinct()
 
 
 def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
