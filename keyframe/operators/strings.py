@@ -139,8 +139,8 @@ def get_and_expire(store: DataFrame, request: DataFrame, key: str = "key", value
 
 
 def value_digest(value: Column) -> Column:
-    """DIGEST of a value: 16 hexadecimal digits of its 64-bit hash."""
-    return F.lpad(F.lower(F.hex(F.xxhash64(value))), 16, "0")
+    """DIGEST of a value: the first 16 hexadecimal digits of its MD5, a hash that other engines have too."""
+    return F.substring(F.md5(value), 1, 16)
 
 
 def delete_if(store: DataFrame, wanted: DataFrame, condition: str = "IFEQ", key: str = "key", value: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import DISTANCES, cosine_distance, hamming, sign_bits, similarity
+from ..functions.columns import DISTANCES, cosine_distance, dot, hamming, sign_bits, similarity, sq8, sq8_decode, vector
 
 
 def nearest(rows: DataFrame, query: Column, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -84,15 +84,25 @@ def product_codes(rows: DataFrame, models: list, vector_col: str = "embedding")
     return rows
 
 
-def random_projection(rows: DataFrame, dims: int, vector_col: str = "embedding", size: int = 64, seed: int = 3) -> DataFrame:
-    """REDUCE: Gaussian random projection to dims values."""
+def projection_matrix(dims: int, size: int, seed: int = 3) -> list[list[float]]:
+    """Rows of a seeded Gaussian projection."""
     import random
 
     rng = random.Random(seed)
-    rows_of = [F.array(*(F.lit(rng.gauss(0, 1) / dims**0.5) for _ in range(size))) for _ in range(dims)]
-    from ..functions.columns import dot
+    return [[rng.gauss(0, 1) / dims**0.5 for _ in range(size)] for _ in range(dims)]
+
+
+def random_projection(rows: DataFrame, dims: int, vector_col: str = "embedding", size: int = 64, seed: int = 3) -> DataFrame:
+    """REDUCE: Gaussian random projection to dims values."""
+    parts = [dot(F.col(vector_col), vector(row)) for row in projection_matrix(dims, size, seed)]
+    return rows.withColumn(vector_col, F.array(*parts))
+
 
-    return rows.withColumn(vector_col, F.array(*(dot(F.col(vector_col), r) for r in rows_of)))
+def quantised_nearest(rows: DataFrame, query: Column, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """KNN over 8-bit codes: distances to what the codes decode to."""
+    low, high = F.array_min(vector_col).cast("double"), F.array_max(vector_col).cast("double")
+    decoded_ = rows.withColumn("_v", sq8_decode(sq8(F.col(vector_col)), low, high))
+    return decoded_.withColumn("distance", DISTANCES[metric](F.col("_v"), query)).drop("_v").orderBy("distance", id_col).limit(k)
 
 
 def cached_answer(cache: DataFrame, query: Column, as_of_ms: int, scope: str | None = None, threshold: float = 0.9, id_col: str = "entry_id", vector_col: str = "embedding") -> DataFrame:

@@ -101,7 +101,7 @@ def _(s, d):
     return strings.delete_if_equal(store, store.where("key % 2 = 0").select("key", F.lit("click").alias("value")))
 
 
-@query("str_digest")
+@query("str_digest", f"WITH {LOG}, store AS (SELECT key, arg_max(value, seq) AS value FROM log GROUP BY key) SELECT key, value, substr(md5(value), 1, 16) AS digest FROM store")
 def _(s, d):
     return strings.digest(strings.latest(log(s, d)))
 

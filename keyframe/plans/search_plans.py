@@ -231,9 +231,20 @@ def _(s, d):
     return vectors.product_codes(rows, vectors.product_codebooks(rows, 4, 8)).select("vec_id", "code_0", "code_1", "code_2", "code_3")
 
 
-@query("vector_projection")
+MATRIX = vectors.projection_matrix(8, 64)
+PROJECTED = ", ".join(f"round(list_sum(list_transform(list_zip(embedding::DOUBLE[], [{', '.join(map(repr, row))}]::DOUBLE[]), lambda p: p[1] * p[2])), 5) AS d{i}" for i, row in enumerate(MATRIX))
+
+
+@query("vector_projection", f"SELECT vec_id, {PROJECTED} FROM embeddings")
+def _(s, d):
+    rows = vectors.random_projection(table(s, d, "embeddings"), 8)
+    return rows.select("vec_id", *(F.round(F.col("embedding")[i], 5).alias(f"d{i}") for i in range(8)))
+
+
+@query("vset_sq8_search", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings), c AS (SELECT vec_id, list_transform(x, lambda a: lo + CASE WHEN hi <= lo THEN 0 ELSE round((a - lo) / (hi - lo) * 255) END * (hi - lo) / 255.0::DOUBLE) AS y FROM v), q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), r AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(y, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM c, q) SELECT vec_id, round(dist, 5) AS distance FROM r ORDER BY dist, vec_id LIMIT 15")
 def _(s, d):
-    return vectors.random_projection(table(s, d, "embeddings"), 8).select("vec_id", "embedding")
+    rows, q = base_vectors(s, d)
+    return vectors.quantised_nearest(rows, q, 15).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 @query("semantic_cache_hit", f"WITH {Q0}, c AS (SELECT vec_id AS entry_id, 'scope' || label AS scope, CASE WHEN vec_id % 4 = 0 THEN 1000 + vec_id END AS expire_at, 1 - {DIST['cosine']} AS sim FROM embeddings e, q WHERE vec_id > 0) SELECT entry_id, round(sim, 5) AS similarity FROM c WHERE (expire_at IS NULL OR expire_at > 1200) AND scope = 'scope2' AND sim >= 0.1 ORDER BY sim DESC, entry_id LIMIT 1")

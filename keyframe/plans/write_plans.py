@@ -90,9 +90,16 @@ def _(s, d):
     return strings.delete_if(rows, rows.select("key", strings.value_digest(F.lit("click")).alias("value")), "IFDNE").select("key", "value")
 
 
-@query("str_lcs_len")
+#: The usual table, a row a step: each place holds the greatest of what stood there, of a match's diagonal, and of the places before it.
+LCS_SQL = """WITH RECURSIVE pairs AS (SELECT DISTINCT upper(p_name) AS a, upper(p_type) AS b FROM part),
+  w AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0) AS prev FROM pairs
+    UNION ALL SELECT a, b, i + 1, list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CAST(greatest(prev[k + 1], CASE WHEN substr(a, CAST(w.i + 1 AS INTEGER), 1) = substr(b, CAST(k AS INTEGER), 1) THEN prev[k] + 1 ELSE 0 END) AS INTEGER))))) FROM w WHERE i < length(a))
+  SELECT p_partkey, CAST(list_last(prev) AS INTEGER) AS n FROM part JOIN w ON w.a = upper(p_name) AND w.b = upper(p_type) AND w.i = length(w.a)"""
+
+
+@query("str_lcs_len", LCS_SQL)
 def _(s, d):
-    return table(s, d, "part").select("p_partkey", strings.common_length(F.col("p_name"), F.col("p_type")).alias("n"))
+    return table(s, d, "part").select("p_partkey", strings.common_length(F.upper("p_name"), F.upper("p_type")).alias("n"))
 
 
 @query("str_lcs_idx")

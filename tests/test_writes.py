@@ -210,3 +210,16 @@ def test_groups_read_in_turn(spark):
     pending, moved = streams.read_group(e, groups, 2, 5)
     assert [r["consumer"] for r in pending.orderBy("ms", "seq").collect()] == [f"consumer{i % 2}" for i in range(8)]
     assert rows(moved) == [("s", "g", 3, 9), ("s", "h", 99, 0)]
+
+
+def test_distances_of_product_codes(spark):
+    rng = random.Random(4)
+    data = [(i, [rng.random() for _ in range(6)]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    books = vectors.product_codebooks(df, 3, 4)
+    codes = vectors.product_codes(df, books)
+    asked = [rng.random() for _ in range(6)]
+    got = {r["vec_id"]: r["distance"] for r in vectors.code_distances(codes, books, asked).collect()}
+    for r in codes.collect():
+        decoded = [float(x) for p, m in enumerate(books) for x in m.clusterCenters()[r[f"code_{p}"]]]
+        assert abs(got[r["vec_id"]] - sum((a - b) ** 2 for a, b in zip(decoded, asked, strict=True))) < 1e-9
