@@ -106,7 +106,7 @@ def free_name(name: str, *dfs: DataFrame) -> str:
     return name
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 14) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 12) -> Iterator[pa.Table]:
     """Tables of about so many rows or of one larger group, in which the groups of equal keys are whole; batches come in their order."""
     held: list[pa.RecordBatch] = []
     n = 0

@@ -47,7 +47,7 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 20
 BLOCK = 1 << 12
 #: Sets under one word that are compared at a time, and words that are split if they have more.
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 14
 MOST_HOT = 1 << 20
 #: Sets that a task remembers to have listed.
 MOST_SEEN = 1 << 18
@@ -416,7 +416,7 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """docs with their later matching lines removed; length_col, if given, is set to the new length."""
     key, lines = free_name("_line_id", docs), free_name("_gone", docs)
     gone = line_duplicates(docs, id_col, text_col, threshold).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("removed_lines").alias(lines))
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    rows = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)), "left")  # the same plan at every size
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lines, i))
     changed = F.col(lines).isNotNull()
     text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(text_col))

@@ -45,9 +45,9 @@ SLOTS = 512
 #: An estimate's deviation at 0.8 is 0.0185; a pair four deviations below isn't verified.
 LEAST_ESTIMATE = THRESHOLD - 4 * 0.0185
 #: Texts of a bucket that are held at a time.
-BLOCK = 4096
+BLOCK = 1024
 #: Pairs of signatures that are compared at a time.
-PAIRS = 1 << 15
+PAIRS = 1 << 12
 MOST_UNEQUAL = int(SLOTS * (1 - (1 / 16 + LEAST_ESTIMATE * 15 / 16)))
 
 
