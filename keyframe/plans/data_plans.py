@@ -362,7 +362,7 @@ def _(s, d):
     return found.select("session", "turn", F.col("place").cast("long").alias("place"))
 
 
-@query("agent_checkpoint_history", "WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey BETWEEN 1 AND 500), w AS (SELECT id, parent, 0 AS depth FROM s WHERE id = 500 UNION ALL SELECT s.id, s.parent, w.depth + 1 FROM s JOIN w ON s.id = w.parent WHERE w.depth < 49) SELECT CAST(id AS VARCHAR) AS step_id, depth FROM w")
+@query("agent_checkpoint_history", "WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey >= 1), w AS (SELECT id, parent, 0 AS depth FROM s WHERE id = 500 UNION ALL SELECT s.id, s.parent, w.depth + 1 FROM s JOIN w ON s.id = w.parent WHERE w.depth < 49) SELECT CAST(id AS VARCHAR) AS step_id, depth FROM w")
 def _(s, d):
     steps = table(s, d, "orders").where("o_orderkey >= 1").select(F.col("o_orderkey").cast("string").alias("step_id"), F.floor(F.col("o_orderkey") / 2).cast("string").alias("parent_id"))
     return agent.lineage(s, steps, "500").select("step_id", "depth")

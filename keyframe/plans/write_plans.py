@@ -116,11 +116,11 @@ def _(s, d):
 
 # ----------------------------------------------------------------------------- bits
 
-BITS_ALL = 'bits AS (SELECT DISTINCT event_type AS key, event_id % (length(event_type) * 40) AS "offset" FROM events)'
+BITS_ALL = 'bits AS (SELECT DISTINCT event_type AS key, (event_id % 100000) * (event_id % 100000) % (length(event_type) * 97) AS "offset" FROM events)'
 
 
 def bits(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select(F.col("event_type").alias("key"), (F.col("event_id") % (F.length("event_type") * 40)).alias("offset")).distinct()
+    return table(s, d, "events").select(F.col("event_type").alias("key"), ((F.col("event_id") % 100_000) * (F.col("event_id") % 100_000) % (F.length("event_type") * 97)).alias("offset")).distinct()
 
 
 for _name, _sql in {
