@@ -66,13 +66,16 @@ def least_size(threshold: float) -> int:
 def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line with words, and one for a document without: doc_id, n_lines, line, set_key, n, tokens.
 
-    tokens (32 bits each) stand at a set's first line in a task only (in a slice, where a task has many different sets).
+    tokens (32 bits each) stand at a set's first lines in a task only: once for each slice of one batch of rows, or more often where a
+    task has very many different sets.
     """
     feed = np.uint8(10)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen, fresh = np.zeros(0, np.uint64), []
         for batch in batches:
+            seen = np.unique(np.concatenate([seen if len(seen) < MOST_SEEN else seen[:0], *fresh]))
+            fresh = []
             for first, data, offsets in slices(text_column(batch.column(1))):
                 n_rows = len(offsets) - 1
                 feeds = np.flatnonzero(data == feed)
@@ -84,10 +87,10 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 number, row_of, line_no = _lines(line, row, above - before[row])
                 keys, sizes, tokens = _sets(h, number, len(row_of))
                 new, lead = np.unique(keys, return_index=True)
-                known = np.isin(new, seen, assume_unique=True)
+                known = seen[np.minimum(np.searchsorted(seen, new), len(seen) - 1)] == new if len(seen) else np.zeros(len(new), bool)
                 leads = np.zeros(len(keys), bool)
                 leads[lead[~known]] = True
-                seen = np.union1d(seen, new) if len(seen) < MOST_SEEN else new
+                fresh.append(new[~known])
                 ends_at = np.cumsum(sizes)
                 listed = [tokens[e - n : e].tobytes() if own else None for own, e, n in zip(leads.tolist(), ends_at.tolist(), sizes.tolist(), strict=True)]
                 bare = np.setdiff1d(np.arange(n_rows), row_of)
