@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,22 +31,163 @@ def within(rows: DataFrame, query: Column, radius: float, metric: str = "l2", ve
     return rows.withColumn("distance", DISTANCES[metric](F.col(vector_col), query)).where(F.col("distance") <= radius)
 
 
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 256
+#: Rows and queries of a tile at most, rows of one that is cut smaller so that all cores have work, and distances held at a time.
+TILE_ROWS, TILE_QUERIES, LEAST_TILE, STRIP = 32_768, 8_192, 2_048, 1 << 22
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, zero at their ends, and their lengths: -1 where the vector or one of its values is null."""
+    lists = column.combine_chunks()
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    data = np.zeros((len(lists), int(size.max(initial=0))))
+    own = np.arange(data.shape[1]) < size[:, None]
+    data[own] = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    gone = lists.is_null().to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        holes = np.zeros(own.shape, dtype=bool)
+        holes[own] = flat.is_null().to_numpy(zero_copy_only=False)
+        gone = gone | holes.any(1)
+    return data, np.where(gone, -1, size)
+
+
+def _distances(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distances of functions/columns.py between rows of x and y: the same sums in the same order."""
+
+    def sums(term) -> np.ndarray:
+        total = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            total += term(x[:, d], y[:, d])
+        return total
+
+    if metric == "l2":
+        return np.sqrt(sums(lambda a, b: (a - b) * (a - b)))
+    dot = sums(lambda a, b: a * b)
+    if metric == "ip":
+        return -dot
+    norm = np.sqrt(sums(lambda a, _: a * a) * sums(lambda _, b: b * b))
+    far = 1.0 - dot / np.where(norm == 0, 1.0, norm)
+    return np.where(norm == 0, 1.0, np.where(far < 0.0, 0.0, far))
+
+
+def _first_of_equal(data: np.ndarray, size: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among a query's k nearest: of equal vectors those of the k + 1 least ids, as one may be the query's own."""
+    wide = np.ascontiguousarray(np.column_stack([data + 0.0, size.astype(np.float64)]))
+    kind = np.unique(wide.view(f"V{wide.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, kind))
+    first = np.append(True, np.diff(kind[order]) != 0)
+    other = first | np.append(True, ids[order][1:] != ids[order][:-1])
+    place = np.cumsum(other)
+    start = np.maximum.accumulate(np.where(first, place, 0))
+    return np.sort(order[place - start <= k])
+
+
+def _tile(metric: str, k: int, out: pa.Schema):
+    """The k nearest rows of each query within a tile. Matrix products leave the rows that could be among them, whatever the products'
+    rounding; those get the exact distance, by which they are ordered (nulls last), ties to smaller ids."""
+
+    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(rows) or not len(queries):
+            return out.empty_table()
+        y, y_size = _matrix(rows["_v"])
+        ids = rows["_id"].to_numpy()
+        with np.errstate(all="ignore"):
+            kept = _first_of_equal(y, y_size, ids, k)
+            y, y_size, ids = y[kept], y_size[kept], ids[kept]
+            x, x_size = _matrix(queries["_v"])
+            asked = queries["_id"].to_numpy()
+            wide = max(x.shape[1], y.shape[1])
+            x, y = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, y))
+            plain = [np.isfinite(8.0 * (m * m).sum(1)) & (n == wide) for m, n in ((x, x_size), (y, y_size))]
+            near = []
+            for m, fine in zip((x, y), plain, strict=True):
+                m = np.where(fine[:, None], m, 0.0)
+                if metric == "cosine":
+                    norm = np.sqrt((m * m).sum(1))
+                    m = m / np.where(norm == 0, 1.0, norm)[:, None]
+                near.append(m)
+            xn, yn = near
+            xx, yy = (xn * xn).sum(1), (yn * yn).sum(1)
+            # Rows that matrix products say nothing of and that may be nearest: products that aren't finite, cosines of missing vectors (0, as in SQL).
+            loose = {"ip": ~plain[1] & (y_size == wide), "cosine": y_size != wide}.get(metric, np.zeros(len(y), dtype=bool))
+            slack = 8 * (wide + 8) * 2.0**-53
+            order = np.argsort(ids, kind="stable")
+            found: list[list[np.ndarray]] = []
+            step = max(1, STRIP // max(1, len(ids)))
+            for at in range(0, len(asked), step):
+                cut = slice(at, at + step)
+                low = xn[cut] @ yn.T
+                if metric == "l2":
+                    low *= -2.0
+                    low += (1.0 - slack) * yy
+                    low += (1.0 - slack) * xx[cut, None]
+                else:
+                    np.negative(low, out=low)
+                    low -= slack * (xx[cut, None] + yy)
+                low[:, ~plain[1]] = np.inf
+                low[~plain[0][cut]] = np.inf
+                own = [np.searchsorted(ids, asked[cut], side, sorter=order) for side in ("left", "right")]
+                for i in np.flatnonzero(own[1] > own[0]):
+                    low[i, order[own[0][i] : own[1][i]]] = np.nan
+                if len(ids) > k:
+                    bound = np.partition(low, k - 1, axis=1)[:, k - 1]
+                    q, r = np.nonzero(low <= bound[:, None])
+                    top = np.full(len(low), -np.inf)
+                    np.maximum.at(top, q, low[q, r] + 2 * slack * (xx[cut][q] + yy[r]))
+                    top[np.isnan(bound)] = np.inf
+                    hit = low <= top[:, None]
+                    if loose.any():
+                        hit[:, loose] = True
+                        hit &= ~np.isnan(low)
+                    q, r = np.nonzero(hit)
+                else:
+                    q, r = np.nonzero(~np.isnan(low))
+                for part in range(0, len(q), STRIP // 16):
+                    a, b = q[part : part + STRIP // 16] + at, r[part : part + STRIP // 16]
+                    far = _distances(metric, x[a], y[b])
+                    none = (x_size[a] != y_size[b]) | (x_size[a] < 0)
+                    if metric == "cosine":
+                        far = np.where(none & ((x_size[a] < 0) | (y_size[b] < 0) | (x.any(1)[a] & y.any(1)[b])), 0.0, far)
+                        none = np.zeros(len(a), dtype=bool)
+                    found.append([a, ids[b], np.where(none, 0.0, far), none])
+        if not found:
+            return out.empty_table()
+        a, b, far, none = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((b, far, none, a))
+        a, b, far, none = a[order], b[order], far[order], none[order]
+        first = np.append(True, np.diff(a) != 0)
+        place = np.arange(len(a))
+        best = place - np.maximum.accumulate(np.where(first, place, 0)) < k
+        return pa.table([pa.array(asked[a[best]]), pa.array(b[best]), pa.array(far[best], mask=none[best])], schema=out)
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            both = pa.Table.from_batches(held)
+            for tile in pc.unique(both["_tile"]):
+                own = both.filter(pc.equal(both["_tile"], tile))
+                yield from search(own.filter(pc.invert(own["_asks"])), own.filter(own["_asks"])).to_batches(max_chunksize=65_536)
+
+    return tiles
 
 
 def nearest_per_query(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """KNN for a stated set of queries against all rows: query_id, rank, id, distance. Queries are counted and dealt into
-    blocks of about QUERY_BLOCK, a scan of the rows for each; each task keeps k rows of a query before the exchange."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
-    found = None
-    for i in range(blocks):
-        block = F.broadcast(asked.where(F.col("_block") == i).drop("_block"))
-        scored = rows.join(block, F.col(id_col) != F.col("query_id")).select("query_id", id_col, DISTANCES[metric](F.col(vector_col), F.col("_q")).alias("distance"))
-        found = scored if found is None else found.unionByName(scored)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """KNN for a stated set of queries against all rows: query_id, rank, id (integers), distance. Rows and queries are dealt into
+    tiles of bounded size, each pair of blocks in one task; a tile gives k rows of a query, and a window merges them. No distance is last."""
+    n, asked = rows.count(), queries.count()
+    across = max(1, -(-asked // TILE_QUERIES))
+    spread = min(-(-n // LEAST_TILE), -(-4 * rows.sparkSession.sparkContext.defaultParallelism // across))
+    down = max(1, -(-n // TILE_ROWS), spread)
+    block = lambda df, n: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("_own"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = block(rows, down).select("_id", "_v", F.lit(False).alias("_asks"), "_own", every(across).alias("_other")).withColumn("_tile", (F.col("_other") * down + F.col("_own")).cast("int"))
+    asks = block(queries, across).select("_id", "_v", F.lit(True).alias("_asks"), "_own", every(down).alias("_other")).withColumn("_tile", (F.col("_own") * down + F.col("_other")).cast("int"))
+    both = dealt.unionByName(asks).select("_id", "_v", "_asks", "_tile").repartitionById(across * down, "_tile")
+    out = pa.schema([("query_id", pa.int64()), ("_id", pa.int64()), ("distance", pa.float64())])
+    found = both.mapInArrow(_tile(metric, k, out), "query_id long, _id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(F.col("query_id").cast(queries.schema[id_col].dataType).alias("query_id"), F.col("_id").cast(rows.schema[id_col].dataType).alias(id_col), "distance", "rank")
 
 
 def similar(rows: DataFrame, query: Column, k: int, test: Column | None = None, epsilon: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
