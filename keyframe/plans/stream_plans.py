@@ -39,7 +39,17 @@ def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 @query("stream_increasing_ids", "WITH x AS (SELECT event_type, event_id, epoch_us(ts) // 1000 AS ms FROM events), r AS (SELECT *, max(ms) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM x) SELECT event_type AS key, count(*) AS n FROM r WHERE top IS NULL OR ms >= top GROUP BY 1")
 def _(s, d):
     rows = events(s, d).select(F.col("event_type").alias("key"), F.expr(MILLIS_SQL).alias("ms"), F.col("event_id").alias("seq"))
-    return to_end(processors.increasing(rows, "key", "ms", "seq")).groupBy("key").agg(F.count("*").alias("n"))
+    at = f"{shared_dir(s)}/keyframe/stream-{uuid.uuid4().hex}"
+
+    def fold(batch: DataFrame, number: int) -> None:
+        """The entries that a micro-batch takes in, of what arrived in the order of event_id."""
+        old = batch.sparkSession.read.parquet(f"{at}/tops-{number - 1}") if number else None
+        kept, tops = processors.above_all_before(batch, old, "key", "ms", "seq", "seq")
+        kept.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        tops.write.mode("overwrite").parquet(f"{at}/tops-{number}")
+
+    rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(rows.schema).parquet(f"{at}/out").groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("stream_tool_leases", "WITH RECURSIVE e AS (SELECT user_id AS k, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events), w AS (SELECT k, event_id, i, true AS granted, ms + 60000 AS until FROM e WHERE i = 1 UNION ALL SELECT e.k, e.event_id, e.i, e.ms >= w.until, CASE WHEN e.ms >= w.until THEN e.ms + 60000 ELSE w.until END FROM e JOIN w ON e.k = w.k AND e.i = w.i + 1) SELECT k AS call_id, event_id AS claim_id, granted FROM w")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.blocks import before
+
 
 def deduplicated(stream: DataFrame, keys: list[str], time_col: str, window: str) -> DataFrame:
     """XADD IDMP: the first of the rows that agree in keys within a time window; state is dropped by the watermark."""
@@ -28,7 +30,8 @@ def windowed_counts(stream: DataFrame, time_col: str, size: str, late: str, *key
 
 
 def increasing(stream: DataFrame, key: str, ms: str, seq: str) -> DataFrame:
-    """XADD with own ids: entries whose id is above all before of their key; the others are rejected."""
+    """XADD with own ids: entries whose id is above all before of their key; the others are rejected. Entries of a key must come in
+    the order of arrival, one file or topic partition each; where a column tells it, above_all_before() takes them in that order."""
 
     def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         top = state.get if state.exists else (-1, -1)
@@ -44,6 +47,21 @@ def increasing(stream: DataFrame, key: str, ms: str, seq: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, stream.schema, "ms long, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
+def above_all_before(batch: DataFrame, tops: DataFrame | None, key: str, ms: str, seq: str, order: str, size: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    """increasing() for a micro-batch whose rows arrived in the order of a column, as reading and shuffling don't keep that order: the
+    entries taken in, and the top id of each key after them, to be handed to the next batch. A key's rows are cut into blocks of `order`."""
+    names = batch.columns
+    rows = before(batch, [key], order, size, "_top", F.struct(ms, seq), F.max)
+    own = batch.groupBy(key).agg(F.max(F.struct(ms, seq)).alias("top"))
+    if tops is None:
+        return rows.where(F.col("_top").isNull() | (F.struct(ms, seq) > F.col("_top"))).select(*names), own
+    held = tops.select(F.col(key).alias("_key"), F.col("top").alias("_held"))
+    rows = rows.join(held, F.col(key).eqNullSafe(F.col("_key")), "left")
+    top = F.greatest("_top", "_held")
+    after = tops.unionByName(own).groupBy(key).agg(F.max("top").alias("top"))
+    return rows.where(top.isNull() | (F.struct(ms, seq) > top)).select(*names), after
+
+
 class Quota(StatefulProcessor):
     """LLM.QUOTA.RESERVE: a call is allowed if the window behind it has room for one more request and its tokens.
 
