@@ -96,7 +96,8 @@ def checkpoint(nodes: DataFrame, request: DataFrame, thread: str = "thread", ste
 
 def quota_pressure(calls: DataFrame, window_ms: int, key: str = "key", ts: str = "ts_ms", tokens: str = "tokens") -> DataFrame:
     """LLM.QUOTA: requests and tokens of each key in the window that ends with each call (what admission is decided on)."""
-    return within_time(calls, [key], ts, window_ms, requests=F.count("*"), window_tokens=F.sum(tokens))
+    rows = within_time(calls, [key], ts, window_ms, requests=F.count("*"), window_tokens=F.sum(tokens), _known=F.count(tokens))
+    return rows.withColumn("window_tokens", F.when(F.col("_known") > 0, F.col("window_tokens"))).drop("_known")
 
 
 def tool_claims(calls: DataFrame, lease_ms: int, key: str = "call_id", ts: str = "ts_ms", *ties: str) -> DataFrame:

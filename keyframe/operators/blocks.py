@@ -32,11 +32,25 @@ def before(rows: DataFrame, keys: list[str], order: str, size: float, name: str,
 
 
 def within_time(rows: DataFrame, keys: list[str], ts: str, span: int, **values: Column) -> DataFrame:
-    """rows with aggregates over the rows of their keys in the `span` that ends with each (itself and those of its time with it).
-    A row is also copied to the next block of `span`, for the windows that begin before that."""
+    """rows with counts and sums of integers over the rows of their keys in the `span` that ends with each (itself and those of its
+    time with it). A row enters at its time, in its block of `span`, and leaves `span` later, in the next: what a block starts with,
+    and has entered, less what has left. So all are running values, which cost the same however many rows a window holds."""
     block = F.floor(F.col(ts) / span)
-    copies = rows.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_block", block + F.col("_shift"))
-    window = Window.partitionBy(*keys, "_block").orderBy(ts).rangeBetween(-(span - 1), 0)
+    moved = rows.withColumn("_left", F.explode(F.array(F.lit(False), F.lit(True)))).where(~F.col("_left") | F.col(ts).isNotNull())
+    moved = moved.withColumn("_at", F.col(ts) + F.when(F.col("_left"), F.lit(span)).otherwise(F.lit(0))).withColumn("_block", block + F.col("_left").cast("int"))
+    sums = rows.where(F.col(ts).isNotNull()).groupBy(*keys, (block + 1).alias("_block")).agg(*(v.alias(f"_all_{n}") for n, v in values.items()))
+    starts = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_kb"), *(f"_all_{n}" for n in values))
+    side = Window.partitionBy(*keys, "_block", "_left").orderBy("_at")
+    both = Window.partitionBy(*keys, "_block").orderBy("_at")
+    zero = F.lit(0)
     for name, value in values.items():
-        copies = copies.withColumn(name, value.over(window))
-    return copies.where("_shift = 0").drop("_shift", "_block")
+        moved = moved.withColumn(f"_run_{name}", value.over(side))
+    for name in values:
+        gone = F.last(F.when(F.col("_left"), F.coalesce(f"_run_{name}", zero)), ignorenulls=True).over(both)
+        moved = moved.withColumn(f"_gone_{name}", gone)
+    on = F.col("_block").eqNullSafe(F.col("_kb"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = moved.where("not _left").join(starts, on, "left")
+    total = lambda n: F.coalesce(f"_all_{n}", zero) + F.coalesce(f"_run_{n}", zero) - F.coalesce(f"_gone_{n}", zero)
+    return joined.select(*rows.columns, *(total(n).alias(n) for n in values))

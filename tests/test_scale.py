@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyframe.functions.columns import DISTANCES
-from keyframe.operators import vectors
+from keyframe.operators import agent, vectors
 
 
 def test_nearest_in_tiles(spark, monkeypatch):
@@ -35,3 +35,15 @@ def test_tiles_instead_of_a_scan_per_block_of_queries(spark):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
     plan = vectors.nearest_per_query(df, df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and plan.count("Range (") == 2
+
+
+def test_time_windows_cost_the_same_however_dense(spark):
+    """Nulls in the time, the key and the tokens, equal times, gaps over blocks; and no frame that is summed anew for each row."""
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(-40, 400), rng.randrange(40)]), rng.choice([None, rng.randrange(9)]), i) for i in range(500)] + [("c", 0, None, 900), ("c", 99, 4, 901), ("c", 100, None, 902), ("c", 124, 1, 903)]
+    df = spark.createDataFrame(data, "key string, ts_ms long, tokens long, i long").repartition(4)
+    span = Window.partitionBy("key").orderBy("ts_ms").rangeBetween(-24, 0)
+    want = {r["i"]: (r["n"], r["s"]) for r in df.withColumn("n", F.count("*").over(span)).withColumn("s", F.sum("tokens").over(span)).collect()}
+    got = agent.quota_pressure(df, 25)
+    assert {r["i"]: (r["requests"], r["window_tokens"]) for r in got.collect()} == want
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
