@@ -45,14 +45,19 @@ def stem(word: Column) -> Column:
 SEPARATOR = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
+def split_words(text: Column) -> Column:
+    """The words of a text as one array, folded, with stop words and empty ones."""
+    return F.split(fold(F.coalesce(text, F.lit(""))), SEPARATOR)
+
+
 def index_terms(docs: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> DataFrame:
     """doc_id, term: a row for each index term of each text, with repeats. Words are exploded first, so that the rest is plain columns."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(fold(F.coalesce(F.col(text_col), F.lit(""))), SEPARATOR)).alias("word"))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(split_words(F.col(text_col))).alias("word"))
     words = words.where((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS))
     return words.select("doc_id", (stem(F.col("word")) if stemmed else F.col("word")).alias("term"))
 
 
 def tokens(text: Column, stemmed: bool = True) -> Column:
     """The index terms of a text as one array, in order, with repeats."""
-    words = F.filter(F.split(fold(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    words = F.filter(split_words(text), lambda w: (w != "") & ~w.isin(STOP_WORDS))
     return F.transform(words, stem) if stemmed else words

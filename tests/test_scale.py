@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keyframe.functions.columns import DISTANCES
-from keyframe.operators import agent, vectors
+from keyframe.functions.text import index_terms
+from keyframe.operators import agent, search, vectors
 
 
 def test_nearest_in_tiles(spark, monkeypatch):
@@ -47,3 +49,24 @@ def test_time_windows_cost_the_same_however_dense(spark):
     got = agent.quota_pressure(df, 25)
     assert {r["i"]: (r["requests"], r["window_tokens"]) for r in got.collect()} == want
     assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_index_counts_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """Slices smaller than a text, texts without words and null ones, words of one stem; and one shuffle, with no table of counts beside it."""
+    monkeypatch.setattr(search, "SLICE_WORDS", 5)
+    monkeypatch.setattr(search, "TEXT_ROWS", 2)
+    data = [(i, None if i % 7 == 3 else " ".join(random.Random(i).choices(["run", "runs", "running", "licenses", "license", "the", "x2", "Bees"], k=i % 11))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id int, t string").repartition(3)
+    own = search.Index.create(docs, "doc_id", "t", f"file://{tmp_path}/i")
+    terms = index_terms(docs, "doc_id", "t").cache()
+    assert [tuple(r) for r in own.info().collect()] == [(60, terms.select("term").distinct().count(), terms.count())]
+    tf = {(r["term"], r["doc_id"]): r["n"] for r in terms.groupBy("term", "doc_id").agg(F.count("*").alias("n")).collect()}
+    length = {i: sum(n for (_, j), n in tf.items() if i == j) for i, _ in data}
+    assert {r["doc_id"]: r["doc_len"] for r in own.docs.collect()} == length
+    mean = sum(length.values()) / 60
+    for word, term in (("license", "license"), ("runs", "run"), ("running", "runn")):
+        ids = {i: n for (t, i), n in tf.items() if t == term}
+        idf = max(0.0001, math.log(1 + (60 - len(ids) + 0.5) / (len(ids) + 0.5)))
+        want = {i: round(idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length[i] / mean)), 9) for i, n in ids.items()}
+        assert {r["doc_id"]: round(r["score"], 9) for r in own.term(word).collect()} == want, word
+    assert [p.name for p in (tmp_path / "i").iterdir()] == ["postings"]
