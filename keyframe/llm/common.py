@@ -209,7 +209,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WORD_GAP
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

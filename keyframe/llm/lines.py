@@ -10,7 +10,9 @@ hashed table of fixed size; ties by hash). Matching sets share one of their rare
 is listed under its prefix of n - ceil(t n) + 1 words only. Under a word, pairs pass a
 length filter, a positional filter (what can still overlap from here) and a parity
 filter (each word flips one of 128 bits; sets that differ in d words differ in at most d
-bits). No filter loses a match. The pairs that pass aren't written out, as thousands of
+bits). No filter loses a match. Listings are shuffled as lists: words are dealt into buckets,
+as many as keep a bucket small, and a task sends the listings of a bucket as one row of
+columns. The pairs that pass aren't written out, as thousands of
 variants of a line would make millions: a task only passes on the listings that have a
 pair. Those get their full sets; under each word their pairs are verified exactly, each
 pair where its first common word is, and a set's number of matches and the earliest line
@@ -53,6 +55,9 @@ MOST_HOT = 1 << 20
 MOST_SEEN = 1 << 18
 #: Pairs that are verified at a time.
 PAIRS = 4096
+#: Listings that a task holds before it deals them into buckets, and the number that a bucket gets on a large table.
+HELD = 1 << 19
+BUCKET_ROWS = 1 << 16
 
 
 def least_size(threshold: float) -> int:
@@ -82,7 +87,7 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 before = np.searchsorted(feeds, offsets)
                 starts, ends, row = word_spans(data, offsets, WORD_GAP)
                 h = span_hashes(data, starts, ends)
-                above = np.searchsorted(feeds, starts)
+                above = np.repeat(np.arange(len(feeds) + 1), np.diff(np.r_[0, np.searchsorted(starts, feeds), len(starts)]))
                 line = above + row  # rises by one at each line feed and each row
                 number, row_of, line_no = _lines(line, row, above - before[row])
                 keys, sizes, tokens = _sets(h, number, len(row_of))
@@ -174,16 +179,21 @@ def _sets(h: np.ndarray, number: np.ndarray, n_lines: int) -> tuple[np.ndarray,
 
 
 def parities(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set, in two words, one of which each token flips."""
-    place = mix64(flat.astype(np.uint64))
-    bit = np.uint64(1) << (place & np.uint64(63))
-    low = (place & np.uint64(64)) == 0
+    """128 bits of each set, in two words, one of which each token flips (by seven bits of it that its bucket has no part in)."""
+    place = flat >> np.uint32(25)
+    bit = np.uint64(1) << (place & np.uint32(63)).astype(np.uint64)
+    low = place < 64
     return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), starts), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), starts)
 
 
+def prefix_lengths(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many words sets of n tokens are listed under."""
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
 def prefix_words(n: np.ndarray, flat: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set, place and token of each prefix word of sets of n tokens, which come one after the other in order of rarity."""
-    length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    length = prefix_lengths(n, threshold)
     row = np.repeat(np.arange(len(n)), length)
     place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
     return row, place, flat[(np.cumsum(n) - n)[row] + place]
@@ -193,26 +203,32 @@ def listed_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.where(F.col("tokens").isNotNull() & (F.col("n") >= least_size(threshold))).select("set_key", "n", "tokens")
 
 
-def ordered_tokens(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and tokens, by rarity, of rows of set_key, n and tokens."""
-    n = batch.column(1).to_numpy().astype(np.int64)
-    return n, by_rarity(np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)]), n, classes)
+def stored_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and tokens of rows of set_key, n and tokens."""
+    return batch.column(1).to_numpy().astype(np.int64), np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)])
 
 
 def hot_words(sets: DataFrame, classes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (sorted) under which over BLOCK_ROWS sets are listed, and into how many blocks their sets are dealt."""
     least = int(2 * np.log2(1 + BLOCK_ROWS))  # a word listed so often stands in so many sets, and its bucket is of this class
+    if classes.value.max() < least:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                token = prefix_words(*ordered_tokens(batch, classes.value), threshold)[2]
+            if not batch.num_rows:
+                continue
+            n, flat = stored_tokens(batch)
+            often = classes.value[flat & np.uint32(BUCKETS - 1)] >= least
+            some = np.add.reduceat(~often, np.cumsum(n) - n, dtype=np.int64) < prefix_lengths(n, threshold)  # other sets have rarer words enough
+            if some.any():
+                token = prefix_words(n[some], by_rarity(flat[np.repeat(some, n)], n[some], classes.value), threshold)[2]
                 token = token[classes.value[token & np.uint32(BUCKETS - 1)] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32))], names=["token"])
 
     counts = listed_sets(sets, threshold).mapInArrow(words, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
     found = counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
-    token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
+    token, n = found.column("token").to_numpy().view(np.uint32), found.column("n").to_numpy()
     order = np.argsort(token)
     return token[order], -(-n[order] // BLOCK_ROWS)
 
@@ -229,38 +245,75 @@ def block_of(key: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return (mix64(key.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
 
 
-ENTRY = "token int, part long, size long, set_key long, low long, high long"
+#: token, part, size (n, and the word's place below it), set_key, low and high (parities): a listing.
+LISTING = {"token": np.int32, "part": np.int64, "size": np.int64, "set_key": np.int64, "low": np.int64, "high": np.int64}
+FOUND = "token int, part long, size long, set_key long"
+
+
+def n_buckets(sets: DataFrame, threshold: float) -> int:
+    """Into how many buckets words are dealt: a power of two, by the number of listings that lines make, repeated ones included."""
+    n = F.col("n")
+    total = sets.where(n >= least_size(threshold)).agg(F.sum(n - F.ceil(n * threshold - 1e-9) + 1)).first()[0] or 1
+    most = max(total // BUCKET_ROWS, min(total // (BUCKET_ROWS >> 4), 1 << 10), 1)
+    return 1 << (int(most) - 1).bit_length()
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary value for each run of values between bounds."""
+    ends = pa.py_buffer((bounds * values.itemsize).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
 
+def unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all rows, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-def prefix_entries(sets: DataFrame, classes, hot, threshold: float) -> DataFrame:
-    """token, part, size (n, and the word's place below it), set_key, low and high (parities): a row for each prefix word of each listed set, and
-    under a split word for each pair of blocks that the set is in. classes, hot: broadcast."""
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dealt(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that listings (columns as in LISTING) fall into."""
+    bucket = mix64(columns[0].view(np.uint32).astype(np.uint64) | columns[1].astype(np.uint64) << np.uint64(32)) & np.uint64(buckets - 1)
+    key = bucket << np.uint64(32) | np.arange(len(bucket), dtype=np.uint64)
+    key.sort()
+    bucket, order = (key >> np.uint64(32)).astype(np.int32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    bounds = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]]), *(binaries(c[order], bounds) for c in columns)], names=["bucket", *LISTING])
+
+
+def prefix_lists(sets: DataFrame, classes, hot, buckets: int, threshold: float) -> DataFrame:
+    """bucket, and the columns of LISTING as binary: a listing for each prefix word of each listed set, and under a split word for each pair of
+    blocks that the set is in. classes, hot: broadcast."""
+
+    def entries(batch: pa.RecordBatch) -> list[np.ndarray]:
+        n, flat = stored_tokens(batch)
+        flat = by_rarity(flat, n, classes.value)
+        low, high = parities(flat, np.cumsum(n) - n)
+        row, place, token = prefix_words(n, flat, threshold)
+        key = batch.column(0).to_numpy()[row]
+        blocks = blocks_of(token, hot.value)
+        own = block_of(key, blocks)
+        each = np.repeat(np.arange(len(row)), blocks)
+        other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        part = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
+        return [token.view(np.int32)[each], part, (n[row] << 32 | place)[each], key[each], *(x[row].view(np.int64)[each] for x in (low, high))]
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, flat = ordered_tokens(batch, classes.value)
-            low, high = parities(flat, np.cumsum(n) - n)
-            row, place, token = prefix_words(n, flat, threshold)
-            key, token = batch.column(0).to_numpy()[row], token.view(np.int32)
-            blocks = blocks_of(token, hot.value)
-            own = block_of(key, blocks)
-            each = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            part = np.minimum(own[each], other) * blocks[each] + np.maximum(own[each], other)
-            size = n[row] << 32 | place
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[each]), pa.array(part, pa.int64()), pa.array(size[each]), pa.array(key[each]), *(pa.array(x[row].view(np.int64)[each]) for x in (low, high))],
-                names=["token", "part", "size", "set_key", "low", "high"],
-            )
-
-    return listed_sets(sets, threshold).mapInArrow(entries, ENTRY)
+            if batch.num_rows:
+                held.append(entries(batch))
+                n += len(held[-1][0])
+            if n >= HELD:
+                yield dealt([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+                held, n = [], 0
+        if n:
+            yield dealt([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+
+    return listed_sets(sets, threshold).mapInArrow(lists, "bucket int, " + ", ".join(f"{c} binary" for c in LISTING))
 
 
 def sides(token: np.ndarray, part: np.ndarray, key: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The block of each listing in a part of two blocks, of which only pairs across count; -1 elsewhere."""
-    blocks = blocks_of(token, hot)
+    blocks = blocks_of(token.view(np.uint32), hot)
     return np.where(part // blocks == part % blocks, -1, block_of(key, blocks))
 
 
@@ -298,33 +351,65 @@ def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(scan, schema)
 
 
-def listings_with_pairs(entries: DataFrame, hot, threshold: float) -> DataFrame:
-    """The entries that pass the filters with another set under their word."""
+def listings_with_pairs(lists: DataFrame, hot, threshold: float) -> DataFrame:
+    """The listings (token, part, size, set_key), each once, that pass the filters with another set under their word."""
 
-    def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, part, size, key = (table.column(c).to_numpy() for c in ("token", "part", "size", "set_key"))
-        parity = tuple(table.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
-        held = np.zeros(len(token), bool)
-        for k, j in passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold):
-            differ = key[k] != key[j]
-            held[k[differ]] = held[j[differ]] = True
-        if held.any():
-            yield from table.filter(pa.array(held)).to_batches()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bucket"], 1):
+            columns = [unpacked(table.column(c), kind) for c, kind in LISTING.items()]
+            token, part, size, key = columns[:4]
+            order = np.lexsort((key, size, part, token))
+            token, part, key = token[order], part[order], key[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
+            once = new | np.r_[True, key[1:] != key[:-1]]  # several tasks list the sets that they share
+            group = np.cumsum(new)[once]
+            token, part, size, key, low, high = token[once], part[once], *(c[order[once]] for c in columns[2:])
+            held = np.zeros(len(token), bool)
+            for k, j in passing_pairs(group, size, (low.view(np.uint64), high.view(np.uint64)), sides(token, part, key, hot.value), threshold):
+                differ = key[k] != key[j]  # two words of a set can have one token
+                held[k[differ]] = held[j[differ]] = True
+            if held.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (token, part, size, key)], names=list(LISTING)[:4])
+
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, FOUND)
 
-    return by_word(entries, work, ENTRY).select("token", "part", "size", "set_key").distinct()
 
+def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
+    """rows dealt by token and part; work gets tables of whole groups, with the number of each row's group, in the order of (group, size)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["token", "part"]):
+            token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
+            group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
+            yield from work(table, group)
+
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(scan, schema)
 
-def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs (k, j) of sets match and have no word in common before k's `place`."""
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    flat = np.concatenate(tokens).astype(np.uint64)
+
+def in_chunks(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, PAIRS at a time."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= PAIRS:
+            k, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = n - n % PAIRS
+            yield from ((k[i : i + PAIRS], j[i : i + PAIRS]) for i in range(0, whole, PAIRS))
+            held, n = [(k[whole:], j[whole:])], n - whole
+    if n:
+        k, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield k, j
+
+
+def verified(flat: np.ndarray, sizes: np.ndarray, place: np.ndarray, k: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs (k, j) of sets match and have no word in common before k's `place`; flat: the sets' tokens, as 64 bits."""
     starts = np.cumsum(sizes) - sizes
 
     def keys(side: np.ndarray, n: np.ndarray) -> np.ndarray:
         """pair and token, of the first n tokens of each set."""
-        pair = np.repeat(np.arange(len(side)), n)
-        within = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-        return (pair.astype(np.uint64) << np.uint64(32)) | flat[starts[side][pair] + within]
+        at = np.arange(int(n.sum())) + np.repeat(starts[side] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(side), dtype=np.uint64) << np.uint64(32), n) | flat[at]
 
     def shared(k: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Tokens in common of each pair, of the first n and m."""
@@ -340,39 +425,53 @@ def verified(tokens: list[np.ndarray], place: np.ndarray, k: np.ndarray, j: np.n
     return ok
 
 
+def with_order(sets: DataFrame, classes) -> DataFrame:
+    """sets (set_key, n, tokens, doc_id, line) with their tokens in the order of rarity, and low and high (parities)."""
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, flat = stored_tokens(batch)
+                flat = by_rarity(flat, n, classes.value)
+                bounds = np.r_[0, np.cumsum(n)]
+                parity = (pa.array(x.view(np.int64)) for x in parities(flat, bounds[:-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(flat, bounds), batch.column(3), batch.column(4), *parity], names=["set_key", "tokens", "doc_id", "line", "low", "high"])
+
+    return sets.mapInArrow(order, "set_key long, tokens binary, doc_id long, line int, low long, high long")
+
+
 def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
     """set_key, n_links, there: how many other sets match each set, and the earliest line (doc_id, line) of those; sets without any aren't listed. And the tables behind it."""
     spark = sets.sparkSession.sparkContext
     classes = spark.broadcast(word_classes(sets))
     hot = spark.broadcast(hot_words(sets, classes, threshold))
-    listed, a = materialize(listings_with_pairs(prefix_entries(sets, classes, hot, threshold), hot, threshold), "line-listings")
+    lists = prefix_lists(sets, classes, hot, n_buckets(sets, threshold), threshold)
+    listed, a = materialize(listings_with_pairs(lists, hot, threshold), "line-listings", TEXT_ROWS)
     involved = listed.select("set_key").distinct()
-    full = sets.where("tokens IS NOT NULL").select("set_key", "tokens").hint("merge").join(involved, "set_key").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    full = sets.where("tokens IS NOT NULL").select("set_key", "n", "tokens").hint("merge").join(involved, "set_key").groupBy("set_key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     least = -(1 << 63)  # stands for a null id
-    full, b = materialize(full.join(firsts, "set_key").select("set_key", "tokens", F.coalesce("first.doc_id", F.lit(least)).alias("doc_id"), "first.line"), "line-tokens")
-    rows = listed.join(full.hint("merge"), "set_key").select("token", "part", "size", "set_key", "tokens", "doc_id", "line")
+    full = full.join(firsts, "set_key").select("set_key", "n", "tokens", F.coalesce("first.doc_id", F.lit(least)).alias("doc_id"), "first.line")
+    full, b = materialize(with_order(full, classes), "line-tokens")
+    rows = listed.join(full.hint("merge"), "set_key").select("token", "part", "size", "set_key", "low", "high", "tokens", "doc_id", "line")
 
     def work(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         token, part, size, key, doc, line = (table.column(c).to_numpy() for c in ("token", "part", "size", "set_key", "doc_id", "line"))
-        stored = [np.frombuffer(t.as_buffer(), np.uint32) for chunk in table.column("tokens").chunks for t in chunk]
-        sizes = np.array([len(t) for t in stored], np.int64)
-        flat = by_rarity(np.concatenate(stored), sizes, classes.value)
-        tokens, parity = np.split(flat, np.cumsum(sizes)[:-1]), parities(flat, np.cumsum(sizes) - sizes)
-        place = (size & 0xFFFFFFFF).astype(np.int64)
+        parity = tuple(table.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
+        sizes, place = size >> 32, size & 0xFFFFFFFF
+        flat = unpacked(table.column("tokens"), np.uint32).astype(np.uint64)
         order = np.lexsort((line, doc))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         n_links, best = np.zeros(len(key), np.int64), np.full(len(key), len(key), np.int64)
-        for ks, js in passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold):
-            for i in range(0, len(ks), PAIRS):
-                k, j = ks[i : i + PAIRS], js[i : i + PAIRS]
-                used, local = np.unique(np.concatenate([k, j]), return_inverse=True)
-                ok = verified([tokens[u] for u in used], place[used], local[: len(k)], local[len(k) :], threshold)
-                k, j = k[ok], j[ok]
-                np.add.at(n_links, k, 1)
-                np.add.at(n_links, j, 1)
-                np.minimum.at(best, k, rank[j])
-                np.minimum.at(best, j, rank[k])
+        for k, j in in_chunks(passing_pairs(group, size, parity, sides(token, part, key, hot.value), threshold)):
+            differ = key[k] != key[j]
+            k, j = k[differ], j[differ]
+            ok = verified(flat, sizes, place, k, j, threshold)
+            k, j = k[ok], j[ok]
+            np.add.at(n_links, k, 1)
+            np.add.at(n_links, j, 1)
+            np.minimum.at(best, k, rank[j])
+            np.minimum.at(best, j, rank[k])
         at = np.flatnonzero(n_links)
         if len(at):
             there = order[best[at]]

@@ -123,6 +123,28 @@ def test_variants_of_a_template_line(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in lines.line_duplicates(docs, threshold=0.5).collect()}[201] == 1
 
 
+def test_listings_are_shuffled_as_lists(spark, copies, monkeypatch):
+    """A task sends a row for each bucket of words, not one for each word of a line; no listing is lost, and each set is once under a word."""
+    monkeypatch.setattr(lines, "HELD", 50)
+    sets = lines.line_sets(copies.unionAll(copies.selectExpr("doc_id + 1000", "text")).coalesce(1).repartition(2, "doc_id"), "doc_id", "text").cache()
+    classes = spark.sparkContext.broadcast(lines.word_classes(sets))
+    hot = spark.sparkContext.broadcast(lines.hot_words(sets, classes, 0.8))
+    stored = [(r["set_key"], r["n"], np.frombuffer(r["tokens"], np.uint32)) for r in lines.listed_sets(sets, 0.8).collect()]
+    want = []
+    for key, n, tokens in stored:
+        ordered = sorted(tokens.tolist(), key=lambda t: (classes.value[t & (lines.BUCKETS - 1)], t))
+        want += [(t, n << 32 | i, key) for i, t in enumerate(ordered[: int(lines.prefix_lengths(np.array([n]), 0.8)[0])])]
+    for buckets in (1, 8):
+        rows = lines.prefix_lists(sets, classes, hot, buckets, 0.8).collect()
+        got = [np.concatenate([np.frombuffer(r[c], kind) for r in rows]).tolist() for c, kind in lines.LISTING.items()]
+        tokens = np.array(got[0], np.int32).view(np.uint32).tolist()
+        assert sorted(zip(tokens, got[2], got[3], strict=True)) == sorted(want) and len(rows) < len(want) / 3
+        assert all(len({r["bucket"] for r in rows if t in np.frombuffer(r["token"], np.int32)}) == 1 for t in got[0][:50])
+        found = [tuple(r) for r in lines.listings_with_pairs(lines.prefix_lists(sets, classes, hot, buckets, 0.8), hot, 0.8).collect()]
+        assert found and len(found) == len(set(found))
+    sets.unpersist()
+
+
 def test_removed_lines(copies):
     gone = {r["doc_id"]: r["removed_lines"] for r in lines.line_duplicates(copies).collect()}
     for r, new in zip(copies.orderBy("doc_id").collect(), lines.without_duplicate_lines(copies).orderBy("doc_id").collect(), strict=True):
