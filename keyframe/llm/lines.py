@@ -37,9 +37,11 @@ both stay); a document that loses all lines stays, with an empty text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ MOST_SEEN = 1 << 18
 #: Pairs that are verified at a time.
 PAIRS = 4096
 #: Listings that a task holds before it deals them into buckets, and the number that a bucket gets on a large table.
-HELD = 1 << 19
-BUCKET_ROWS = 1 << 16
+HELD = 1 << 18
+BUCKET_ROWS = 1 << 17
 
 
 def least_size(threshold: float) -> int:
@@ -96,20 +98,20 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 leads = np.zeros(len(keys), bool)
                 leads[lead[~known]] = True
                 fresh.append(new[~known])
-                ends_at = np.cumsum(sizes)
-                listed = [tokens[e - n : e].tobytes() if own else None for own, e, n in zip(leads.tolist(), ends_at.tolist(), sizes.tolist(), strict=True)]
                 bare = np.setdiff1d(np.arange(n_rows), row_of)
                 at = np.concatenate([row_of, bare])
                 n_lines = (np.diff(before) + 1)[at]
-                none = [None] * len(bare)
+                without, zeros = np.arange(len(at)) >= len(row_of), np.zeros(len(bare), np.int64)
+                own = np.concatenate([leads, zeros > 0])
+                bounds = np.r_[0, np.cumsum(np.concatenate([np.where(leads, sizes, 0), zeros]))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n_rows).take(pa.array(at)),
                         pa.array(n_lines, pa.int32()),
-                        pa.array(np.concatenate([line_no, np.zeros(len(bare), np.int64)]), pa.int32()),
-                        pa.array(keys.astype(np.int64).tolist() + none, pa.int64()),
-                        pa.array(np.concatenate([sizes, np.zeros(len(bare), np.int64)]), pa.int32()),
-                        pa.array(listed + none, pa.binary()),
+                        pa.array(np.concatenate([line_no, zeros]), pa.int32()),
+                        pa.array(np.concatenate([keys.view(np.int64), zeros]), pa.int64(), mask=without),
+                        pa.array(np.concatenate([sizes, zeros]), pa.int32()),
+                        binaries(tokens[np.repeat(leads, sizes)], bounds, own),
                     ],
                     names=["doc_id", "n_lines", "line", "set_key", "n", "tokens"],
                 )
@@ -118,6 +120,20 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id long, n_lines int, line int, set_key long, n int, tokens binary")
 
 
+def binaries(values: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A binary value for each run of values between bounds; null where it isn't valid."""
+    ends, present = pa.py_buffer((bounds * values.itemsize).astype(np.int64)), None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [present, ends, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values in a binary column without nulls, one row's after the other's."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(data, kind, int(ends[-1] - ends[0]) // np.dtype(kind).itemsize, int(ends[0]))
+
+
 def word_classes(sets: DataFrame) -> np.ndarray:
     """Rarity class (0 rarest .. 63) of each bucket of tokens, from their counts over all stored sets."""
 
@@ -125,7 +141,7 @@ def word_classes(sets: DataFrame) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             if batch.num_rows:
-                flat = np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(0)])
+                flat = unpacked(batch.column(0), np.uint32)
                 total += np.bincount(flat & np.uint32(BUCKETS - 1), minlength=BUCKETS)
         parts = total.astype(np.uint32).reshape(-1, BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
@@ -205,7 +221,7 @@ def listed_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 def stored_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and tokens of rows of set_key, n and tokens."""
-    return batch.column(1).to_numpy().astype(np.int64), np.concatenate([np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)])
+    return batch.column(1).to_numpy().astype(np.int64), unpacked(batch.column(2), np.uint32)
 
 
 def hot_words(sets: DataFrame, classes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -254,21 +270,10 @@ def n_buckets(sets: DataFrame, threshold: float) -> int:
     """Into how many buckets words are dealt: a power of two, by the number of listings that lines make, repeated ones included."""
     n = F.col("n")
     total = sets.where(n >= least_size(threshold)).agg(F.sum(n - F.ceil(n * threshold - 1e-9) + 1)).first()[0] or 1
-    most = max(total // BUCKET_ROWS, min(total // (BUCKET_ROWS >> 4), 1 << 10), 1)
+    most = max(total // BUCKET_ROWS, min(total // (BUCKET_ROWS >> 5), 1 << 10), 1)
     return 1 << (int(most) - 1).bit_length()
 
 
-def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary value for each run of values between bounds."""
-    ends = pa.py_buffer((bounds * values.itemsize).astype(np.int64))
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
-
-
-def unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """The values of all rows, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
 def dealt(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     """A row for each bucket that listings (columns as in LISTING) fall into."""
     bucket = mix64(columns[0].view(np.uint32).astype(np.uint64) | columns[1].astype(np.uint64) << np.uint64(32)) & np.uint64(buckets - 1)
@@ -339,37 +344,33 @@ def passing_pairs(group: np.ndarray, size: np.ndarray, parity: tuple[np.ndarray,
         step += 1
 
 
-def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
-    """rows dealt by token and part; work gets tables of whole groups, with the number of each row's group, in the order of (group, size)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["token", "part"]):
-            token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
-            group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
-            yield from work(table, group)
-
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(scan, schema)
-
-
 def listings_with_pairs(lists: DataFrame, hot, threshold: float) -> DataFrame:
     """The listings (token, part, size, set_key), each once, that pass the filters with another set under their word."""
 
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [unpacked(table.column(c), kind) for c, kind in LISTING.items()]
+        token, part, size, key = columns[:4]
+        order = np.lexsort((key, size, part, token) if part.any() else (key, token.astype(np.int64) << 32 | size >> 32))
+        token, part, key = token[order], part[order], key[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
+        once = new | np.r_[True, key[1:] != key[:-1]]  # several tasks list the sets that they share
+        group = np.cumsum(new)[once]
+        token, part, size, key, low, high = token[once], part[once], *(c[order[once]] for c in columns[2:])
+        held = np.zeros(len(token), bool)
+        for k, j in passing_pairs(group, size, (low.view(np.uint64), high.view(np.uint64)), sides(token, part, key, hot.value), threshold):
+            differ = key[k] != key[j]  # two words of a set can have one token
+            held[k[differ]] = held[j[differ]] = True
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (token, part, size, key)], names=list(LISTING)[:4])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bucket"], 1):
-            columns = [unpacked(table.column(c), kind) for c, kind in LISTING.items()]
-            token, part, size, key = columns[:4]
-            order = np.lexsort((key, size, part, token))
-            token, part, key = token[order], part[order], key[order]
-            new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
-            once = new | np.r_[True, key[1:] != key[:-1]]  # several tasks list the sets that they share
-            group = np.cumsum(new)[once]
-            token, part, size, key, low, high = token[once], part[once], *(c[order[once]] for c in columns[2:])
-            held = np.zeros(len(token), bool)
-            for k, j in passing_pairs(group, size, (low.view(np.uint64), high.view(np.uint64)), sides(token, part, key, hot.value), threshold):
-                differ = key[k] != key[j]  # two words of a set can have one token
-                held[k[differ]] = held[j[differ]] = True
-            if held.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[held]) for c in (token, part, size, key)], names=list(LISTING)[:4])
+            bucket = table.column("bucket").to_numpy()
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            before = np.r_[0, np.cumsum(pc.binary_length(table.column("token")).to_numpy())][first] // (4 * BUCKET_ROWS)
+            cuts = [*first[np.r_[True, before[1:] != before[:-1]]].tolist(), len(bucket)]  # buckets together as long as they are small
+            for a, b in pairwise(cuts):
+                yield from work(table.slice(a, b - a))
 
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, FOUND)
 
