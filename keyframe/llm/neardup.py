@@ -48,6 +48,8 @@ LEAST_ESTIMATE = THRESHOLD - 4 * 0.0185
 BLOCK = 1024
 #: Pairs of signatures that are compared at a time.
 PAIRS = 1 << 12
+#: Arrivals that are drawn at a time.
+ARRIVALS = 1 << 14
 MOST_UNEQUAL = int(SLOTS * (1 - (1 / 16 + LEAST_ESTIMATE * 15 / 16)))
 
 
@@ -60,24 +62,36 @@ def weighted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def prob_min_hash(h: np.ndarray, row: np.ndarray, weight: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
-    """The shingle that each slot of each row keeps: n_rows x slots (0 in a row without shingles)."""
+    """The shingle that each slot of each row keeps: n_rows x slots (0 in a row without shingles).
+
+    A row of few shingles takes thousands of arrivals of each: the fewer shingles still draw, the more arrivals of
+    each are drawn at once.
+    """
     early = np.full(n_rows * slots, np.inf)
     kept = np.zeros(n_rows * slots, np.uint64)
     latest = np.full(n_rows, np.inf)
-    live, time, step = np.arange(len(h)), np.zeros(len(h)), 0
+    weight, time, step = weight.astype(np.float64), np.zeros(len(h)), 0
     with np.errstate(over="ignore"):
-        while len(live):
-            step += 1
-            draw = mix64(h[live] ^ mix64(np.array([step], np.uint64)))
-            time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / weight[live]
-            stay = time <= latest[row[live]]
-            live, time, draw = live[stay], time[stay], draw[stay]
-            place = row[live] * slots + (mix64(draw) % np.uint64(slots)).astype(np.int64)
-            np.minimum.at(early, place, time)
-            won = early[place] == time
-            kept[place[won]] = h[live[won]]
-            if step < 8 or step % 8 == 0:
-                latest = early.reshape(n_rows, slots).max(1)
+        while len(h):
+            k = max(1, min(ARRIVALS // len(h), 1 + step // 3))
+            steps = mix64(np.arange(step + 1, step + k + 1, dtype=np.uint64))
+            step += k
+            for i in range(0, len(h), ARRIVALS):
+                own, of_row = h[i : i + ARRIVALS], row[i : i + ARRIVALS]
+                draw = mix64(own[:, None] ^ steps)
+                times = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / weight[i : i + ARRIVALS, None]
+                times[:, 0] += time[i : i + ARRIVALS]
+                np.cumsum(times, axis=1, out=times)
+                time[i : i + ARRIVALS] = times[:, -1]
+                due = np.flatnonzero(times <= latest[of_row][:, None])
+                of, at = due // k, times.ravel()[due]
+                place = of_row[of] * slots + (mix64(draw.ravel()[due]) % np.uint64(slots)).astype(np.int64)
+                np.minimum.at(early, place, at)
+                won = np.flatnonzero(early[place] == at)
+                kept[place[won]] = own[of[won]]
+            latest = early.reshape(n_rows, slots).max(1)
+            stay = np.flatnonzero(time <= latest[row])
+            h, row, weight, time = h[stay], row[stay], weight[stay], time[stay]
     return kept.reshape(n_rows, slots)
 
 

@@ -249,3 +249,27 @@ def test_signature_estimates_similarity():
     a, b = h[:250], h[50:]
     one = lambda x: neardup.prob_min_hash(x, np.zeros(len(x), np.int64), np.ones(len(x)), 1, 4096)[0]
     assert abs((one(a) == one(b)).mean() - 200 / 300) < 0.03
+
+
+def test_short_texts_draw_many_arrivals_at_once(monkeypatch):
+    """Slots keep what one arrival after the other gives, and a text of one shingle costs tens of draws in numpy, not thousands."""
+    rng = np.random.default_rng(3)
+    sizes, slots = [1, 2, 0, 30, 700, 5000], 512
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    h, weight = rng.integers(1, 1 << 62, len(row)).astype(np.uint64), rng.integers(1, 4, len(row))
+    want = np.zeros((len(sizes), slots), np.uint64)
+    for r in set(row):
+        early, own, time, step = np.full(slots, np.inf), h[row == r], 0.0, 0
+        while (time <= early.max()).any():
+            step += 1
+            draw = neardup.mix64(own ^ neardup.mix64(np.array([step], np.uint64)))
+            time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / weight[row == r]
+            for place, at, x in zip((neardup.mix64(draw) % np.uint64(slots)).tolist(), time, own, strict=True):
+                if at < early[place]:
+                    early[place], want[r, place] = at, x
+    calls, mix64 = [], neardup.mix64
+    monkeypatch.setattr(neardup, "mix64", lambda x: calls.append(1) or mix64(x))
+    for arrivals in (1 << 14, 50):
+        monkeypatch.setattr(neardup, "ARRIVALS", arrivals)
+        assert (neardup.prob_min_hash(h, row, weight, len(sizes), slots) == want).all()
+        assert arrivals < 1 << 14 or len(calls) < 300
