@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import chain, islice, pairwise
 
 import numpy as np
 
@@ -34,6 +35,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.drops_space = "Replace" in str(self.tokenizer.normalizer or "")
+        #: Whether a token opens with a space, by id; of byte-level vocabularies only.
+        self.opens = np.zeros(0, bool)
+        if not self.drops_space and "ByteLevel" in str(self.tokenizer.pre_tokenizer):
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
 
@@ -57,20 +63,31 @@ class Encoder:
             return key
         return key[1:] if key[:1] == "\x00" else " " + key
 
+    def _apart(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys, each encoded on its own, and where each key's begin."""
+        coded = self.tokenizer.encode([self._literal(k) for k in keys], is_pretokenized=True, add_special_tokens=False)
+        return np.array(coded.ids, self.dtype), np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(keys) + 1))
+
+    def _in_a_row(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words without a space or line feed, a space in front of each, encoded as one text: a word begins at each token that opens with a space."""
+        coded = self.tokenizer.encode_batch_fast([" " + " ".join(keys)], add_special_tokens=False)[0]
+        ids = np.array(coded.ids, self.dtype)
+        at = np.flatnonzero(self.opens[ids])
+        return (ids, np.r_[at, len(ids)]) if len(at) == len(keys) and at[0] == 0 else self._apart(keys)
+
     def _learn(self, keys: list[str]) -> None:
         """Encode new pieces; a comma or full stop after a letter is a token's end, so such a piece is its stem's ids and the sign's."""
         stems = {}
         for k in keys:
             if len(k) > 1 and k[-1] in ".," and k[-2].isalpha() and len(k[-2].lower()) == 1:
                 stems[k] = k[:-1]
-        fresh = list({*(stems.get(k, k) for k in keys), "\x00.", "\x00,", ".", ","}.difference(self.known))
-        for i in range(0, len(fresh), 8192):
-            part = fresh[i : i + 8192]
-            coded = self.tokenizer.encode([self._literal(k) for k in part], is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(coded.ids, self.dtype), np.array(coded.word_ids, np.int64)
-            at = np.searchsorted(word, np.arange(len(part) + 1))
-            data, width = ids.tobytes(), self.dtype.itemsize
-            self.known.update((k, data[a * width : b * width]) for k, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        fresh = {*(stems.get(k, k) for k in keys), "\x00.", "\x00,", ".", ","}.difference(self.known)
+        worded = [k for k in fresh if k and k[0] not in "\x00\n"] if len(self.opens) else []
+        for some, coded in ((worded, self._in_a_row), (list(fresh.difference(worded)), self._apart)):
+            for i in range(0, len(some), 8192):
+                ids, at = coded(some[i : i + 8192])
+                data, width = ids.tobytes(), self.dtype.itemsize
+                self.known.update((k, data[a * width : b * width]) for k, (a, b) in zip(some[i : i + 8192], pairwise(at.tolist()), strict=True))
         sign = {c: self.known[c if self.drops_space else "\x00" + c] for c in ".,"}
         self.known.update((k, self.known[stem] + sign[k[-1]]) for k, stem in stems.items())
 
@@ -83,18 +100,20 @@ class Encoder:
         if len(self.known) > MOST_PIECES:
             self.known, self.aside = {}, self.known
         split = [self._split(t) for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            if pieces is not None:
-                new |= set(pieces).difference(self.known)
+        flat = list(chain.from_iterable(pieces for pieces in split if pieces is not None))
+        ids = list(map(self.known.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        new = {flat[i] for i in gaps}
         if self.aside:
             again = {p for p in new if p in self.aside}
             self.known.update((p, self.aside[p]) for p in again)
             new -= again
         if new:
             self._learn(list(new))
-        find = self.known.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(find, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        for i in gaps:
+            ids[i] = self.known[flat[i]]
+        found = iter(ids)
+        return [self._whole(t) if pieces is None else b"".join(islice(found, len(pieces))) for t, pieces in zip(texts, split, strict=True)]
 
 
 @cache

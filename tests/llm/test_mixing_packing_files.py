@@ -94,6 +94,19 @@ def test_pieces_give_the_tokenizers_ids(name, odd_texts, prose):
     assert all((np.frombuffer(g, "<u2") == w[:-1]).all() and len(g) == 2 * len(w) - 2 for g, w in zip(got, want * 2, strict=True))
 
 
+def test_new_words_are_encoded_in_a_row(monkeypatch):
+    """Words behind a space are learnt as one text, cut where a token opens with a space; others one by one. Both give the tokenizer's ids."""
+    name, alone, apart = "byte_bpe_50k.json", [], Encoder._apart
+    monkeypatch.setattr(Encoder, "_apart", lambda self, keys: alone.extend(keys) or apart(self, keys))
+    texts = ["First Ġtwo ĠĠ x̄y. it's 12ab%% ,.", "Ġ again, new\nLine and\n", "trailing space ", " lead  run", "日本 語 😀 <|endoftext|> a"]
+    got = Encoder(tokenizer_path(name)).encode(texts)
+    want = [x[:-1].tolist() for x in whole_ids(name, texts, 0)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    assert all(k[:1] in ("", "\x00", "\n", ".", ",") for k in alone) and any(k[:1] == "\x00" for k in alone)
+    monkeypatch.setattr(Encoder, "_in_a_row", Encoder._apart)
+    assert Encoder(tokenizer_path(name)).encode(texts) == got
+
+
 def test_packing_round_trip(docs):
     got = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json")).collect()
     ids = dict(zip([r["doc_id"] for r in docs.collect()], whole_ids("byte_bpe_50k.json", [r["text"] for r in docs.collect()], 0), strict=True))
