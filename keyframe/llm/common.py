@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 #: Rows of text that Spark hands to Python at a time.
 TEXT_ROWS = 1000
+#: Bytes of rows that Spark hands to Python at a time.
+BATCH_BYTES = 4 << 20
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = np.zeros(256, dtype=bool)
@@ -64,16 +66,21 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> tuple[Data
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
     Spark deletes the shuffle files behind it once it is written, as nothing reads them
-    any more. rows: Spark hands at most so many to Python at a time.
+    any more. rows: Spark hands at most so many to Python at a time, and never more than about BATCH_BYTES.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     batch = None if rows is None else str(rows)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=batch):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=batch, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Spark hands about BATCH_BYTES of rows to Python at a time in this session, where it isn't told otherwise: for frames that run after their operator has returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     for path in paths:

@@ -50,6 +50,8 @@ BLOCK = 1024
 PAIRS = 1 << 12
 #: Arrivals that are drawn at a time.
 ARRIVALS = 1 << 14
+#: Edges for each file of labels, and files at least.
+EDGE_ROWS, LEAST_FILES = 1 << 14, 8
 MOST_UNEQUAL = int(SLOTS * (1 - (1 / 16 + LEAST_ESTIMATE * 15 / 16)))
 
 
@@ -179,12 +181,13 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """node, label (the smallest node it is joined to) of all nodes of edges (a, b); and where they are written."""
     spark = edges.sparkSession
     both, path = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels, kept = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    files = max(LEAST_FILES, -(-both.count() // EDGE_ROWS))  # not one for each shuffle partition: each round writes them anew
+    labels, kept = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").coalesce(files), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "there"), "b").groupBy("a").agg(F.min("there").alias("there"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("there", "label")).alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        moved, new = materialize(step.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels")
+        moved, new = materialize(step.join(onward, "label", "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label")).coalesce(files), "labels")
         if moved.where("was <> label").isEmpty():
             remove(spark, kept, path)
             return moved.select("node", "label"), new

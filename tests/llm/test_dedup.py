@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from keyframe.llm import lines, neardup, substrings
+from keyframe.llm import common, lines, neardup, substrings
 
 
 def variants(prose, seed=3, n=60):
@@ -273,3 +276,25 @@ def test_short_texts_draw_many_arrivals_at_once(monkeypatch):
         monkeypatch.setattr(neardup, "ARRIVALS", arrivals)
         assert (neardup.prob_min_hash(h, row, weight, len(sizes), slots) == want).all()
         assert arrivals < 1 << 14 or len(calls) < 300
+
+
+def test_labels_of_few_edges_stand_in_few_files(spark):
+    """A small graph's labels aren't written in a file for each shuffle partition."""
+    edges = [(i, i + 1) for i in range(1, 400) if i % 10]
+    with common.settings(spark, spark__sql__shuffle__partitions="60", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        labels, path = neardup.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r["node"]: r["label"] for r in labels.collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 401)}
+    assert 0 < len([f for f in os.listdir(path.removeprefix("file:").replace("//", "/")) if f.endswith(".parquet")]) <= neardup.LEAST_FILES
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """Python gets some megabytes of text at a time, however many rows that are."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+    found, _ = common.materialize(texts.mapInArrow(sizes, "n long"), "batch-sizes")
+    n = [r["n"] for r in found.collect()]
+    assert sum(n) >= 18_000_000 and max(n) <= 2 * common.BATCH_BYTES
