@@ -10,7 +10,8 @@ document that loses all lines, with an empty text, and a null text stays null; n
 keeps the first row of each class in the order of (id, null first; text's digest; row), so
 one of all empty texts; mixing drops empty texts, and rows come as often as it takes them;
 packing packs what there is. The first and last stage set the session's
-bytes of an Arrow batch, as their frames run after they have returned. An empty table gives an empty result in each stage; columns
+bytes of an Arrow batch, as their frames run after they have returned. Workers live on from stage to
+stage: they give back the memory of a task when it is over, packing's table of words with it. An empty table gives an empty result in each stage; columns
 that clash with none of a stage's own names and others alike come through.
 """
 
@@ -54,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, neighbours along the curve together."""
     common.bound_batches(spark)
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, keep=False)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, slices, text_column
+from .common import free_name, give_back, giving_back, held_out, slices, text_column
 
 UNDETERMINED = "und"
 GRAMS = 1 << 17  # bigrams fill the first half, hashed trigrams the second
@@ -108,7 +108,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "gram", "n"])
 
-    return docs.select(text_col, lang_col).mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(text_col, lang_col).mapInArrow(giving_back(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def margins(model: LanguageModel, column: pa.Array) -> np.ndarray:
@@ -165,7 +165,7 @@ def calibrated(model: LanguageModel, train: DataFrame, rows: int, calibration_ro
         yield pa.RecordBatch.from_arrays([pa.array(range(len(number)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["i", "sums"])
 
     sample = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, calibration_rows / max(1, rows))) + 1)
-    parts = sample.mapInArrow(moments, "i int, sums array<double>").select("i", F.posexplode("sums").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
+    parts = sample.mapInArrow(giving_back(moments), "i int, sums array<double>").select("i", F.posexplode("sums").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
     sums = np.zeros((len(number), 1 + 2 * width))
     for r in parts.collect():
         sums[r["i"], r["k"]] = r["v"]
@@ -214,6 +214,7 @@ def predict_language(model: LanguageModel, text: Column, ambiguous_below: float
                 names, score, gap = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
             names, score, gap = np.where(lettered, names, UNDETERMINED), np.where(lettered, score, 0.0), np.where(lettered, gap, 0.0)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(gap), pa.array(gap < ambiguous_below)], ["lang_pred", "score", "gap", "ambiguous"])
+        give_back()
 
     return predict(text)
 

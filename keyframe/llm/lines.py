@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, WORD_GAP, free_name, materialize, mix64, remove, slices, span_hashes, text_column, whole_groups, word_spans
+from .common import TEXT_ROWS, WORD_GAP, free_name, giving_back, materialize, mix64, remove, slices, span_hashes, text_column, whole_groups, word_spans
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 20
@@ -117,7 +117,7 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n_lines int, line int, set_key long, n int, tokens binary")
+    return rows.mapInArrow(giving_back(sets), "doc_id long, n_lines int, line int, set_key long, n int, tokens binary")
 
 
 def binaries(values: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
@@ -153,7 +153,7 @@ def word_classes(sets: DataFrame) -> np.ndarray:
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(63, np.log2(1 + v) * 2).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], names=["block", "classes"])
 
-    parts = sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, classes binary")
+    parts = sets.where("tokens IS NOT NULL").select("tokens").mapInArrow(giving_back(count), "block int, counts binary").repartition("block").mapInArrow(add, "block int, classes binary")
     classes = np.zeros(BUCKETS, np.uint8)
     for r in parts.toLocalIterator():  # BUCKETS bytes in all
         classes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["classes"], np.uint8)
@@ -242,7 +242,7 @@ def hot_words(sets: DataFrame, classes, threshold: float) -> tuple[np.ndarray, n
                 token = token[classes.value[token & np.uint32(BUCKETS - 1)] >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int32))], names=["token"])
 
-    counts = listed_sets(sets, threshold).mapInArrow(words, "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    counts = listed_sets(sets, threshold).mapInArrow(giving_back(words), "token int").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
     found = counts.orderBy(F.desc("n"), "token").limit(MOST_HOT).toArrow()
     token, n = found.column("token").to_numpy().view(np.uint32), found.column("n").to_numpy()
     order = np.argsort(token)
@@ -313,7 +313,7 @@ def prefix_lists(sets: DataFrame, classes, hot, buckets: int, threshold: float)
         if n:
             yield dealt([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
 
-    return listed_sets(sets, threshold).mapInArrow(lists, "bucket int, " + ", ".join(f"{c} binary" for c in LISTING))
+    return listed_sets(sets, threshold).mapInArrow(giving_back(lists), "bucket int, " + ", ".join(f"{c} binary" for c in LISTING))
 
 
 def sides(token: np.ndarray, part: np.ndarray, key: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -372,7 +372,7 @@ def listings_with_pairs(lists: DataFrame, hot, threshold: float) -> DataFrame:
             for a, b in pairwise(cuts):
                 yield from work(table.slice(a, b - a))
 
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scan, FOUND)
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(scan), FOUND)
 
 
 def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -384,7 +384,7 @@ def by_word(rows: DataFrame, work, schema: str) -> DataFrame:
             group = np.cumsum(np.r_[False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
             yield from work(table, group)
 
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(scan, schema)
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "size").mapInArrow(giving_back(scan), schema)
 
 
 def in_chunks(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -438,7 +438,7 @@ def with_order(sets: DataFrame, classes) -> DataFrame:
                 parity = (pa.array(x.view(np.int64)) for x in parities(flat, bounds[:-1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), binaries(flat, bounds), batch.column(3), batch.column(4), *parity], names=["set_key", "tokens", "doc_id", "line", "low", "high"])
 
-    return sets.mapInArrow(order, "set_key long, tokens binary, doc_id long, line int, low long, high long")
+    return sets.mapInArrow(giving_back(order), "set_key long, tokens binary, doc_id long, line int, low long, high long")
 
 
 def matching_sets(sets: DataFrame, firsts: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:

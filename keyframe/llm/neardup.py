@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, free_name, materialize, mix64, remove, shingles, slices, text_column, whole_groups
+from .common import TEXT_ROWS, free_name, giving_back, materialize, mix64, remove, shingles, slices, text_column, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -119,7 +119,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
-    return rows.mapInArrow(sign, "id long, digest binary, worded boolean, bands array<long>, signature array<long>")
+    return rows.mapInArrow(giving_back(sign), "id long, digest binary, worded boolean, bands array<long>, signature array<long>")
 
 
 def likely(a: str, b: str):
@@ -174,7 +174,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 cut = lambda v: pa.array([v[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), cut(h), cut(count)], names=["uid", "hashes", "counts"])
 
-    return texts.mapInArrow(sets, "uid long, hashes binary, counts binary")
+    return texts.mapInArrow(giving_back(sets), "uid long, hashes binary, counts binary")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -242,7 +242,7 @@ def pairs_in_buckets(rows: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
                 step += 1
 
-    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(pairs, "a long, b long")
+    return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(giving_back(pairs), "a long, b long")
 
 
 def unequal_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:

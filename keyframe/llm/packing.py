@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT_ROWS, materialize, slices, span_hashes, text_column, word_spans
+from .common import TEXT_ROWS, giving_back, materialize, slices, span_hashes, text_column, word_spans
 from .tokens import encoder
 
 LENGTH = 1024
@@ -113,8 +113,8 @@ def along_curve(docs: DataFrame, id_col: str, text_col: str, parts: int, total:
     return rows.repartitionById(parts, "part").sortWithinPartitions("curve_key", "tie", "doc_id").drop("part")
 
 
-def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """part, at (tokens before it in its part), doc_id, curve_key, n_tokens, ids: written to the shared folder."""
+def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, keep: bool = True) -> DataFrame:
+    """part, at (tokens before it in its part), doc_id, curve_key, n_tokens, ids: written to the shared folder. keep: a worker keeps the words it has met for its next tasks."""
     total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(64).cast("long"))).first()[0] or 0
     n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
@@ -133,7 +133,7 @@ def encode_along_curve(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
                     names=["part", "at", "doc_id", "curve_key", "n_tokens", "width", "ids"],
                 )
 
-    coded = along_curve(docs, id_col, text_col, n, total).mapInArrow(encode, "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
+    coded = along_curve(docs, id_col, text_col, n, total).mapInArrow(encode if keep else giving_back(encode, lambda: encoder(tokenizer).forget()), "part int, at long, doc_id long, curve_key long, n_tokens long, width int, ids binary")
     return materialize(coded, "packed-ids", TEXT_ROWS)[0]
 
 
@@ -165,6 +165,6 @@ def cut_pieces(coded: DataFrame, length: int = LENGTH, with_ids: bool = False) -
     return placed.mapInArrow(cut, ", ".join(f"{c} long" for c in names) + ", ids array<long>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """All documents packed into sequences of at most `length` tokens, a row per piece."""
-    return cut_pieces(encode_along_curve(docs, tokenizer, end_id, id_col, text_col), length)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: bool = True) -> DataFrame:
+    """All documents packed into sequences of at most `length` tokens, a row per piece. keep: workers keep the words they have met, which is faster but takes memory from other steps."""
+    return cut_pieces(encode_along_curve(docs, tokenizer, end_id, id_col, text_col, keep=keep), length)

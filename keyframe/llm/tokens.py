@@ -3,7 +3,7 @@
 A tokenizer's pre-tokenizer never joins what stands on both sides of a gap, so a text
 is split at its spaces and line feeds, each different piece is encoded once by the
 tokenizer and the ids are put together again. Pieces are kept in a bounded table for
-the life of a worker. A text with any other white space goes to the tokenizer whole.
+the life of a worker, or until it is told to forget them. A text with any other white space goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -43,6 +43,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the table."""
+        self.known, self.aside = {}, {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import os
 import random
+import shutil
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keyframe.llm import common, language, lines, media, mixing, neardup, neighbours, packing, queries, toxicity
+from keyframe.llm import common, language, lines, media, mixing, neardup, neighbours, packing, queries, tokens, toxicity
 
 from . import plain
 
@@ -255,3 +261,46 @@ def test_rows_keys_are_unique(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b"), (3, None), (1, "c")], "doc_id long, text string").repartition(3)
     got = sorted((r["k"], r["doc_id"] or -1, hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in common.with_row_keys(docs, "k").collect())
     assert [g[0] for g in got] == [0, 1, 2, 3, 4] and [g[1] for g in got] == [-1, -1, 1, 3, 3]
+
+
+def test_workers_forget_the_words_of_packing(spark, rows, tmp_path, monkeypatch):
+    """After the last stage no worker holds a table of the words that it has met."""
+    path = shutil.copy(queries.tokenizer_path("byte_bpe_50k.json"), tmp_path / "own.json")  # so no other test's table
+    monkeypatch.setattr(corpus_pipeline, "tokenizer_path", lambda name: str(path))
+
+    def held(batches):
+        for _ in batches:
+            known = tokens.encoder(str(path))
+            yield pa.RecordBatch.from_arrays([pa.array([len(known.known) + len(known.aside)])], names=["n"])
+
+    assert corpus_pipeline.pack(spark, spark.createDataFrame(rows, SCHEMA), "").count() >= len(rows)
+    found = spark.range(0, 64, 1, 32).mapInArrow(held, "n long").agg(F.max("n")).first()[0]
+    assert found == 0
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library can't give memory back")
+def test_memory_of_a_task_goes_back_to_the_system():
+    """What a task has freed below memory that is still held isn't kept by its worker; what the task forgets is forgotten even if it isn't read to the end."""
+    code = """if True:
+        import numpy as np, re
+        from keyframe.llm import common
+
+        def size():
+            return sum(map(int, re.findall(r"Pss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+        pinned, gone = [], []
+
+        def work(batches):
+            for batch in batches:
+                held = [np.ones(6_000) for _ in range(3_000)]  # 48 kB each
+                pinned.append(np.ones(6_000))
+                yield batch
+
+        before = size()
+        assert list(common.giving_back(work)(iter([1, 2]))) == [1, 2]
+        assert size() - before < 40, size() - before
+        for _ in common.giving_back(work, lambda: gone.append(1))(iter([1, 2])):
+            break
+        assert gone == [1]
+    """
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.abspath(corpus_pipeline.__file__))})
